@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: Query name to module; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op2_url_filter": "url_filter",
+    "op3_mpegts": "mpegts",
     "op4_mixing": "mixing",
+    "op5_html_extract": "html_extract",
     "op9_quality_rules": "quality_rules",
 }
 
