@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name to module; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op1_nb_svm": "nb_svm",
     "op2_url_filter": "url_filter",
     "op3_mpegts": "mpegts",
     "op4_mixing": "mixing",
