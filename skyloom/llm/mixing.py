@@ -25,7 +25,7 @@ from skyloom.llm.common import cut, table
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = "mix-1"
-BINS = 65536
+BINS = 4096
 
 
 #: Largest per-source table that is broadcast; a larger one is joined by shuffle.
