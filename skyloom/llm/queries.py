@@ -12,6 +12,7 @@ MODULES = {
     "op4_mixing": "mixing",
     "op5_html_extract": "html_extract",
     "op9_quality_rules": "quality_rules",
+    "op10_gru": "gru",
 }
 
 
