@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import parts, table
+from skyloom.llm.common import chunk_labels, parts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -178,13 +178,6 @@ def decode_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) ->
     return spelled.replace(SPACE, " ")[1:]
 
 
-def chunk_labels(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that hash partitioning sends to n different partitions where it can."""
-    found = spark.range(20 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
-    labels = [int(r["id"]) for r in found]
-    return labels + [20 * n + k for k in range(n - len(labels))]
-
-
 CHUNK_ROWS = "bucket int, chunk int, units string"
 
 

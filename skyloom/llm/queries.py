@@ -11,6 +11,7 @@ MODULES = {
     "op3_mpegts": "mpegts",
     "op4_mixing": "mixing",
     "op5_html_extract": "html_extract",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_piece_lattice": "piece_lattice",
     "op8_ngram_join": "ngram_join",
     "op9_quality_rules": "quality_rules",
