@@ -130,7 +130,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     whole, part = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))), F.col("taken") % F.greatest(F.col("size"), F.lit(1))
     copies = taken.filter(F.col("taken") > 0).withColumn("__n", F.explode(F.concat(F.array_repeat(F.lit(0), whole.cast("int")), F.when(part > 0, F.array(part.cast("int"))).otherwise(F.array().cast("array<int>")))))
     text = F.when(F.col("__n") == 0, F.col("__row.text")).otherwise(F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("__n"), F.lit(1)))))
-    return copies.select(*[text.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names])
+    rows = copies.select(*[text.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names])
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else rows
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
