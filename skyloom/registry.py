@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from skyloom.plans.queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: statement for name, (_, statement) in QUERIES.items() if statement}
