@@ -29,7 +29,7 @@ def _r(c, digits: int = 4):
 
 def _off(c: str):
     """Rounded a little off the exact halves, which engines round after differently ordered sums."""
-    return F.round(F.col(c) + 3.3e-7, 4)
+    return F.round(F.col(c) + 3.3e-7, 4) + 0.0
 
 
 def _edges(spark: SparkSession) -> DataFrame:
@@ -58,7 +58,7 @@ _coadd("count", "(count(v) FILTER (WHERE area > 0))::DOUBLE")
 _coadd("sum", "sum(v) FILTER (WHERE area > 0)")
 
 
-@query("a03_cube_coadd", "SELECT vec_id % 10 AS i, k, round(avg(v) + 3.3e-7, 4) AS v FROM (SELECT vec_id, unnest(range(len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
+@query("a03_cube_coadd", "SELECT vec_id % 10 AS i, k, round(avg(v) + 3.3e-7, 4) + 0e0 AS v FROM (SELECT vec_id, unnest(range(len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
 def _(spark, sf_dir):
     cube = _cube(spark, sf_dir).withColumn("area", F.lit(1.0))
     return pixels.coadd(cube, "mean", ("i", "k")).select("i", "k", _off("v").alias("v"))
@@ -173,7 +173,7 @@ def _(spark, sf_dir):
     return c.select("i", renumber(F.col("k"), wanted).alias("k"), _r("v").alias("v")).filter("k IS NOT NULL")
 
 
-@query("p19_transpose", _CUBE + "SELECT k AS i, i AS k, round(v + 3.3e-7, 4) AS v FROM c")
+@query("p19_transpose", _CUBE + "SELECT k AS i, i AS k, round(v + 3.3e-7, 4) + 0e0 AS v FROM c")
 def _(spark, sf_dir):
     c = _cube(spark, sf_dir).select(F.col("vec_id").alias("i"), "k", _off("v").alias("v"))
     return pixels.transpose(c, {"i": "k", "k": "i"}).select("i", "k", "v")

@@ -82,7 +82,7 @@ def write_ipac(df: DataFrame, path: str, width: int = 20, keywords: dict[str, st
         first = True
         for batch in batches:
             if first:
-                yield pa.RecordBatch.from_arrays([pa.array(head)], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], schema=batch.schema)
                 first = False
             yield batch
 
