@@ -456,3 +456,119 @@ def _(spark, sf_dir):
     from skyloom.operators.tables import ipac_round_trip
 
     return ipac_round_trip(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
+
+
+# --- resampling, pyramids, searches ----------------------------------------------------------------
+
+@query("j07_planar_resample", _with(_ONE + """ SELECT image_id, x AS i, y AS j, round(sum(v * wx * wy) / sum(wx * wy) + 3.3e-7, 4) + 0e0 AS v, round(sum(wx * wy), 4) AS area FROM (SELECT image_id, v, x, y,
+  least((i + 1) * 0.75e0 + 0.3e0, x + 1e0) - greatest(i * 0.75e0 + 0.3e0, x * 1e0) AS wx, least((j + 1) * 0.75e0 + 0.6e0, y + 1e0) - greatest(j * 0.75e0 + 0.6e0, y * 1e0) AS wy
+  FROM p1, (SELECT unnest(range(26))::INT AS x), (SELECT unnest(range(26))::INT AS y)) WHERE wx > 1e-12 AND wy > 1e-12 GROUP BY image_id, x, y"""))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import planar_overlap
+
+    return planar_overlap(_one(spark, sf_dir), 0.75, 0.3, 0.6).select("image_id", "i", "j", _off("v").alias("v"), _r("area").alias("area"))
+
+
+@query("j08_nearest_resample", _with(_ONE + " SELECT image_id, floor((i + 0.5e0) * 0.5e0 + 2)::INT AS i, floor((j + 0.5e0) * 0.5e0 + 1)::INT AS j, round(avg(v) + 3.3e-7, 4) + 0e0 AS v FROM p1 GROUP BY 1, 2, 3"))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import nearest_pixel
+
+    return nearest_pixel(_one(spark, sf_dir), 0.5, 2.0, 1.0).withColumn("v", _off("v"))
+
+
+@query("a14_cube_shrink", _CUBE + "SELECT i // 4 AS i, (k // 8)::INT AS k, round(avg(v) + 3.3e-7, 4) + 0e0 AS v FROM c GROUP BY 1, 2")
+def _(spark, sf_dir):
+    from skyloom.operators.resample import cube_shrink
+
+    return cube_shrink(_cube(spark, sf_dir).withColumn("i", F.col("vec_id")), 4, 8).select("i", "k", _off("v").alias("v"))
+
+
+@query("u08_pyramid", _with("l1 AS (SELECT image_id, i // 2 AS i, j // 2 AS j, avg(v) AS v FROM pix GROUP BY 1, 2, 3), l2 AS (SELECT image_id, i // 2 AS i, j // 2 AS j, avg(v) AS v FROM l1 GROUP BY 1, 2, 3) SELECT 1 AS level, image_id, i::INT AS i, j::INT AS j, round(v + 3.3e-7, 4) + 0e0 AS v FROM l1 UNION ALL SELECT 2, image_id, i::INT, j::INT, round(v + 3.3e-7, 4) + 0e0 FROM l2"))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import pyramid
+
+    return pyramid(view(spark, sf_dir, "pix"), 2).select("level", "image_id", "i", "j", _off("v").alias("v"))
+
+
+@query("j19_aperture_sums", sql("SELECT s.cntr, round(sum(v), 2) AS flux, count(*) AS n FROM (SELECT cntr, (cntr * 7 % 32)::INT AS x, (cntr * 11 % 32)::INT AS y FROM sky) s JOIN pix ON (i - x) * (i - x) + (j - y) * (j - y) <= 9 WHERE image_id = 3 GROUP BY s.cntr"))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import aperture_sums
+
+    s = view(spark, sf_dir, "sky").selectExpr("cntr", "CAST(cntr * 7 % 32 AS INT) AS x", "CAST(cntr * 11 % 32 AS INT) AS y")
+    return aperture_sums(s, view(spark, sf_dir, "pix").filter("image_id = 3"), 3.0).select("cntr", _r("flux", 2).alias("flux"), "n")
+
+
+_BOX = "b AS (SELECT cntr AS id, ra AS x0, ra + 3e0 AS x1, dec AS y0, dec + 2e0 AS y1 FROM stars), q AS (SELECT cntr AS id, ra AS x0, ra + 9e0 AS x1, dec AS y0, dec + 7e0 AS y1 FROM sky)"
+
+
+def _boxes(spark, sf_dir, name, w, h):
+    return view(spark, sf_dir, name).select(F.col("cntr").alias("id"), F.col("ra").alias("x0"), (F.col("ra") + w).alias("x1"), F.col("dec").alias("y0"), (F.col("dec") + h).alias("y1"))
+
+
+@query("j17_rectangle_overlap", _with(_BOX + " SELECT q.id AS query, b.id FROM b, q WHERE b.x0 <= q.x1 AND q.x0 <= b.x1 AND b.y0 <= q.y1 AND q.y0 <= b.y1"))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import rectangle_search
+
+    return rectangle_search(_boxes(spark, sf_dir, "stars", 3.0, 2.0), _boxes(spark, sf_dir, "sky", 9.0, 7.0), 5.0)
+
+
+@query("j17_rectangle_contained", _with(_BOX + " SELECT q.id AS query, b.id FROM b, q WHERE b.x0 >= q.x0 AND b.x1 <= q.x1 AND b.y0 >= q.y0 AND b.y1 <= q.y1"))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import rectangle_search
+
+    return rectangle_search(_boxes(spark, sf_dir, "stars", 3.0, 2.0), _boxes(spark, sf_dir, "sky", 9.0, 7.0), 5.0, contained=True)
+
+
+@query("w08_core_peak", _with(_ONE + """ SELECT image_id, round(max(v) + 3.3e-7, 4) + 0e0 AS peak FROM (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY (i - 16) * (i - 16) + (j - 16) * (j - 16), i, j) AS k, count(*) OVER (PARTITION BY image_id) AS n
+  FROM p1 WHERE (i - 16) * (i - 16) + (j - 16) * (j - 16) <= 81) WHERE k <= n // 4 GROUP BY image_id"""))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import peak_in_core
+
+    return peak_in_core(pixels.radial_profile(_one(spark, sf_dir), 16, 16, 9)).select("image_id", _off("peak").alias("peak"))
+
+
+@query("p23_gap_rotation", _with(_FIT + " SELECT image_id, round(b, 3) AS a, round(-a, 3) AS b FROM f"))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import gap_rotation
+
+    a, b = gap_rotation(F.col("a"), F.col("b"))
+    return fits.plane_round(view(spark, sf_dir, "pix")).select("image_id", _r(a, 3).alias("a"), _r(b, 3).alias("b"))
+
+
+@query("a22_flux_calibration", "SELECT p_size % 5 AS image_id, round(avg(log10(p_retailprice) + p_size / 2.512e0), 6) AS m, count(*) AS n FROM part GROUP BY 1")
+def _(spark, sf_dir):
+    from skyloom.operators.resample import flux_calibration
+
+    m = _table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("image_id"), F.col("p_retailprice").alias("flux"), F.col("p_size").alias("mag"))
+    return flux_calibration(m, rounds=1).select("image_id", _r("m", 6).alias("m"), "n")
+
+
+@query("a20_pyramid_order", "SELECT round(min(p_retailprice / 1e6), 6) AS scale, greatest(0, ceil(log2(90 / sqrt(2e0) / min(p_retailprice / 1e6))))::INT AS \"order\" FROM part")
+def _(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select((-F.col("p_retailprice") / 1e6).alias("cdelt1"), (F.col("p_retailprice") / 1e6).alias("cdelt2"))
+    return geometry.pixel_scale_order(p).select(_r("scale", 6).alias("scale"), "order")
+
+
+@query("f20_stretch", sql("SELECT image_id, i, j, floor(255 * least(1, greatest(0, (v - 1000) / 90000e0)) + 0.5e0)::INT AS linear, floor(255 * log10(1 + 9 * least(1, greatest(0, (v - 1000) / 90000e0))) + 0.5e0)::INT AS logarithmic FROM pix"))
+def _(spark, sf_dir):
+    from skyloom.functions.mathematics import stretch
+
+    return view(spark, sf_dir, "pix").select("image_id", "i", "j", stretch(F.col("v"), 1000.0, 91000.0).alias("linear"), stretch(F.col("v"), 1000.0, 91000.0, "log").alias("logarithmic"))
+
+
+@query("f18_inverse_normal")
+def _(spark, sf_dir):
+    from skyloom.functions.mathematics import inverse_normal
+
+    return spark.range(1, 1000).select("id", inverse_normal(F.col("id") / 1000.0).alias("x"))
+
+
+@query("f28_strings", "SELECT s_suppkey, trim('  ' || s_name || ' ') AS name, replace(s_name, '#', '%23') AS encoded, length(trim(s_name)) = 0 AS is_blank FROM supplier")
+def _(spark, sf_dir):
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.trim(F.concat(F.lit("  "), "s_name", F.lit(" "))).alias("name"), F.url_encode("s_name").alias("encoded"), (F.length(F.trim("s_name")) == 0).alias("is_blank"))
+
+
+@query("f31_multimap", "SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def _(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    return n.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
