@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.sources.ipac import format_ipac
+from skyloom.sources.fixed_width import format_fixed_width
 
 
 def number(text: Column) -> Column:
@@ -30,8 +30,8 @@ def sort_places(df: DataFrame, column: str, tie: str, descending: bool = False,
     return placed.select(*df.columns, "place")
 
 
-def ipac_round_trip(df: DataFrame, width: int = 24) -> DataFrame:
+def table_round_trip(df: DataFrame, width: int = 24) -> DataFrame:
     """Rows written as fixed-width lines and cut back into typed columns."""
-    lines = format_ipac(df, width)
+    lines = format_fixed_width(df, width)
     cells = [F.trim(F.substring("value", 2 + k * (width + 1), width)) for k in range(len(df.columns))]
     return lines.select(*[F.nullif(c, F.lit("null")).cast(t).alias(n) for c, (n, t) in zip(cells, df.dtypes, strict=True)])

@@ -451,11 +451,11 @@ def _(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.length("props").cast("long").alias("n"))
 
 
-@query("s01_ipac_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+@query("s01_table_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def _(spark, sf_dir):
-    from skyloom.operators.tables import ipac_round_trip
+    from skyloom.operators.tables import table_round_trip
 
-    return ipac_round_trip(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
+    return table_round_trip(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
 
 
 # --- resampling, pyramids, searches ----------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Fixed-width astronomical tables as a Spark data source (``format("ipac")``), read and written.
+"""Fixed-width astronomical tables as a Spark data source (``format("fixedwidth")``), read and written.
 
 Header lines start with a bar, whose bars place the columns: names, then optionally types, units and
 null strings. ``\\key = value`` lines before them are keywords. Data types are not enforced: numeric
@@ -41,7 +41,7 @@ def header_of(spark: SparkSession, path: str) -> Header:
     return Header([r["value"] for r in lines])
 
 
-def read_ipac(spark: SparkSession, path: str) -> DataFrame:
+def read_fixed_width(spark: SparkSession, path: str) -> DataFrame:
     """A table by Spark's own text reader: files split, columns cut out by JVM expressions, and
     records numbered by their line order within a file."""
     header = header_of(spark, path)
@@ -55,7 +55,7 @@ def read_ipac(spark: SparkSession, path: str) -> DataFrame:
     return data.select(*out)
 
 
-def format_ipac(df: DataFrame, width: int = 20) -> DataFrame:
+def format_fixed_width(df: DataFrame, width: int = 20) -> DataFrame:
     """The data lines of a table, one string a row: right-aligned cells of ``width`` characters.
     Longer values would be cut; they fail instead."""
     cells = []
@@ -72,7 +72,7 @@ def header_lines(df: DataFrame, width: int = 20, keywords: dict[str, str] | None
     return [*(f"\\{k} = {v}" for k, v in (keywords or {}).items()), row(df.columns), row(kinds), row([""] * len(kinds)), row(["null"] * len(kinds))]
 
 
-def write_ipac(df: DataFrame, path: str, width: int = 20, keywords: dict[str, str] | None = None) -> None:
+def write_fixed_width(df: DataFrame, path: str, width: int = 20, keywords: dict[str, str] | None = None) -> None:
     """Write a table as text files of one folder; every file starts with the header."""
     head = header_lines(df, width, keywords)
 
@@ -86,15 +86,15 @@ def write_ipac(df: DataFrame, path: str, width: int = 20, keywords: dict[str, st
                 first = False
             yield batch
 
-    format_ipac(df, width).mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
+    format_fixed_width(df, width).mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
 
 
-class IpacDataSource(DataSource):
-    """``spark.read.format("ipac").load(path)`` for tables on a path that every executor sees."""
+class FixedWidthDataSource(DataSource):
+    """``spark.read.format("fixedwidth").load(path)`` for tables on a path that every executor sees."""
 
     @classmethod
     def name(cls) -> str:
-        return "ipac"
+        return "fixedwidth"
 
     def _header(self) -> Header:
         lines = []

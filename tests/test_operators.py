@@ -8,7 +8,7 @@ from skyloom.functions import coords
 from skyloom.functions.parsing import parse_select_list
 from skyloom.operators import fits, geometry, pixels
 from skyloom.sources import fits as fits_files
-from skyloom.sources import ipac
+from skyloom.sources import fixed_width
 
 
 def planted(spark, outliers=True):
@@ -70,16 +70,16 @@ def test_select_list():
     assert parse_select_list("5,1:3") == [(1, 3), (5, 5)]
 
 
-def test_ipac_files(spark, tmp_path):
+def test_fixed_width_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b", 1.5), (2, None, None)], "n long, s string, x double")
-    ipac.write_ipac(df.coalesce(1), str(tmp_path / "t"), keywords={"origin": "test"})
-    back = ipac.read_ipac(spark, str(tmp_path / "t"))
+    fixed_width.write_fixed_width(df.coalesce(1), str(tmp_path / "t"), keywords={"origin": "test"})
+    back = fixed_width.read_fixed_width(spark, str(tmp_path / "t"))
     assert back.dtypes == [("n", "bigint"), ("s", "string"), ("x", "double")]
     assert sorted(map(tuple, back.collect())) == [(1, "a b", 1.5), (2, None, None)]
-    spark.dataSource.register(ipac.IpacDataSource)
+    spark.dataSource.register(fixed_width.FixedWidthDataSource)
     part = next((tmp_path / "t").glob("part-*"))
-    assert spark.read.format("ipac").load(str(part)).count() == 2
-    assert ipac.header_of(spark, str(tmp_path / "t")).keywords == {"origin": "test"}
+    assert spark.read.format("fixedwidth").load(str(part)).count() == 2
+    assert fixed_width.header_of(spark, str(tmp_path / "t")).keywords == {"origin": "test"}
 
 
 def test_fits_files(spark, tmp_path):
