@@ -112,3 +112,38 @@ def pivot(x: Column, y: Column, x0: float, y0: float, clockwise: bool = False) -
     """Turn by 90 degrees about a point."""
     dx, dy = x - x0, y - y0
     return (x0 + dy, y0 - dx) if clockwise else (x0 - dy, y0 + dx)
+
+#: Supergalactic pole and zero point in galactic longitude and latitude, degrees.
+SUPERGALACTIC_POLE, SUPERGALACTIC_ZERO = (47.37, 6.32), 137.37
+#: Seconds of arc (or degrees) in units of angle.
+UNITS = {"deg": 1.0, "rad": 180 / math.pi, "mrad": 0.18 / math.pi, "arcsec": 1 / 3600, "mas": 1 / 3_600_000}
+
+
+def precess(lon: Column, lat: Column, year: float) -> tuple[Column, Column]:
+    """Mean equatorial position of J2000 at a Julian epoch (IAU 1976 angles)."""
+    t = (year - 2000.0) / 100.0
+    zeta = (2306.2181 * t + 0.30188 * t * t + 0.017998 * t**3) / 3600
+    z = (2306.2181 * t + 1.09468 * t * t + 0.018203 * t**3) / 3600
+    theta = math.radians((2004.3109 * t - 0.42665 * t * t - 0.041833 * t**3) / 3600)
+    v = unit(lon + zeta, lat)
+    turned = [math.cos(theta) * v[0] - math.sin(theta) * v[2], v[1], math.sin(theta) * v[0] + math.cos(theta) * v[2]]
+    a, d = lon_lat(turned)
+    return F.pmod(a + z + 360.0, F.lit(360.0)), d
+
+
+def galactic_to_supergalactic(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Rotation that takes the supergalactic pole to latitude 90 and the zero point to longitude 0."""
+    a, d = (math.radians(x) for x in SUPERGALACTIC_POLE)
+    pole = (math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d))
+    zero = (math.cos(math.radians(SUPERGALACTIC_ZERO)), math.sin(math.radians(SUPERGALACTIC_ZERO)), 0.0)
+    third = (pole[1] * zero[2] - pole[2] * zero[1], pole[2] * zero[0] - pole[0] * zero[2], pole[0] * zero[1] - pole[1] * zero[0])
+    return lon_lat(rotate(unit(lon, lat), (zero, third, pole)))
+
+
+def convert_angle(value: Column, source: str, target: str) -> Column:
+    return value * (UNITS[source] / UNITS[target])
+
+
+def tile_path(order: Column, tile: Column) -> Column:
+    """Folder path of a pyramid tile: ten thousand tiles share a folder."""
+    return F.concat(F.lit("Norder"), order.cast("string"), F.lit("/Dir"), (F.floor(tile / 10_000) * 10_000).cast("string"), F.lit("/Npix"), tile.cast("string"))

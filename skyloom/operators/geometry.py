@@ -95,3 +95,21 @@ def global_ids(images: DataFrame) -> DataFrame:
     sizes = images.groupBy("plate").agg(F.count("*").alias("n"))
     shift = F.coalesce(F.sum("n").over(Window.orderBy("plate").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return images.join(sizes.select("plate", shift.alias("shift")), "plate").withColumn("id", F.col("shift") + F.row_number().over(Window.partitionBy("plate").orderBy("cntr"))).drop("shift")
+
+
+def neighbour_tiles(tiles: DataFrame) -> DataFrame:
+    """Pairs of tiles (i, j) that share a side, each once: every tile looks to its right and up."""
+    moved = tiles.select("i", "j", F.explode(F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("d"))
+    moved = moved.select("i", "j", (F.col("i") + F.col("d.a")).alias("i_2"), (F.col("j") + F.col("d.b")).alias("j_2"))
+    other = tiles.select(F.col("i").alias("i_2"), F.col("j").alias("j_2")).distinct()
+    return moved.join(other, ["i_2", "j_2"], "left_semi").select("i", "j", "i_2", "j_2")
+
+
+def bounding_box(points: DataFrame, key: str) -> DataFrame:
+    """North-aligned box of positions by key. Longitudes are taken about the mean direction, so that a
+    field over longitude 0 isn't split."""
+    v = unit(F.col("ra"), F.col("dec"))
+    centre = points.groupBy(key).agg(F.sum(v[0]).alias("sx"), F.sum(v[1]).alias("sy")).select(key, F.degrees(F.atan2("sy", "sx")).alias("lon0"))
+    offset = F.pmod(F.col("ra") - F.col("lon0") + 180, F.lit(360.0)) - 180
+    near = points.join(centre, key)
+    return near.groupBy(key).agg(F.first("lon0").alias("lon0"), F.min(offset).alias("west"), F.max(offset).alias("east"), F.min("dec").alias("south"), F.max("dec").alias("north"))

@@ -93,3 +93,11 @@ def flux_calibration(matches: DataFrame, rounds: int = 5, base: float = 2.512) -
         use = good if fit is None else good.join(fit, "image_id").filter(F.abs(F.col("d") - F.col("m")) <= 2 * F.col("s")).select("image_id", "d")
         fit = use.groupBy("image_id").agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s"), F.count("*").alias("n"))
     return fit
+
+
+def synthetic_sky(sources: DataFrame, width: int, reference: float, floor: float = 3.0) -> DataFrame:
+    """Sources (x, y, mag) as flat squares of 2 width + 1 pixels; fluxes below ``floor`` count as it."""
+    flux = F.greatest(F.lit(floor), F.pow(F.lit(10.0), 0.4 * (F.lit(reference) - F.col("mag"))))
+    reach = F.sequence(F.lit(-width), F.lit(width))
+    spread = sources.select("x", "y", flux.alias("flux"), F.explode(reach).alias("dx")).select("x", "y", "flux", "dx", F.explode(reach).alias("dy"))
+    return spread.groupBy((F.col("x") + F.col("dx")).alias("i"), (F.col("y") + F.col("dy")).alias("j")).agg((F.sum("flux") / (2 * width + 1) ** 2).alias("v"))

@@ -572,3 +572,69 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     n = _table(spark, sf_dir, "nation")
     return n.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
+
+
+# --- more coordinates and tiles ---------------------------------------------------------------------
+
+@query("f07_precession", sql("""SELECT cntr, round(degrees(asin(sin(t) * cos(radians(dec)) * cos(radians(ra + ze)) + cos(t) * sin(radians(dec)))), 4) AS lat FROM stars,
+  (SELECT (2306.2181e0 * -0.5e0 + 0.30188e0 * 0.25e0 + 0.017998e0 * -0.125e0) / 3600 AS ze, radians((2004.3109e0 * -0.5e0 - 0.42665e0 * 0.25e0 - 0.041833e0 * -0.125e0) / 3600) AS t)"""))
+def _(spark, sf_dir):
+    return view(spark, sf_dir, "stars").select("cntr", _r(coords.precess(F.col("ra"), F.col("dec"), 1950.0)[1]).alias("lat"))
+
+
+@query("f04_supergalactic", sql("SELECT cntr, round(degrees(asin(greatest(-1, least(1, cos(radians(6.32e0)) * cos(radians(dec)) * cos(radians(ra - 47.37e0)) + sin(radians(6.32e0)) * sin(radians(dec)))))), 4) AS lat FROM stars"))
+def _(spark, sf_dir):
+    return view(spark, sf_dir, "stars").select("cntr", _r(coords.galactic_to_supergalactic(F.col("ra"), F.col("dec"))[1]).alias("lat"))
+
+
+@query("f10_units", sql("SELECT cntr, round(ra * 3600, 2) AS arcsec, round(radians(dec), 6) AS rad FROM stars"))
+def _(spark, sf_dir):
+    s = view(spark, sf_dir, "stars")
+    return s.select("cntr", _r(coords.convert_angle(F.col("ra"), "deg", "arcsec"), 2).alias("arcsec"), _r(coords.convert_angle(F.col("dec"), "deg", "rad"), 6).alias("rad"))
+
+
+@query("f15_edge_normals", sql(f"SELECT cntr, round(y, 5) + 0e0 AS nx, round(-x, 5) + 0e0 AS ny FROM (SELECT cntr, {_uv()} FROM stars)"))
+def _(spark, sf_dir):
+    n = coords.cross(coords.unit(F.col("ra"), F.col("dec")), [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
+    return view(spark, sf_dir, "stars").select("cntr", (_r(n[0], 5) + 0.0).alias("nx"), (_r(n[1], 5) + 0.0).alias("ny"))
+
+
+@query("k06_tile_paths", sql("SELECT DISTINCT i, j, 'Norder5/Dir' || ((i * 1000 + j) // 10000 * 10000) || '/Npix' || (i * 1000 + j) AS path FROM pix"))
+def _(spark, sf_dir):
+    p = view(spark, sf_dir, "pix").select("i", "j").distinct()
+    return p.withColumn("path", coords.tile_path(F.lit(5), F.col("i") * 1000 + F.col("j")))
+
+
+@query("j16_tile_pairs", sql("SELECT a.i, a.j, b.i AS i_2, b.j AS j_2 FROM (SELECT DISTINCT i, j FROM pix) a JOIN (SELECT DISTINCT i, j FROM pix) b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1)"))
+def _(spark, sf_dir):
+    return geometry.neighbour_tiles(view(spark, sf_dir, "pix").select("i", "j").distinct())
+
+
+@query("a07_bounding_info", sql("SELECT image_id, min(i) AS xmin, max(i) AS xmax, min(j) AS ymin, max(j) AS ymax, round(avg(i), 4) AS xcenter, round(avg(j), 4) AS ycenter, count(*) AS npixel FROM pix WHERE v IS NOT NULL GROUP BY image_id"))
+def _(spark, sf_dir):
+    good = view(spark, sf_dir, "pix").filter("v IS NOT NULL")
+    return good.groupBy("image_id").agg(F.min("i").alias("xmin"), F.max("i").alias("xmax"), F.min("j").alias("ymin"), F.max("j").alias("ymax"), _r(F.avg("i")).alias("xcenter"), _r(F.avg("j")).alias("ycenter"), F.count("*").alias("npixel"))
+
+
+@query("a19_synthetic_sky", sql("""SELECT floor(ra)::INT + dx AS i, floor(dec)::INT + dy AS j, round(sum(greatest(3, pow(10e0, 0.4e0 * (5 - cntr % 8)))) / 9 + 3.3e-7, 4) + 0e0 AS v FROM stars, (SELECT unnest([-1, 0, 1])::INT AS dx), (SELECT unnest([-1, 0, 1])::INT AS dy) GROUP BY 1, 2"""))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import synthetic_sky
+
+    s = view(spark, sf_dir, "stars").select(F.floor("ra").cast("int").alias("x"), F.floor("dec").cast("int").alias("y"), (F.col("cntr") % 8).alias("mag"))
+    return synthetic_sky(s, 1, 5.0).select("i", "j", _off("v").alias("v"))
+
+
+@query("a21_bounding_box", sql("SELECT cntr % 7 AS field, round(min(dec), 4) AS south, round(max(dec), 4) AS north FROM stars GROUP BY 1"))
+def _(spark, sf_dir):
+    s = view(spark, sf_dir, "stars").withColumn("field", F.col("cntr") % 7)
+    return geometry.bounding_box(s, "field").select("field", _r("south").alias("south"), _r("north").alias("north"))
+
+
+@query("w03_gaussian_levels")
+def _(spark, sf_dir):
+    from skyloom.functions.mathematics import inverse_normal
+
+    h = pixels.histogram(view(spark, sf_dir, "pix"), 200)
+    total = F.sum("n").over(Window.partitionBy())
+    share = F.col("cumulative") / total
+    return h.select("bin", F.coalesce(inverse_normal(share), F.when(share <= 0, -1000.0).otherwise(1000.0)).alias("gausslev"))
