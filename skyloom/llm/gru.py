@@ -298,15 +298,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     """doc_id, held_out, score and predicted for every document, and its columns ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", *keep]
+    text = "text" if "text" in keep else "__text"  # a kept text isn't sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.scores(data, at) for _, data, at in slices(batch, "__text", SLICE)]
+            scores = [shared.value.scores(data, at) for _, data, at in slices(batch, text, SLICE)]
             values = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(values, pa.float64())], names=[*names, "score"])
 
-    wide = docs.select(*names, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields[:-1]) + ", score double"
+    wide = docs.select(*names, *([] if "text" in keep else [F.col("text").alias("__text")]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields[: len(names)]) + ", score double"
     scored = wide.mapInArrow(run, schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *keep)
 

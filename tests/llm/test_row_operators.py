@@ -167,6 +167,8 @@ def test_gru_held_out(spark):
     rows = gru.score(docs, model).collect()
     assert len(rows) == 303 and accuracy(rows, truth) > 0.9
     assert gru.score(docs.limit(0), model).count() == 0
+    kept = gru.score(docs.drop("score"), model, keep=("text",))
+    assert sorted((r["text"] or "", r["score"]) for r in kept.collect()) == sorted((dict((d["doc_id"], d["text"]) for d in docs.collect())[r["doc_id"]] or "", r["score"]) for r in rows)
     assert {r["score"] for r in gru.score(docs, gru.Model(None)).collect()} == {0.0}
 
 
