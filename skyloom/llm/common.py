@@ -48,6 +48,39 @@ def chunk_labels(spark: SparkSession, n: int) -> list[int]:
     return labels + [20 * n + k for k in range(n - len(labels))]
 
 
+def pack(rows: pa.Table | pa.RecordBatch) -> bytes:
+    """Rows as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        chunk = batch.column(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(chunk, kind="stable")
+        rows = batch.select(batch.schema.names[1:]).take(pa.array(order))
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0])) if len(chunk) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(chunk))
+        blobs = [pack(rows.slice(a, b - a)) for a, b in zip(cuts, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[order][cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "rows"])
+
+
+def chunked(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, list[int]]:
+    """``docs`` dealt to as many chunks as the session has shuffle partitions, and their labels.
+    A row of the result is (chunk, packed rows); all who read it share its one shuffle."""
+    n = parts(docs)
+    labels = chunk_labels(docs.sparkSession, n)
+    pick = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n)) + 1).cast("int"))
+    packed = docs.select(pick.alias("chunk"), *columns).mapInArrow(_pack_chunks, "chunk int, rows binary")
+    return packed.repartition(n, "chunk"), labels
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its row offsets into them; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import chunk_labels, parts, table
+from skyloom.llm.common import chunked, pack, table, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -102,13 +102,20 @@ _WORDS = re.compile(" *[^ ]+| +")
 
 
 def words(text: str) -> list[str]:
-    """A text's words with the spaces before them, as :func:`normalise` spells them but with plain
-    spaces. No unit crosses a word, so distinct words need cutting only once."""
-    return _WORDS.findall(" " + text) if text else []
+    """A text's words without the one space that :func:`normalise` has before each of them. A word
+    after several spaces keeps the others, as pieces may span them. No unit crosses a word, so
+    distinct words need cutting only once."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [w[1:] for w in _WORDS.findall(" " + text)]
+    return text.split(" ")
 
 
 def word_units(word: str) -> list[str]:
-    return units(word.replace(" ", SPACE))
+    if word.isalpha() and len(word) < LONGEST_UNIT:  # letters only: one unit
+        return [SPACE + word]
+    return units(SPACE + word.replace(" ", SPACE))
 
 
 def normalise(text: str) -> str:
@@ -150,32 +157,36 @@ def encode_units(distinct: DataFrame, pieces: Pieces, key: str) -> DataFrame:
         pa.table({"piece": list(pieces.normal), "id": pa.array([i for i, _ in pieces.normal.values()], pa.int32()), "score": pa.array([s for _, s in pieces.normal.values()], pa.float64())})
     )
     spans = (
-        distinct.select(key, "unit", F.length("unit").alias("n"))
+        distinct.select(key, "unit", F.length("unit").alias("n"), F.monotonically_increasing_id().alias("row"))
         .select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("start"))
         .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start") + 1))).alias("size"))
         .select("*", F.substring("unit", F.col("start"), F.col("size")).alias("piece"))
     )
     edges = spans.join(F.broadcast(lookup), "piece", "left").filter("id IS NOT NULL OR size = 1").select(
-        key, "unit", "n",
+        key, "row", "unit",
         F.struct(
             (F.col("start") + F.col("size") - 1).alias("end"), (-F.col("size")).alias("short"),
             F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
         ).alias("e"),
     )
-    grouped = edges.groupBy(key, "unit", "n").agg(F.collect_list("e").alias("edges"))
+    # a number names the unit while its edges are grouped: sorting numbers is cheaper than strings
+    grouped = edges.groupBy("row", key).agg(F.first("unit").alias("unit"), F.collect_list("e").alias("edges"))
     ordered = F.transform(F.sort_array("edges"), lambda e: F.struct(e["end"], (-e["short"]).alias("size"), e["id"], e["score"]))
-    return grouped.select(key, "unit", best_path(F.col("n"), ordered).alias("ids"))
+    return grouped.select(key, "unit", best_path(F.length("unit"), ordered).alias("ids"))
 
 
 def decode_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) -> str:
     """The text that piece ids spell."""
+    return spell_ids(ids, pieces, first_byte).replace(SPACE, " ")[1:]
+
+
+def spell_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) -> str:
+    """The pieces of ids, joined; byte pieces become the characters they encode."""
     values = first_byte if first_byte is not None else {i: b for b, i in enumerate(pieces.byte_ids)}
     texts = pieces.texts
     if values.keys().isdisjoint(ids):
-        spelled = "".join([texts[i] for i in ids])
-    else:
-        spelled = b"".join(bytes([values[i]]) if i in values else texts[i].encode() for i in ids).decode("utf-8", "replace")
-    return spelled.replace(SPACE, " ")[1:]
+        return "".join([texts[i] for i in ids])
+    return b"".join(bytes([values[i]]) if i in values else texts[i].encode() for i in ids).decode("utf-8", "replace")
 
 
 CHUNK_ROWS = "bucket int, chunk int, units string"
@@ -199,9 +210,10 @@ def _extract(buckets: list[int]):
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["bucket", "chunk", "units"])
 
         for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if text:
-                    held.setdefault(chunk, set()).update(words(text))
+            for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = held.setdefault(chunk, set())
+                for text in unpack(rows.as_buffer()).column("text").to_pylist():
+                    found.update(words(text))
             if sum(map(len, held.values())) > HELD_WORDS:
                 yield flush()
         yield flush()
@@ -209,50 +221,67 @@ def _extract(buckets: list[int]):
     return run
 
 
-def _expand(ids: list[int], byte_ids: tuple[int, ...]) -> list[int]:
-    if min(ids) >= 0:
-        return ids
-    return [x for i in ids for x in ([i] if i >= 0 else [byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])]
+def _spell(id_: int, byte_ids: tuple[int, ...]) -> list[int]:
+    return [id_] if id_ >= 0 else [byte_ids[b] for b in chr(-1 - id_).encode("utf-8", "surrogatepass")]
+
 
+def _answer(pieces: Pieces, kind: str):
+    """Each chunk's units of a bucket with their piece ids as bytes of type ``kind``, and whether the
+    ids decode to the unit. As texts decode unit by unit, that holds for a text if for its units."""
+    byte_ids = pieces.byte_ids
+    bytes_of = {i: b for b, i in enumerate(byte_ids)}
 
-def _answer(byte_ids: tuple[int, ...]):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        paths = dict(zip(right.column("unit").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        paths = {u: np.array(_expand(ids, byte_ids), np.uint32) for u, ids in paths.items()}
-        sizes, ids = [], []
+        lists = right.column("ids").combine_chunks()
+        flat = lists.flatten().to_numpy()
+        ends = np.cumsum(np.diff(lists.offsets.to_numpy())).tolist()
+        width = np.dtype(kind).itemsize
+        whole, paths, begin = flat.astype(kind).tobytes(), {}, 0
+        for unit, end in zip(right.column("unit").to_pylist(), ends, strict=True):
+            paths[unit] = whole[begin * width : end * width]
+            begin = end
+        missing = set(np.searchsorted(ends, np.flatnonzero(flat < 0), side="right").tolist())
+        for k in missing:  # units with characters that have no piece
+            paths[right.column("unit")[k].as_py()] = np.array([x for i in lists[k].as_py() for x in _spell(i, byte_ids)], kind).tobytes()
+        wrong = {u for u, b in paths.items() if spell_ids(np.frombuffer(b, kind).tolist(), pieces, bytes_of) != u}
+        blobs = []
         for text in left.column("units").to_pylist():
-            found = [paths[u] for u in text.split(" ")]
-            sizes.append(np.array([len(f) for f in found], np.uint32).tobytes())
-            ids.append(np.concatenate(found).tobytes())
-        return pa.table({"chunk": left.column("chunk"), "units": left.column("units"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+            names = text.split(" ")
+            columns = [pa.array(names, pa.string()), pa.array([paths[u] for u in names], pa.binary()), pa.array([u in wrong for u in names], pa.bool_())]
+            blobs.append(pack(pa.RecordBatch.from_arrays(columns, names=["unit", "ids", "wrong"])))
+        return pa.table({"chunk": left.column("chunk"), "paths": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _assemble(pieces: Pieces):
-    bytes_of = {i: b for b, i in enumerate(pieces.byte_ids)}
-
+def _assemble(kind: str):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        paths: dict[str, list[int]] = {}
-        for text, sizes, ids in zip(*(right.column(c).to_pylist() for c in ("units", "sizes", "ids")), strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
-            flat, begin = np.frombuffer(ids, np.uint32).tolist(), 0
-            for u, end in zip(text.split(" "), ends, strict=True):
-                paths[u] = flat[begin:end]
-                begin = end
-        out, same, known = [], [], {}
-        for text in left.column("text").to_pylist():
-            ids = []
-            for w in words(text or ""):
-                found = known.get(w)
-                if found is None:
-                    found = known[w] = [i for u in word_units(w) for i in paths[u]]
-                ids += found
-            out.append(np.array(ids, np.int32))
-            same.append(decode_ids(ids, pieces, bytes_of) == (text or "").replace(SPACE, " "))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
-        return pa.table({"doc_id": left.column("doc_id"), "ids": lists, "n_pieces": pa.array([len(x) for x in out], pa.int64()), "round_trip": pa.array(same, pa.bool_())})
+        paths: dict[str, bytes] = {}
+        odd: set[str] = set()  # units that don't decode to themselves
+        for blob in right.column("paths"):
+            found = unpack(blob.as_buffer())
+            paths.update(zip(found.column("unit").to_pylist(), found.column("ids").to_pylist(), strict=True))
+            odd.update(found.filter(found.column("wrong")).column("unit").to_pylist())
+        known: dict[str, bytes] = {}
+        wrong: set[str] = set()
+        out = []
+        for rows in left.column("rows"):
+            texts = unpack(rows.as_buffer())
+            ids, same = [], []
+            for text in texts.column("text").to_pylist():
+                ws = words(text)
+                for w in set(ws).difference(known):
+                    own = word_units(w)
+                    known[w] = paths[own[0]] if len(own) == 1 else b"".join([paths[u] for u in own])
+                    if odd and not odd.isdisjoint(own):
+                        wrong.add(w)
+                ids.append(b"".join([known[w] for w in ws]))
+                same.append(not wrong or wrong.isdisjoint(ws))
+            sizes = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
+            flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+            out.append(pa.table({"doc_id": texts.column("doc_id"), "ids": lists, "n_pieces": pa.array(sizes), "round_trip": pa.array(same, pa.bool_())}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -261,16 +290,16 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids, n_pieces and round_trip (the ids decode to the text) of every document. As
     many chunks as the session has shuffle partitions hold the text, so their number should grow
     with the data as that of any shuffle."""
-    pieces, spark = load_pieces(model), docs.sparkSession
-    n = parts(docs)
-    labels = chunk_labels(spark, n)
-    pick = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n)) + 1).cast("int"))
-    chunked = docs.select(pick.alias("chunk"), "doc_id", "text").repartition(n, "chunk")
-    listed = chunked.mapInArrow(_extract(labels), CHUNK_ROWS).repartition(n, "bucket")
-    distinct = listed.select(F.col("bucket").alias("own"), F.explode(F.split("units", " ")).alias("unit")).distinct()
+    pieces = load_pieces(model)
+    kind = "<u2" if len(pieces.texts) <= 1 << 16 else "<u4"
+    texts, labels = chunked(docs, ["doc_id", "text"])
+    listed = texts.mapInArrow(_extract(labels), CHUNK_ROWS).repartition(len(labels), "bucket")
+    # the condition on chunk keeps all columns of the lists' shuffle, so that both readers share it
+    names = F.when(F.col("chunk").isNotNull(), F.split("units", " "))
+    distinct = listed.select(F.col("bucket").alias("own"), F.explode_outer(names).alias("unit")).filter("unit IS NOT NULL").distinct()
     paths = encode_units(distinct, pieces, "own")
-    answers = listed.groupBy("bucket").cogroup(paths.groupBy("own")).applyInArrow(_answer(pieces.byte_ids), "chunk int, units string, sizes binary, ids binary")
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(pieces), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+    answers = listed.groupBy("bucket").cogroup(paths.groupBy("own")).applyInArrow(_answer(pieces, kind), "chunk int, paths binary")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(kind), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
