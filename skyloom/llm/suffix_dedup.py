@@ -6,8 +6,8 @@ segment of at most 84 bytes. Segments whose anchor occurs in one document only c
 no further; the others, distinct within a chunk of documents and with that chunk's least
 doc_id, are dealt by anchor. Per group of anchors the segments' collection Burrows-Wheeler
 transform and longest common prefixes are then built column by column: each round inserts one more
-symbol of every segment (from the right) into the sequences of symbols, prefixes and owners of the
-round before, read and written in order. Common prefixes of 50 and more join equal strings; the
+symbol of every segment (from the right) into the sequence of symbols, prefixes and owners of the
+round before, read and written in order (in files beyond ``IN_MEMORY`` entries). Common prefixes of 50 and more join equal strings; the
 least doc_id of such a group decides what each chunk removes.
 
 The text moves once, to chunks; anchors travel as packed sorted numbers, segments as packed bytes.
@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import SLICE_BYTES, chunk_labels, mix, parts, span_hashes, table, utf8
+from skyloom.llm.common import SLICE_BYTES, chunked, mix, span_hashes, table, unpack, utf8
 
 LENGTH, ANCHOR = 50, 16
 _SPAN = LENGTH - ANCHOR + 1  # anchor positions of a string
@@ -99,97 +99,93 @@ def _unpack40(b: bytes) -> np.ndarray:
 # --- the column-wise construction -------------------------------------------------------------
 
 
-class _Sequences:
-    """Symbols, common prefixes and owners of the entries, in order; in files while they are long."""
+class _Sequence:
+    """The entries in order, each packed as owner << 24 | suffix length << 16 | common prefix << 8 |
+    preceding symbol; in a file, written and read from end to end, while there are many."""
 
-    def __init__(self, symbols: np.ndarray, prefixes: np.ndarray, owners: np.ndarray, folder: str | None):
-        self.folder, self.round = folder, 0
-        self.put(symbols, prefixes, owners)
+    def __init__(self, entries: np.ndarray, folder: str | None):
+        self.folder, self.round, self.held = folder, 0, None
+        self.put(entries)
 
-    def get(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.folder is None:
-            return self.held
-        return tuple(np.fromfile(Path(self.folder, f"{k}{self.round & 1}"), t) for k, t in (("symbols", np.uint8), ("prefixes", np.uint8), ("owners", np.int64)))
+    def get(self) -> np.ndarray:
+        return self.held if self.folder is None else np.fromfile(Path(self.folder, f"round{self.round & 1}"), np.uint64)
 
-    def put(self, *sequences: np.ndarray) -> None:
+    def put(self, entries: np.ndarray) -> None:
         if self.folder is None:
-            self.held = sequences
-            return
-        self.round += 1
-        for k, x in zip(("symbols", "prefixes", "owners"), sequences, strict=True):
-            x.tofile(Path(self.folder, f"{k}{self.round & 1}"))
+            self.held = entries
+        else:
+            self.round += 1
+            entries.tofile(Path(self.folder, f"round{self.round & 1}"))
 
 
-def build(right: np.ndarray, size: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Common prefixes (of each entry with the one before) and owners (string * 256 + suffix length)
-    of all suffixes of the strings, in order. ``right``: strings as right-aligned rows of symbols
-    above 0. Round j inserts the suffixes of j symbols: the place of one is given by how often its
-    first symbol occurs in the sequence of preceding symbols before the place of its rest."""
+def build(right: np.ndarray, size: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of the strings in order: their common prefixes (of each with the one before),
+    their strings and their lengths. ``right``: the strings as right-aligned rows of symbols above
+    0. Round j inserts the suffixes of j symbols: the place of one is given by how often its first
+    symbol occurs among the preceding symbols before the place of its rest."""
     m, width = right.shape
-    ids = np.arange(m)
-    state = _Sequences(right[:, -1].copy(), np.zeros(m, np.uint8), ids * 256, folder)
-    asked = ids[size > 0]
+    columns = np.ascontiguousarray(right.T)
+    owner, length, prefix = np.uint64(24), np.uint64(16), np.uint64(8)
+    state = _Sequence(np.arange(m, dtype=np.uint64) << owner | columns[-1], folder)
+    asked = np.flatnonzero(size > 0)
     for j in range(1, int(size.max(initial=0)) + 1):
-        symbols, prefixes, owners = state.get()
-        n = len(symbols)
+        entries = state.get()
+        n = len(entries)
+        symbols, prefixes = entries.astype(np.uint8), np.zeros(n + 1, np.uint8)
+        prefixes[:n] = entries >> prefix
         order = np.argsort(symbols, kind="stable")
-        wanted = np.zeros(n + 1, bool)
+        wanted = np.zeros(n, bool)
         wanted[asked] = True
-        rank = np.flatnonzero(wanted[order])
-        ended = int((symbols == 0).sum())
-        string = owners[order[rank]] >> 8
-        # the new entries, and old ones that follow a new entry, get their prefix with the one before
-        touched = np.zeros(n + 1, bool)
-        touched[rank] = True
-        touched[rank + 1] = True
-        touched = np.flatnonzero(touched[:n])
+        rank = np.flatnonzero(wanted.take(order))
+        string = entries[order[rank]] >> owner
+        # new entries, and old ones that follow a new one, get their prefix with the entry before
+        follows = rank[np.append(np.diff(rank) > 1, rank[-1] + 1 < n)] + 1
+        touched = np.concatenate([rank, follows])
         x, y = order[touched], order[np.maximum(touched - 1, 0)]
-        same = (touched > 0) & (symbols[x] == symbols[y])
-        common = np.zeros(len(touched), np.uint8)
-        if same.any():
-            falling = np.flatnonzero(same)[np.argsort(-x[same], kind="stable")]  # then reduceat reduces nothing in between
+        same = np.flatnonzero((touched > 0) & (symbols[x] == symbols[y]))
+        common = np.zeros(len(touched), np.uint64)
+        if len(same):
+            falling = same[np.argsort(-x[same])]  # so that reduceat has nothing to reduce in between
             bounds = np.empty(2 * len(falling), np.int64)
             bounds[0::2], bounds[1::2] = y[falling] + 1, x[falling] + 1
-            common[falling] = np.minimum.reduceat(np.append(prefixes, np.uint8(0)), bounds)[0::2] + np.uint8(1)
-        place = rank - ended + m
-        before = np.where(size[string] > j, right[string, np.maximum(width - j - 1, 0)], 0).astype(np.uint8)
-        old = np.ones(n + len(place), bool)
-        old[place] = False
-        merged = []
-        for x_old, x_new in ((symbols, before), (prefixes, 0), (owners, string * 256 + j)):
-            out = np.empty(n + len(place), x_old.dtype)
-            out[old] = x_old
-            out[place] = x_new
-            merged.append(out)
-        merged[1][touched - ended + m] = common
-        state.put(*merged)
+            common[falling] = np.minimum.reduceat(prefixes, bounds)[0::2].astype(np.uint64) + np.uint64(1)
+        shift = m - int(np.count_nonzero(symbols == 0))
+        place = rank + shift
+        row = string.astype(np.int64)
+        before = np.where(size[row] > j, columns[max(width - j - 1, 0)][row], 0).astype(np.uint64)
+        old = np.ones(n + len(place), np.int8)
+        old[place] = 0
+        merged = entries.take(np.cumsum(old, dtype=np.int32) - np.int32(1), mode="clip")
+        merged[place] = string << owner | np.uint64(j) << length | before
+        touched += shift
+        merged[touched] = merged[touched] & ~np.uint64(0xFF00) | common << prefix
+        state.put(merged)
         asked = place[before > 0]
-    _, prefixes, owners = state.get()
-    return prefixes, owners
+    entries = state.get()
+    return (entries >> prefix).astype(np.uint8), (entries >> owner).astype(np.int64), (entries >> length).astype(np.uint8).astype(np.int64)
 
 
-def least_documents(strings: list[bytes], document: np.ndarray) -> list[np.ndarray]:
-    """For each string the least document of every LENGTH-byte string that starts in it."""
+def least_documents(strings: list[bytes], document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least document of every LENGTH-byte string that starts in a string, and where each
+    string's begin."""
     size = np.array([len(s) for s in strings])
     width = int(size.max())
-    flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
+    flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     right = np.zeros((len(strings), width), np.uint8)
     right[np.arange(width) >= (width - size)[:, None]] = flat
     if int((size + 1).sum()) > IN_MEMORY:
         with tempfile.TemporaryDirectory() as folder:
-            prefixes, owners = build(right, size, folder)
+            prefixes, owners, lengths = build(right, size, folder)
     else:
-        prefixes, owners = build(right, size)
+        prefixes, owners, lengths = build(right, size)
     starts = np.flatnonzero(prefixes < LENGTH)
     group = np.cumsum(prefixes < LENGTH) - 1
-    least = np.minimum.reduceat(document[owners >> 8], starts)[group]
-    long = (owners & 255) >= LENGTH
-    string, offset = owners[long] >> 8, size[owners[long] >> 8] - (owners[long] & 255)
-    count = size - LENGTH + 1
-    first = np.concatenate([[0], np.cumsum(count)])
+    least = np.minimum.reduceat(document[owners], starts)[group]
+    long = lengths >= LENGTH
+    first = np.concatenate([[0], np.cumsum(size - LENGTH + 1)])
     out = np.empty(first[-1], np.int64)
-    out[first[string] + offset] = least[long]
-    return [out[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    out[first[owners[long]] + size[owners[long]] - lengths[long]] = least[long]
+    return out, first
 
 
 # --- the steps ---------------------------------------------------------------------------------
@@ -202,6 +198,10 @@ def _rows_of(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table_.column("doc_id").to_numpy().astype(np.int64), data, at
 
 
+def _all_rows(packed: pa.Table) -> pa.Table:
+    return pa.concat_tables([unpack(r.as_buffer()) for r in packed.column("rows")]).combine_chunks()
+
+
 def _anchors(labels: list[int]):
     n = len(labels)
 
@@ -229,9 +229,8 @@ def _anchors(labels: list[int]):
 
         count = 0
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for chunk in np.unique(t.column("chunk").to_numpy()).tolist():
-                ids, data, at = _rows_of(t.filter(pc.equal(t.column("chunk"), chunk)))
+            for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, data, at = _rows_of(unpack(rows.as_buffer()))
                 for lo, hi in _slices(data, at):
                     _, _, row, h, _ = segments(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                     held.setdefault(chunk, []).append((h, ids[lo:hi][row]))
@@ -272,7 +271,7 @@ def _segments_of_chunk(labels: list[int]):
     number = {x: k for k, x in enumerate(labels)}
 
     def run(key, texts: pa.Table, dup: pa.Table) -> pa.Table:
-        ids, data, at = _rows_of(texts)
+        ids, data, at = _rows_of(_all_rows(texts))
         names = ("bucket", "chunk", "sizes", "text", "docs", "anchors", "hash", "single")
         types = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
         keys, hots = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
@@ -339,11 +338,12 @@ def _decide(t: pa.Table) -> pa.Table:
         least_own = np.full(len(strings), np.iinfo(np.int64).max)
         rows = np.array(held, np.int64)
         np.minimum.at(least_own, member[rows], doc[rows])
-        least = least_documents(list(strings), least_own)
-        for r in held:
-            lower = least[member[r]] < doc[r]
-            if lower.any():
-                bits[r] = int.from_bytes(np.packbits(lower, bitorder="little").tobytes(), "little")
+        least, first = least_documents(list(strings), least_own)
+        count = size[rows] - LENGTH + 1
+        begin_at = np.cumsum(count) - count
+        offset = np.arange(count.sum()) - np.repeat(begin_at, count)
+        lower = least[np.repeat(first[member[rows]], count) + offset] < np.repeat(doc[rows], count)
+        bits[rows] = np.bitwise_or.reduceat(lower.astype(np.uint64) << offset.astype(np.uint64), begin_at)
         strings.clear()
         held.clear()
 
@@ -393,7 +393,8 @@ def _covered(data: np.ndarray, at: np.ndarray, ids: np.ndarray, decided: tuple[n
 
 
 def _apply(digest: bool):
-    def run(key, texts: pa.Table, decided: pa.Table) -> pa.Table:
+    def run(key, packed: pa.Table, decided: pa.Table) -> pa.Table:
+        texts = _all_rows(packed)
         blobs = [b"".join(decided.column(c).to_pylist()) for c in ("hash", "docs", "bits", "single")]
         lists = [np.frombuffer(b, t) for b, t in zip(blobs, (np.uint64, np.int64, np.uint64, np.uint8), strict=True)]
         order = np.argsort(lists[0])
@@ -425,19 +426,17 @@ def _apply(digest: bool):
 
 
 def _removal(docs: DataFrame, keep: list[str], digest: bool, hot: int) -> DataFrame:
-    spark, n = docs.sparkSession, parts(docs)
-    labels = chunk_labels(spark, n)
-    pick = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n)) + 1).cast("int"))
-    chunked = docs.select(pick.alias("chunk"), *keep).repartition(n, "chunk")
-    listed = chunked.mapInArrow(_anchors(labels), "bucket int, chunk int, anchors binary, docs binary").repartition(n, "bucket")
+    texts, labels = chunked(docs, keep)
+    n = len(labels)
+    listed = texts.mapInArrow(_anchors(labels), "bucket int, chunk int, anchors binary, docs binary").repartition(n, "bucket")
     repeated = listed.groupBy("bucket").applyInArrow(_repeated(hot), "bucket int, chunk int, anchors binary, hot binary").filter("length(anchors) > 0")
-    dealt = chunked.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(
+    dealt = texts.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(
         _segments_of_chunk(labels), "bucket int, chunk int, sizes binary, text binary, docs binary, anchors binary, hash binary, single binary"
     )
     decided = dealt.repartition(n, "bucket").groupBy("bucket").applyInArrow(_decide, "chunk int, hash binary, docs binary, bits binary, single binary")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, doc_id long" if digest else ", ".join(["text string", *(f"`{c}` {kinds[c]}" for c in keep if c != "text")])
-    return chunked.groupBy("chunk").cogroup(decided.groupBy("chunk")).applyInArrow(_apply(digest), schema)
+    return texts.groupBy("chunk").cogroup(decided.groupBy("chunk")).applyInArrow(_apply(digest), schema)
 
 
 def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
