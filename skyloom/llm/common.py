@@ -60,8 +60,24 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between stages, and what their
+    allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+#: Rows that are packed at a time.
+PACK_ROWS = 4096
+
+
 def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, PACK_ROWS) for b in batches for k in range(0, b.num_rows, PACK_ROWS)):
         chunk = batch.column(0).to_numpy(zero_copy_only=False)
         order = np.argsort(chunk, kind="stable")
         rows = batch.select(batch.schema.names[1:]).take(pa.array(order))
@@ -69,6 +85,8 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(cuts[1:], len(chunk))
         blobs = [pack(rows.slice(a, b - a)) for a, b in zip(cuts, ends, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(chunk[order][cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "rows"])
+        del rows, blobs
+    release()
 
 
 def chunked(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, list[int]]:

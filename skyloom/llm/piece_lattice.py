@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import chunked, pack, table, unpack
+from skyloom.llm.common import chunked, pack, release, table, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -217,6 +217,7 @@ def _extract(buckets: list[int]):
             if sum(map(len, held.values())) > HELD_WORDS:
                 yield flush()
         yield flush()
+        release()
 
     return run
 
@@ -249,6 +250,8 @@ def _answer(pieces: Pieces, kind: str):
             names = text.split(" ")
             columns = [pa.array(names, pa.string()), pa.array([paths[u] for u in names], pa.binary()), pa.array([u in wrong for u in names], pa.bool_())]
             blobs.append(pack(pa.RecordBatch.from_arrays(columns, names=["unit", "ids", "wrong"])))
+        paths.clear()
+        release()
         return pa.table({"chunk": left.column("chunk"), "paths": pa.array(blobs, pa.binary())})
 
     return run
@@ -281,6 +284,9 @@ def _assemble(kind: str):
             flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
             out.append(pa.table({"doc_id": texts.column("doc_id"), "ids": lists, "n_pieces": pa.array(sizes), "round_trip": pa.array(same, pa.bool_())}))
+        paths.clear()
+        known.clear()
+        release()
         return pa.concat_tables(out)
 
     return run

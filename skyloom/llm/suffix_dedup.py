@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import SLICE_BYTES, chunked, mix, span_hashes, table, unpack, utf8
+from skyloom.llm.common import SLICE_BYTES, chunked, mix, release, span_hashes, table, unpack, utf8
 
 LENGTH, ANCHOR = 50, 16
 _SPAN = LENGTH - ANCHOR + 1  # anchor positions of a string
@@ -418,6 +418,7 @@ def _apply(digest: bool):
         names = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if digest else ("text",)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string()) if digest else (pa.string(),)
         columns = list(zip(*out, strict=True)) or [[] for _ in names]
+        release()
         made = {n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)}
         others = {c: texts.column(c) for c in texts.column_names if c not in ("chunk", "text")}
         return pa.table(made | {c: v for c, v in others.items() if not digest or c == "doc_id"})
