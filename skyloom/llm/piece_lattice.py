@@ -6,7 +6,9 @@ the spaces before it. Per distinct unit of a chunk of documents (and then of the
 substrings of bounded length are exploded and equi-joined to the piece table; the edges found are
 grouped by unit and a Viterbi fold (Spark's higher-order ``aggregate``) takes the best-scoring
 path. Equal scores prefer the longer last piece. A character that no piece covers costs
-``UNKNOWN_PENALTY`` more than the worst piece and becomes byte pieces.
+``UNKNOWN_PENALTY`` more than the worst piece and becomes byte pieces. Units of more than
+``LONGEST_UNIT`` characters (unspaced scripts, digits, separator lines) go over the same lattice in
+the worker that answers for them, in time linear in their length, as the fold's is not.
 
 The text moves once, to chunks; unit lists go to the lattice and piece ids come back packed by
 (chunk, bucket), so neither the vocabulary nor any dictionary of the corpus is ever broadcast.
@@ -16,19 +18,20 @@ encoding, its own encoder merges greedily; the lattice gives the path of the bes
 the same pieces, which may differ. Decoding is exact for both.
 
 Defined cases: null and empty texts have no pieces; U+2581 in a text decodes as a space; runs of
-more than ``LONGEST_UNIT`` characters without a boundary are encoded in parts of that length;
-repeated rows are encoded one by one; further columns are ignored; an empty table gives none.
+any length without a boundary are encoded whole; repeated rows are encoded one by one; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ from skyloom.llm.common import chunked, pack, release, table, unpack
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Longest unit whose lattice is a relation; longer ones are walked in the worker.
 LONGEST_UNIT = 256
 #: Distinct words that an extracting task holds before it passes their units on.
 HELD_WORDS = 1_000_000
@@ -53,11 +57,11 @@ class Pieces:
     normal: dict[str, tuple[int, float]]
     byte_ids: tuple[int, ...]
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.normal))
 
-    @property
+    @cached_property
     def unknown(self) -> float:
         return min((s for _, s in self.normal.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
 
@@ -92,10 +96,7 @@ def _pattern() -> re.Pattern:
 
 def units(normalised: str) -> list[str]:
     """The units of a normalised text, in order; joined they give it back."""
-    found = _pattern().findall(normalised)
-    if any(len(u) > LONGEST_UNIT for u in found):
-        found = [u[k : k + LONGEST_UNIT] for u in found for k in range(0, len(u), LONGEST_UNIT)]
-    return found
+    return _pattern().findall(normalised)
 
 
 _WORDS = re.compile(" *[^ ]+| +")
@@ -113,7 +114,7 @@ def words(text: str) -> list[str]:
 
 
 def word_units(word: str) -> list[str]:
-    if word.isalpha() and len(word) < LONGEST_UNIT:  # letters only: one unit
+    if word.isalpha():  # letters only: one unit
         return [SPACE + word]
     return units(SPACE + word.replace(" ", SPACE))
 
@@ -148,6 +149,34 @@ def best_path(n: Column, edges: Column) -> Column:
     return F.element_at(F.transform(F.array(F.aggregate(edges, start, step)), walk), 1)
 
 
+def prefixes(pieces: Pieces) -> set[str]:
+    return {p[:k] for p in pieces.normal for k in range(1, len(p) + 1)}
+
+
+def long_path(unit: str, pieces: Pieces, starts: set[str]) -> list[int]:
+    """What :func:`best_path` gives for a unit of any length. ``starts``: :func:`prefixes`."""
+    n, normal, unknown = len(unit), pieces.normal, pieces.unknown
+    scores, ids, sizes = array("d", [-math.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+    scores[0] = 0.0
+    for start in range(n):
+        # the earliest start that reaches a score has the longest last piece
+        here = scores[start]
+        for end in range(start + 1, n + 1):
+            piece = unit[start:end]
+            found = normal.get(piece)
+            if found is None and end == start + 1:
+                found = -1 - ord(piece), unknown
+            if found is not None and here + found[1] > scores[end]:
+                scores[end], ids[end], sizes[end] = here + found[1], found[0], end - start
+            if piece not in starts:
+                break
+    out, end = [], n
+    while end:
+        out.append(ids[end])
+        end -= sizes[end]
+    return out[::-1]
+
+
 def encode_units(distinct: DataFrame, pieces: Pieces, key: str) -> DataFrame:
     """(key, unit, ids) of distinct (key, unit), partitioned by ``key``. The piece table has as many
     rows as the model has pieces, which bounds what is broadcast. An id below 0 is a character
@@ -244,6 +273,12 @@ def _answer(pieces: Pieces, kind: str):
         missing = set(np.searchsorted(ends, np.flatnonzero(flat < 0), side="right").tolist())
         for k in missing:  # units with characters that have no piece
             paths[right.column("unit")[k].as_py()] = np.array([x for i in lists[k].as_py() for x in _spell(i, byte_ids)], kind).tobytes()
+        starts = None
+        for text in left.column("units").to_pylist():
+            for u in text.split(" ") if len(text) > LONGEST_UNIT else ():
+                if len(u) > LONGEST_UNIT and u not in paths:
+                    starts = starts or prefixes(pieces)
+                    paths[u] = np.array([x for i in long_path(u, pieces, starts) for x in _spell(i, byte_ids)], kind).tobytes()
         wrong = {u for u, b in paths.items() if spell_ids(np.frombuffer(b, kind).tolist(), pieces, bytes_of) != u}
         blobs = []
         for text in left.column("units").to_pylist():
@@ -302,7 +337,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     listed = texts.mapInArrow(_extract(labels), CHUNK_ROWS).repartition(len(labels), "bucket")
     # the condition on chunk keeps all columns of the lists' shuffle, so that both readers share it
     names = F.when(F.col("chunk").isNotNull(), F.split("units", " "))
-    distinct = listed.select(F.col("bucket").alias("own"), F.explode_outer(names).alias("unit")).filter("unit IS NOT NULL").distinct()
+    distinct = listed.select(F.col("bucket").alias("own"), F.explode_outer(names).alias("unit")).filter(F.length("unit") <= LONGEST_UNIT).distinct()
     paths = encode_units(distinct, pieces, "own")
     answers = listed.groupBy("bucket").cogroup(paths.groupBy("own")).applyInArrow(_answer(pieces, kind), "chunk int, paths binary")
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(kind), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")

@@ -185,6 +185,18 @@ def test_pieces_equal_brute_force_and_round_trip(spark):
     assert piece_lattice.encode(df.limit(0)).count() == 0
 
 
+def test_long_runs_equal_brute_force(spark):
+    pieces = piece_lattice.load_pieces()
+    rng = random.Random(3)
+    runs = ["".join(rng.choices("0123456789,.", k=6000)), "-=" * 1500 + "-" * 3001, "".join(rng.choices("etaoinshrdlu", k=5000)), "".join(rng.choices("漢字é🙂x", k=4000)), "x" * 257, "\n" * 300 + " " * 700 + "a"]
+    texts = [*runs, "a few words " + runs[0] + " and more", runs[2] + runs[1], " ".join(runs)]
+    rows = [*enumerate(texts), (0, texts[0])]
+    got = sorted((r["doc_id"], tuple(r["ids"]), r["n_pieces"], r["round_trip"]) for r in piece_lattice.encode(frame(spark, rows)).collect())
+    want = [(d, tuple(best(t, pieces)), len(best(t, pieces)), True) for d, t in rows]
+    assert got == sorted(want)
+    assert [tuple(r["ids"]) for r in piece_lattice.encode(frame(spark, rows[:1])).collect()] == [want[0][1]]  # no other unit
+
+
 def test_pipeline_stages_on_a_small_corpus(spark):
     import corpus_pipeline
 
