@@ -1,8 +1,8 @@
 """URL filters: path rules, then a naive Bayes verdict over segmented host and path tokens.
 
 Host labels are split into words by a unigram Viterbi: the best-scoring split under word counts
-that come from a seed list and from all URLs of the table (counted in Spark; the model keeps the
-``VOCABULARY`` most frequent). A multinomial naive Bayes then scores the tokens of host and path.
+that come from a seed list and from all URLs of the table. No word is left out: the counts stay in
+Spark, and the substrings of the distinct labels are joined to them. A multinomial naive Bayes then scores the tokens of host and path.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no tokens, and so the
 prior's verdict (allow); hosts and paths of any length are scored whole; repeated rows are judged
@@ -12,17 +12,15 @@ one by one; further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import table
+from skyloom.llm.common import cut, table
 
 
 @dataclass(frozen=True)
@@ -45,8 +43,6 @@ RULES = (
     PathRule("org", "/es/", "block"),
 )
 
-#: Most frequent words that the segmenter's unigram model keeps, and its longest word.
-VOCABULARY, LONGEST = 20_000, 24
 #: Seed counts: how much a seed word weighs beside the words counted in the URLs.
 SEED_COUNT = 1_000.0
 #: Short labelled URLs that the classifier is trained on.
@@ -79,33 +75,38 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def unigrams(pages: DataFrame) -> dict[str, float]:
-    """The segmenter's word counts: letter runs of all hosts and paths, and the seed words."""
-    text = F.concat_ws("/", *host_and_path(F.col("url")))
-    counted = (
-        pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))).alias("word"))
-        .filter(F.length("word") <= LONGEST).groupBy("word").count().orderBy(F.desc("count"), "word").limit(VOCABULARY)
-    )
-    counts = {r["word"]: float(r["count"]) for r in counted.toLocalIterator()}
-    for seed in (*BLOCK_SEEDS, *ALLOW_SEEDS):
-        for word in seed.split():
-            counts[word] = counts.get(word, 0.0) + SEED_COUNT
-    return counts
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[a-z]+"), F.lit(0))
+
+
+def unigrams(base: DataFrame) -> DataFrame:
+    """The segmenter's word counts (word, n): letter runs of all hosts and paths, and the seed words."""
+    seeds = Counter(w for s in (*BLOCK_SEEDS, *ALLOW_SEEDS) for w in s.split())
+    added = base.sparkSession.createDataFrame([(w, k * SEED_COUNT) for w, k in seeds.items()], "word string, n double")
+    found = base.select(F.explode(_runs(F.lower(F.concat_ws("/", "host", "path")))).alias("word")).groupBy("word").agg(F.count("*").cast("double").alias("n"))
+    return found.unionByName(added).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def segment(name: str, counts: dict[str, float], total: float) -> list[str]:
     """The best split of ``name`` into words. An unknown word of n letters counts as
-    10 / (total * 10**n), so known words win where they fit; ties prefer the longer last word."""
+    10 / (total * 10**n), so known words win where they fit; ties prefer the longer last word.
+    Of ``counts`` only the words in ``name`` matter."""
+    sizes = sorted({len(w) for w in counts}, reverse=True)
+    ten, new = math.log(10.0), math.log(10.0 / total)
     best, back = [0.0], [0]
+    free = 0  # where the best unknown last word starts
     for end in range(1, len(name) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST), end):
-            count = counts.get(name[start:end])
-            p = math.log(count / total) if count else math.log(10.0 / total) - (end - start) * math.log(10.0)
-            options.append((best[start] + p, -start))
-        score, start = max(options)
+        score, start = best[free] + new - (end - free) * ten, free
+        for size in sizes:
+            count = counts.get(name[end - size : end]) if size <= end else None
+            if count:
+                value = best[end - size] + math.log(count / total)
+                if (value, size) > (score, end - start):
+                    score, start = value, end - size
         best.append(score)
-        back.append(-start)
+        back.append(start)
+        if score > best[free] - (end - free) * ten:
+            free = end
     out, end = [], len(name)
     while end:
         out.append(name[back[end] : end])
@@ -113,40 +114,46 @@ def segment(name: str, counts: dict[str, float], total: float) -> list[str]:
     return out[::-1]
 
 
-class Classifier:
-    """Multinomial naive Bayes over URL tokens. Tokens it never saw say nothing."""
-
-    def __init__(self, counts: dict[str, float], block=BLOCK_SEEDS, allow=ALLOW_SEEDS, prior: float = PRIOR_BLOCK):
-        self.counts, self.total = counts, sum(counts.values()) or 1.0
-        seen = [Counter(w for s in seeds for w in s.split()) for seeds in (block, allow)]
-        names = set(seen[0]) | set(seen[1])
-        size = [sum(c.values()) + len(names) for c in seen]
-        self.weight = {w: math.log((seen[0][w] + 1) / size[0]) - math.log((seen[1][w] + 1) / size[1]) for w in names}
-        self.prior = math.log(prior / (1 - prior))
-        self.words = lru_cache(65536)(lambda label: tuple(segment(label, self.counts, self.total)))
+def word_weights(block=BLOCK_SEEDS, allow=ALLOW_SEEDS) -> dict[str, float]:
+    """Log odds of each word of a multinomial naive Bayes. Words it never saw say nothing."""
+    seen = [Counter(w for s in seeds for w in s.split()) for seeds in (block, allow)]
+    names = set(seen[0]) | set(seen[1])
+    size = [sum(c.values()) + len(names) for c in seen]
+    return {w: math.log((seen[0][w] + 1) / size[0]) - math.log((seen[1][w] + 1) / size[1]) for w in names}
+
+
+def label_weights(counts: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(label, weights): the weights of the words of each letter run that has some. A run in which
+    no weighted word occurs can't have any, so it need not be split."""
+    total = counts.agg(F.sum("n")).first()[0]
+    sizes = F.array(*[F.lit(r[0]) for r in counts.select(F.length("word")).distinct().sort(F.length("word")).collect()])
+    labels = counts.filter(F.col("word").rlike("|".join(sorted(weights)))).select(F.col("word").alias("label"), F.length("word").alias("length"))
+    parts = (
+        labels.select("label", "length", F.explode(sizes).alias("size")).filter("size <= length")
+        .select("label", "size", F.explode(F.sequence(F.lit(1), F.col("length") - F.col("size") + 1)).alias("start"))
+        .select("label", F.substring("label", F.col("start"), F.col("size")).alias("word")).distinct()
+    )
+    known = parts.join(counts, "word").groupBy("label").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        labels = re.findall(r"[a-z]+", host.rpartition(".")[0] or host)  # the last label is the registry's, not the owner's
-        return [w for x in labels for w in self.words(x)] + [w for x in re.findall(r"[a-z]+", path.lower()) for w in self.words(x)]
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, words, ns = (c.to_pylist() for c in batch.columns)
+            found = [[weights[w] for w in segment(x, dict(zip(ws, n, strict=True)), total) if w in weights] for x, ws, n in zip(label, words, ns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["label", "weights"])
 
-    def score(self, host: str, path: str) -> float:
-        """The log odds of block against allow."""
-        return self.prior + sum(self.weight.get(w, 0.0) for w in self.tokens(host, path))
+    return known.mapInArrow(split, "label string, weights array<double>").filter(F.size("weights") > 0)
 
 
-def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, block=BLOCK_SEEDS, prior: float = PRIOR_BLOCK) -> DataFrame:
     """page_id, host, path, rule, verdict and the classifier's log odds ``score``."""
-    counts = unigrams(pages)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(counts)
-        score = lru_cache(65536)(model.score)
-        for batch in batches:
-            scores = [score(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            verdict = [v or ("block" if s > 0 else "allow") for v, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return with_rules(pages, rules).mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, score double")
+    base = cut(with_rules(pages, rules).withColumn("__row", F.monotonically_increasing_id()))
+    owner = F.coalesce(F.nullif(F.regexp_extract("host", r"(?s)^(.*)\.", 1), F.lit("")), F.col("host"))  # the last label is the registry's, not the owner's
+    tokens = base.select("__row", F.posexplode(F.concat(_runs(owner), _runs(F.lower("path")))).alias("at", "label"))
+    found = tokens.join(label_weights(unigrams(base), word_weights(block)), "label").groupBy("__row").agg(F.flatten(F.sort_array(F.collect_list(F.struct("at", "weights")))["weights"]).alias("weights"))
+    score = F.lit(math.log(prior / (1 - prior))) + F.coalesce(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w), F.lit(0.0))
+    scored = base.join(found, "__row", "left").withColumn("score", score)
+    verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that judge one row at a time, against plain definitions and on awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -106,6 +107,28 @@ def test_segmentation():
     assert url_filter.segment("cheappills", counts, 21.0) == ["cheap", "pills"] and url_filter.segment("", counts, 21.0) == []
 
 
+def test_every_word_of_the_urls_counts(spark):
+    letters = "bcdfghjklm"
+    urls = [f"http://{''.join(letters[int(c)] for c in f'{k:05}')}q.example.org/" for k in range(21_000) for _ in range(2)] + ["http://www.darwin.org/", "http://" + "window" * 5 + ".org/", "http://freebets" + "z" * 40 + ".org"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.url_filter(df).filter("page_id >= 42000").collect()}
+    assert [got[42_000 + k]["verdict"] for k in range(3)] == ["allow", "allow", "allow"]
+    assert {r["word"] for r in url_filter.unigrams(url_filter.with_rules(df.filter("page_id >= 42000"))).collect()} >= {"darwin", "window" * 5}
+
+
+def test_segmentation_equals_brute_force():
+    rng = random.Random(7)
+    for _ in range(200):
+        counts = {"".join(rng.choices("ab", k=rng.randint(1, 4))): float(rng.randint(1, 50)) for _ in range(5)}
+        total, name = sum(counts.values()) * 100, "".join(rng.choices("abc", k=rng.randint(1, 9)))
+
+        def value(ws):
+            return sum(np.log(counts[w] / total) if w in counts else np.log(10 / total) - len(w) * np.log(10) for w in ws)
+
+        splits = [[name[i:j] for i, j in zip([0, *at], [*at, len(name)], strict=True)] for m in range(len(name)) for at in itertools.combinations(range(1, len(name)), m)]
+        assert abs(value(url_filter.segment(name, counts, total)) - max(map(value, splits))) < 1e-9
+
+
 def test_html_extraction(spark):
     page = """<html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>one</a></li></ul></nav><div class="cookie-notice">ok?</div>
     <article><h1>Head &amp;  line</h1><p>A first   paragraph with <b>bold</b> text<br>and more of it.</p><p>No.</p></article><aside>side</aside><section id="comments"><p>reader text</p></section><form><p>x</p></form><footer>&copy; f</footer>"""
