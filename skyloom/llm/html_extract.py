@@ -4,7 +4,9 @@ The standard library's streaming parser turns a page into lines (one per block e
 their text, their tags and the region (nearest sectioning ancestor) they stand in. Lines inside
 boilerplate elements count as text without content. The ratios of text to tags are smoothed by a
 Gaussian and the lines above the threshold form the content cluster; a region that holds some
-of the cluster is content and gives all its lines, so short paragraphs of an article stay.
+of the cluster is content and gives all its lines, so short paragraphs of an article stay. All of
+an ``article`` or ``main`` is one region, whatever it is divided into; any other content region
+carries the regions nested in it (of those in the body itself, table cells only).
 
 Defined cases: a null page is empty; pages of any length are parsed whole; broken or unclosed
 markup is read as far as it goes; a page without content has the text ""; repeated rows are
@@ -29,6 +31,7 @@ SIGMA, THRESHOLD = 1.0, 0.5
 #: HTML element names by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 REGIONS = frozenset("article main section div body td".split())
+WHOLE = frozenset("article main".split())
 DROPPED = frozenset("aside button canvas dialog fieldset footer form head header iframe input label menu nav noscript object option script select style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES = re.compile(
@@ -59,6 +62,8 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool]] = []
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # open element, its region, inside boilerplate
         self.regions = 0
+        self.kinds: list[str] = [""]  # the element of each region
+        self.carrier: dict[int, int] = {}  # the region around, which carries this one
         self.text: list[str] = []
         self.tags = 0
 
@@ -84,9 +89,12 @@ class Lines(HTMLParser):
             return  # inline elements open nothing
         if drops and not block:
             self._end_line()
-        if tag in REGIONS:
+        if tag in REGIONS and self.kinds[region] not in WHOLE:
+            if self.kinds[region] not in ("", "body") or tag == "td":
+                self.carrier[self.regions + 1] = region
             self.regions += 1
             region = self.regions
+            self.kinds.append(tag)
         self.stack.append((tag, region, dropped or drops))
 
     def handle_startendtag(self, tag, attrs):
@@ -135,6 +143,9 @@ def extract(html: str) -> str:
     smoothed = smooth(ratio)
     level = min(THRESHOLD * ratio.std(), smoothed[ratio > 0].max())
     chosen = {region for (_, _, region, dropped), s, r in zip(lines, smoothed, ratio, strict=True) if not dropped and r > 0 and s >= level}
+    for region, around in parser.carrier.items():  # outer regions come first
+        if around in chosen:
+            chosen.add(region)
     return "\n".join(text for text, _, region, dropped in lines if text and not dropped and region in chosen)
 
 

@@ -140,6 +140,17 @@ def test_html_extraction(spark):
     assert sorted(r["n_chars"] for r in got) == [0, 64, 64, 249_999] and html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_extraction_keeps_the_whole_article():
+    long, links = "<p>" + "A paragraph of some length. " * 20 + "</p>", "<div>" + "<a>x</a> <a>y</a>" * 5 + "</div>"
+    cells = "".join(f"<tr><td>k{k}</td><td>v{k}</td></tr>" for k in range(8))
+    pairs = "".join(f"<div><b>name {k}</b>: {k}</div>" for k in range(6))
+    inner = f"{long}<table>{cells}</table><section><h2>Notes</h2>" + "<p>Short.</p>" * 5 + f'</section>{pairs}<div class="share"><p>tweet</p></div>'
+    want = [x for k in range(8) for x in (f"k{k}", f"v{k}")] + ["Notes"] + ["Short."] * 5 + [f"name {k}: {k}" for k in range(6)]
+    for page in (f"<body>{links}<article>{inner}</article>{links * 3}</body>", f"<body>{links}<main><div>{inner}</div></main>{links * 3}</body>", f"<body><div>{inner}</div></body>"):
+        assert html_extract.extract(page).split("\n")[1:] == want
+    assert html_extract.extract(f"<body>{long}<table>{cells}</table></body>").split("\n")[1:] == want[:16]
+
+
 def test_slices_and_hashes():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["ab  ab", None, "", "x" * 100, "ab"])})
     seen = []
