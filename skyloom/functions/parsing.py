@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def json_value(text: Column, path: str) -> Column:
+    """The value at a path such as ``$.a.b[0]`` of a JSON text, as a string; null where it is missing
+    or null. Objects and lists come as JSON."""
+    return F.get_json_object(text, path)
+
+
 def parse_select_list(text: str) -> list[tuple[int, int]]:
     """Inclusive ranges of ``a:b,c,d:e``; raises ValueError on anything else."""
     out = []

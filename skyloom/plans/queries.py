@@ -451,6 +451,14 @@ def _(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.length("props").cast("long").alias("n"))
 
 
+@query("f29_json_path_lookup", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k.n') AS nested, json_extract_string(props, '$.missing') AS missing FROM events")
+def _(spark, sf_dir):
+    from skyloom.functions.parsing import json_value
+
+    paths = {"k": "$.k", "nested": "$.k.n", "missing": "$.missing"}
+    return _table(spark, sf_dir, "events").select("event_id", *[json_value(F.col("props"), p).alias(n) for n, p in paths.items()])
+
+
 @query("s01_table_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def _(spark, sf_dir):
     from skyloom.operators.tables import table_round_trip

@@ -99,3 +99,18 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_json_paths_equal_duckdb(spark):
+    import duckdb
+
+    from skyloom.functions.parsing import json_value
+
+    texts = ['{"k": 87}', '{"k": {"n": "x y", "l": [1, {"z": true}]}}', '{"k": null}', "{}", '{"k": "a\\"b"}', None]
+    paths = ["$.k", "$.k.n", "$.k.l[1].z", "$.missing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [tuple(r) for r in df.select("id", *[json_value(F.col("t"), p).alias(f"c{k}") for k, p in enumerate(paths)]).sort("id").collect()]
+    db = duckdb.connect()
+    for row, t in zip(got, texts, strict=True):
+        want = [db.execute("SELECT json_extract_string(?::VARCHAR, ?)", [t, p]).fetchone()[0] for p in paths]
+        assert [v and v.replace(" ", "") for v in row[1:]] == [v and v.replace(" ", "") for v in want]
