@@ -506,6 +506,14 @@ def _(spark, sf_dir):
     return aperture_sums(s, view(spark, sf_dir, "pix").filter("image_id = 3"), 3.0).select("cntr", _r("flux", 2).alias("flux"), "n")
 
 
+@query("j19_aperture_sums_by_image", sql("SELECT image_id, s.cntr, round(sum(v), 2) AS flux, count(*) AS n FROM (SELECT cntr, (cntr * 7 % 32)::INT AS x, (cntr * 11 % 32)::INT AS y FROM sky) s JOIN pix ON (i - x) * (i - x) + (j - y) * (j - y) <= 9 GROUP BY image_id, s.cntr"))
+def _(spark, sf_dir):
+    from skyloom.operators.resample import aperture_sums
+
+    s = view(spark, sf_dir, "sky").selectExpr("cntr", "CAST(cntr * 7 % 32 AS INT) AS x", "CAST(cntr * 11 % 32 AS INT) AS y")
+    return aperture_sums(s, view(spark, sf_dir, "pix"), 3.0, "image_id").select("image_id", "cntr", _r("flux", 2).alias("flux"), "n")
+
+
 _BOX = "b AS (SELECT cntr AS id, ra AS x0, ra + 3e0 AS x1, dec AS y0, dec + 2e0 AS y1 FROM stars), q AS (SELECT cntr AS id, ra AS x0, ra + 9e0 AS x1, dec AS y0, dec + 7e0 AS y1 FROM sky)"
 
 

@@ -114,3 +114,18 @@ def test_json_paths_equal_duckdb(spark):
     for row, t in zip(got, texts, strict=True):
         want = [db.execute("SELECT json_extract_string(?::VARCHAR, ?)", [t, p]).fetchone()[0] for p in paths]
         assert [v and v.replace(" ", "") for v in row[1:]] == [v and v.replace(" ", "") for v in want]
+
+
+def test_apertures_of_every_image(spark):
+    from skyloom.operators.resample import aperture_sums
+
+    rng = np.random.default_rng(4)
+    pix = [(int(m), int(i), int(j), float(v)) for m, i, j, v in zip(rng.integers(0, 5, 400), rng.integers(0, 20, 400), rng.integers(0, 20, 400), rng.normal(size=400), strict=True)]
+    stars = [(k, int(x), int(y)) for k, (x, y) in enumerate(rng.integers(0, 20, (12, 2)))]
+    got = {(r["image_id"], r["cntr"]): (r["flux"], r["n"]) for r in aperture_sums(spark.createDataFrame(stars, "cntr int, x int, y int"), spark.createDataFrame(pix, "image_id int, i int, j int, v double"), 3.0, "image_id").collect()}
+    want = {}
+    for m, i, j, v in pix:
+        for k, x, y in stars:
+            if (i - x) ** 2 + (j - y) ** 2 <= 9:
+                want.setdefault((m, k), []).append(v)
+    assert got.keys() == want.keys() and all(n == len(want[k]) and abs(f - sum(want[k])) < 1e-9 for k, (f, n) in got.items())
