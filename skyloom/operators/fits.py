@@ -131,7 +131,7 @@ def solve_corrections(fits: pd.DataFrame, rounds: int = 10_000, level_rounds: in
             move[regular] = np.linalg.solve(normal[regular], right[regular][:, :, None])[:, :, 0] / 2
         total += move
         d -= move[p] - move[q]
-        if np.abs(move).max() < 1e-12:
+        if k >= level_rounds and np.abs(move).max() < 1e-12:
             break
     return pd.DataFrame({"id": ids, "a": total[:, 0], "b": total[:, 1], "c": total[:, 2]})
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skyloom.operators.pixels import shrink
 
+MOST_ROUNDS = 1_000
+
 
 def planar_overlap(pix: DataFrame, scale: float, dx: float, dy: float) -> DataFrame:
     """Project square pixels by x' = scale x + dx: each input pixel meets the output cells its image
@@ -97,6 +99,27 @@ def flux_calibration(matches: DataFrame, rounds: int = 5, base: float = 2.512) -
     return fit
 
 
+def converged_calibration(matches: DataFrame, base: float = 2.512, tolerance: float = 1e-8) -> DataFrame:
+    """As :func:`flux_calibration`, clipped until the intercept's relative change is below
+    ``tolerance`` (each image by itself). An image whose matches are all clipped keeps its last fit;
+    one that has seen MOST_ROUNDS rounds goes round in a cycle and raises."""
+    good = matches.filter("flux > 0").select("image_id", (F.log10("flux") + F.col("mag") / base).alias("d"))
+    state = good.select("image_id").distinct().select("image_id", F.lit(0.0).alias("m"), F.lit(math.inf).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("done"))
+    for _ in range(MOST_ROUNDS):
+        open_ = good.join(state.filter("NOT done").select("image_id", "m", "s"), "image_id")
+        new = open_.filter(F.abs(F.col("d") - F.col("m")) <= 2 * F.col("s")).groupBy("image_id").agg(F.avg("d").alias("m1"), F.count("*").alias("n1"))
+        left = F.col("d") - F.col("m1")
+        spread = open_.join(new, "image_id").filter(F.abs(left) <= 2 * F.col("s")).groupBy("image_id").agg(F.sqrt(F.avg(left * left)).alias("s1"))
+        change = F.abs(F.col("m1") - F.col("m"))
+        still = (change < tolerance * F.abs("m")) | (change == 0) & ~F.col("s").isin(math.inf)
+        state = state.join(new, "image_id", "left").join(spread, "image_id", "left").select(
+            "image_id", F.coalesce("m1", "m").alias("m"), F.coalesce("s1", "s").alias("s"), F.coalesce("n1", "n").alias("n"), (F.col("done") | F.coalesce(still, F.lit(True)) | F.col("s1").isNull()).alias("done")
+        ).checkpoint()
+        if state.filter("NOT done").isEmpty():
+            return state.select("image_id", "m", "s", "n")
+    raise ValueError(f"no convergence in {MOST_ROUNDS} rounds")
+
+
 def synthetic_sky(sources: DataFrame, width: int, reference: float, floor: float = 3.0) -> DataFrame:
     """Sources (x, y, mag) as flat squares of 2 width + 1 pixels; fluxes below ``floor`` count as it."""
     flux = F.greatest(F.lit(floor), F.pow(F.lit(10.0), 0.4 * (F.lit(reference) - F.col("mag"))))

@@ -298,6 +298,16 @@ def _(spark, sf_dir):
     return fits.level_corrections(_offsets(spark, sf_dir), 2).select("id", _r("c", 3).alias("c"))
 
 
+@query("u05_background_model")
+def _(spark, sf_dir):
+    d = pixels.difference(_one(spark, sf_dir), _edges(spark)).withColumn("edge", F.struct("plus", "minus").cast("string"))
+    i, j = F.col("i").cast("double"), F.col("j").cast("double")
+    sums = {"xx": i * i, "xy": i * j, "yy": j * j, "x": i, "y": j, "n": F.lit(1.0)}
+    per = d.groupBy("edge").agg(F.first("plus").alias("plus"), F.first("minus").alias("minus"), *[F.sum(v).alias(k) for k, v in sums.items()])
+    edges = per.join(fits.clipped_plane_grouped(d, "edge").select("edge", "a", "b", "c"), "edge").drop("edge").filter("NOT isnan(a)")  # at most 15 rows
+    return spark.createDataFrame(fits.solve_corrections(edges.toPandas()))
+
+
 @query("j03_corrections", sql("SELECT p.image_id, count(*) AS n, round(sum(v - coalesce(c, 0)), 2) AS v, count(*) FILTER (WHERE c IS NULL) AS no_correction FROM pix p LEFT JOIN (SELECT unnest(range(0, 16, 2))::INT AS image_id, 10e0 AS c) k ON k.image_id = p.image_id GROUP BY p.image_id"))
 def _(spark, sf_dir):
     c = spark.range(0, 16, 2).select(F.col("id").cast("int").alias("id"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(10.0).alias("c"))
@@ -559,6 +569,13 @@ def _(spark, sf_dir):
     return flux_calibration(m, rounds=1).select("image_id", _r("m", 6).alias("m"), "n")
 
 
+@query("a22_flux_calibration_converged")
+def _(spark, sf_dir):
+    from skyloom.operators.resample import converged_calibration
+
+    return converged_calibration(_table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("image_id"), F.col("p_retailprice").alias("flux"), F.col("p_size").alias("mag")))
+
+
 @query("a20_pyramid_order", "SELECT round(min(p_retailprice / 1e6), 6) AS scale, greatest(0, ceil(log2(90 / sqrt(2e0) / min(p_retailprice / 1e6))))::INT AS \"order\" FROM part")
 def _(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select((-F.col("p_retailprice") / 1e6).alias("cdelt1"), (F.col("p_retailprice") / 1e6).alias("cdelt2"))

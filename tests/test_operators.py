@@ -129,3 +129,30 @@ def test_apertures_of_every_image(spark):
             if (i - x) ** 2 + (j - y) ** 2 <= 9:
                 want.setdefault((m, k), []).append(v)
     assert got.keys() == want.keys() and all(n == len(want[k]) and abs(f - sum(want[k])) < 1e-9 for k, (f, n) in got.items())
+
+
+def test_converged_calibration_equals_brute_force(spark):
+    from skyloom.operators.resample import converged_calibration
+
+    rng = np.random.default_rng(5)
+    rows = [(k % 3, float(10 ** (2 + rng.normal(0, 0.02) + (3 if k % 11 == 0 else 0.3 if k % 7 == 0 else 0))), 0.0) for k in range(300)] + [(7, 10.0, 0.0)]
+    got = {r["image_id"]: r for r in converged_calibration(spark.createDataFrame(rows, "image_id int, flux double, mag double")).collect()}
+    for image in (0, 1, 2, 7):
+        y, b, s = np.array([np.log10(f) for k, f, _ in rows if k == image]), 0.0, np.inf
+        for k in range(100):
+            use = y[np.abs(y - b) <= 2 * s]
+            old, b = b, use.mean()
+            near = y[np.abs(y - b) <= 2 * s]
+            s = np.sqrt(((near - b) ** 2).mean())
+            if k and abs(old - b) <= 1e-8 * abs(old):
+                break
+        assert abs(got[image]["m"] - b) < 1e-9 and got[image]["n"] == len(use)
+
+
+def test_corrections_go_on_to_planes():
+    x, y = (g.ravel().astype(float) for g in np.meshgrid(np.arange(-4, 5), np.arange(-4, 5)))
+    sums = {"xx": (x * x).sum(), "xy": (x * y).sum(), "yy": (y * y).sum(), "x": 0.0, "y": 0.0, "n": float(len(x))}
+    planes = np.array([[0.1, -0.2, 0.0], [0.3, 0.1, 0.0], [-0.4, 0.1, 0.0]])  # slopes only: the level rounds have nothing to do
+    edges = pd.DataFrame([{"plus": p, "minus": q, **dict(zip("abc", planes[p] - planes[q], strict=True)), **sums} for p, q in ((0, 1), (1, 2), (0, 2))])
+    got = fits.solve_corrections(edges)[["a", "b", "c"]].to_numpy()
+    assert np.allclose(got[0] - got[1], planes[0] - planes[1]) and np.allclose(got[1] - got[2], planes[1] - planes[2])
