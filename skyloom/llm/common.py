@@ -25,14 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder. The folder is the session's
-    ``spark.checkpoint.dir``; one is set only where the session has none (local tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. One is made only in a
+    local session that has none (tests); on a cluster a folder of one machine would lose data."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="skyloom-ckpt-")
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skyloom-ckpt-"))
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -41,11 +52,52 @@ def parts(df: DataFrame, per_part: int = 1) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // per_part)
 
 
-def chunk_labels(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that hash partitioning sends to n different partitions where it can."""
-    found = spark.range(20 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
-    labels = [int(r["id"]) for r in found]
-    return labels + [20 * n + k for k in range(n - len(labels))]
+def plain_names(docs: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """``docs`` with the columns ``needed`` under these names and every other one, by its place, as
+    ``__c0``, ``__c1``...; so no further column can clash with a working one, whatever its name or
+    type. ``out.toDF(*docs.columns)`` names them back."""
+    own = {next((k for k, c in enumerate(docs.columns) if c == n), None): n for n in needed}
+    missing = [n for n in needed if n not in docs.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}")
+    return docs.toDF(*[own.get(k, f"__c{k}") for k in range(len(docs.columns))])
+
+
+def skew_join(rows: DataFrame, sizes: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``sizes``, one row a key with the number ``n`` of its rows (dropped here).
+    Keys with more than a 25,000th of the ``total`` rows (and 512) are fewer than 25,000, so they can
+    be broadcast: their rows stay where they are, and no task of the shuffle gets all rows of a key.
+    ``sizes`` is read more than once and should be materialised."""
+    most = max(512, total // 25_000)
+    hot, cold = sizes.filter(F.col("n") > most).drop("n"), sizes.filter(F.col("n") <= most).drop("n")
+    if total <= most or hot.isEmpty():
+        return rows.join(sizes.drop("n"), key, how)
+    names = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(cold, key, how))
+
+
+def _inverse_hash(h: np.ndarray) -> np.ndarray:
+    """The int column value whose Spark hash (Murmur3 of 32 bits, seed 42) is ``h``."""
+    full = np.uint64(0xFFFFFFFF)
+    times = lambda x, c: x * np.uint64(pow(c, -1, 1 << 32)) & full
+    turn = lambda x, k: (x >> np.uint64(k) | x << np.uint64(32 - k)) & full
+    h = h.astype(np.uint64)
+    h = h ^ h >> np.uint64(16)
+    h = times(h, 0xC2B2AE35)
+    h = h ^ h >> np.uint64(13) ^ h >> np.uint64(26)
+    h = times(h, 0x85EBCA6B)
+    h = h ^ h >> np.uint64(16) ^ np.uint64(4)
+    h = turn(times(h - np.uint64(0xE6546B64) & full, 5), 13) ^ np.uint64(42)
+    return times(turn(times(h, 0x1B873593), 15), 0xCC9E2D51).astype(np.uint32).view(np.int32)
+
+
+def labels(n: int) -> np.ndarray:
+    """n ints that hash partitioning into n partitions sends to 0, 1, ... n - 1."""
+    return _inverse_hash(np.arange(n))
+
+
+#: Bytes of text that a chunk should hold.
+CHUNK_BYTES = 12 << 20
 
 
 def pack(rows: pa.Table | pa.RecordBatch) -> bytes:
@@ -76,27 +128,32 @@ def release() -> None:
 PACK_ROWS = 4096
 
 
-def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(k, PACK_ROWS) for b in batches for k in range(0, b.num_rows, PACK_ROWS)):
-        chunk = batch.column(0).to_numpy(zero_copy_only=False)
-        order = np.argsort(chunk, kind="stable")
-        rows = batch.select(batch.schema.names[1:]).take(pa.array(order))
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0])) if len(chunk) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(chunk))
-        blobs = [pack(rows.slice(a, b - a)) for a, b in zip(cuts, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[order][cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "rows"])
-        del rows, blobs
-    release()
-
-
-def chunked(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, list[int]]:
-    """``docs`` dealt to as many chunks as the session has shuffle partitions, and their labels.
-    A row of the result is (chunk, packed rows); all who read it share its one shuffle."""
-    n = parts(docs)
-    labels = chunk_labels(docs.sparkSession, n)
-    pick = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n)) + 1).cast("int"))
-    packed = docs.select(pick.alias("chunk"), *columns).mapInArrow(_pack_chunks, "chunk int, rows binary")
-    return packed.repartition(n, "chunk"), labels
+def _pack_chunks(n: int):
+    names = labels(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, PACK_ROWS) for b in batches for k in range(0, b.num_rows, PACK_ROWS)):
+            chunk = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(chunk, kind="stable")
+            rows = batch.select(range(1, batch.num_columns)).take(pa.array(order))
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0])) if len(chunk) else np.zeros(0, np.int64)
+            ends = np.append(cuts[1:], len(chunk))
+            blobs = [pack(rows.slice(a, b - a)) for a, b in zip(cuts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[chunk[order][cuts]], pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "rows"])
+            del rows, blobs
+        release()
+
+    return run
+
+
+def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` dealt to chunks by a hash of id and text, and the number of chunks: one for every
+    CHUNK_BYTES of text, counted, and no fewer than the session's shuffle partitions. A row of the
+    result is (chunk, packed rows); all who read it share its one shuffle."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(parts(docs), -(-size // CHUNK_BYTES))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    return docs.select(place.alias("__chunk"), *docs.columns).mapInArrow(_pack_chunks(n), "chunk int, rows binary").repartition(n, "chunk"), n
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import cut, table
+from skyloom.llm.common import cut, plain_names, table
 
 #: Weights of the sources by rank, repeating; no document is taken more than MAX_COPIES times.
 WEIGHTS = (5, 2, 1)
@@ -39,9 +39,11 @@ def n_words(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.size(F.split(text, r"[\x20\x09-\x0D]+")) - ends).otherwise(F.lit(0)).cast("long")
 
 
-def _uniform(doc_id: Column, seed: str) -> Column:
-    """A reproducible number strictly between 0 and 1: the first 52 bits of an MD5 digest."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A reproducible number strictly between 0 and 1: the first 52 bits of an MD5 digest of the id,
+    or of the text where there is no id (so that such rows don't tie)."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), name))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -90,7 +92,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, seed: str = SEE
     ``weight_col`` (positive, null counts as 1) scales a document's expected copies within its source.
     """
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
-    columns = ["doc_id", "source", n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), seed).alias("u"), weight.alias("pref")]
+    columns = ["doc_id", "source", n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), weight.alias("pref")]
     base = cut(docs.select(*columns))
     plan = source_targets(base, weights, cap)
     if weight_col:
@@ -123,15 +125,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, seed: str = SEE
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it is taken, where the last
-    copy may be cut after the words that are left to take. Documents that aren't taken go."""
-    names = docs.columns
-    taken = mix(docs.withColumns({"__row": F.struct(*[F.col(c) for c in names])}), keep=("__row",), **options)
-    whole, part = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))), F.col("taken") % F.greatest(F.col("size"), F.lit(1))
-    copies = taken.filter(F.col("taken") > 0).withColumn("__n", F.explode(F.concat(F.array_repeat(F.lit(0), whole.cast("int")), F.when(part > 0, F.array(part.cast("int"))).otherwise(F.array().cast("array<int>")))))
-    text = F.when(F.col("__n") == 0, F.col("__row.text")).otherwise(F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("__n"), F.lit(1)))))
-    rows = copies.select(*[text.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names])
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else rows
+    """The mix itself: the columns of ``docs``, each row whole and as often as it is taken. The row at
+    which a source's target is met gives a last copy where at least half of its words are left to
+    take, so texts are never cut and a source's words are off its target by half a document at most.
+    Rows that aren't taken go."""
+    plain = plain_names(docs, ("doc_id", "text", "source"))
+    size = F.greatest(F.col("__size"), F.lit(1))
+    taken = mix(plain.select("doc_id", "text", "source", F.struct(*plain.columns).alias("__row")), keep=("__row",), **options).withColumnRenamed("size", "__size")
+    copies = F.floor((2 * F.col("taken") + size) / (2 * size)).cast("int")
+    rows = taken.filter("taken > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return rows.select("__row.*").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+  (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s2 AS (SELECT *, list_extract([{", ".join(map(str, WEIGHTS))}], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT)::BIGINT AS w, {MAX_COPIES} * source_size AS most FROM s),
 s3 AS (SELECT *, ((sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE

@@ -3,15 +3,19 @@
 Documents with equal shingle sets form a class; only classes are joined. Signatures of
 ``BANDS`` x ``ROWS`` minima are shuffled on band hashes. A pair of similarity s meets in some band
 with probability 1 - (1 - s**ROWS)**BANDS: 99.7 % at 0.8, over 99.99 % at 0.87. Classes that
-share a band (directly or over others) form a candidate component; a component is cut into blocks
-of about ``BLOCK`` classes and every pair of blocks is one group of rows, in which full n-gram
-sets are intersected tile by tile. A group gives each of its classes one row: the number of
-documents it is similar to and its root in a spanning forest of the similar pairs, so nothing
-grows with the number of pairs, and no bucket is capped.
+share a band (directly or over others) form a candidate component. A component of at most
+``BLOCK`` classes is one group of rows. In a larger one every class has a home, the fullest of its
+band buckets; homes are cut into blocks of about ``BLOCK`` classes, and a pair of blocks is a group of
+rows only where some bucket has classes of both. So a long chain of loosely linked classes costs
+what its buckets cost, not its square, and no pair that shares a band is missed. Full n-gram sets
+are intersected tile by tile. A group gives each of its classes one row: the number of documents it
+is similar to and its root in a spanning forest of the similar pairs, so nothing grows with the
+number of pairs, and no bucket is capped. Hot bands, classes, components and hubs are joined by
+broadcast of the few keys that are hot (``common.skew_join``).
 
 Defined cases: words are compared as they are; a text of one to four words has one shingle of all
 its words; texts without words (null, empty) have equal, empty sets and form one class; repeated
-rows are copies; null ids are kept; further columns are ignored; an empty table gives none.
+rows are copies; null ids are kept, in class_id only where a whole class has none; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import cut, mix, slices, span_hashes, table, words
+from skyloom.llm.common import cut, mix, plain_names, skew_join, slices, span_hashes, table, words
 from skyloom.llm.components import components
 
 SHINGLE = 5
@@ -99,13 +103,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["root", "blocks", "block", "k", "copies", "shingles"]
     for batch in batches:
         for part, data, at in slices(batch, "text"):
             h, begin = _distinct(*shingles(data, at))
             right = np.array([a == b for a, b in zip(_keys(h, begin), part.column("k").to_pylist(), strict=True)], bool)
             blobs = pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-1]), blobs], names=names).filter(pa.array(right))
+            yield pa.RecordBatch.from_arrays([part.column("groups"), part.column("k"), part.column("copies"), blobs], names=["groups", "k", "copies", "shingles"]).filter(pa.array(right))
 
 
 def similar_tiles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -151,11 +154,12 @@ def similar_tiles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
                 yield a, b, similar
 
 
-def _verify_group(block: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of a group: the documents it is similar to and the least row it is connected to."""
+def _verify_group(side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of a group: the documents it is similar to and the least row it is connected to. Rows
+    of two blocks (sides 0 and 1) are compared across, those of one block (side 0) with each other."""
     order = np.argsort([len(s) for s in sets], kind="stable")
-    lows, highs = order[block[order] == block.min()], order[block[order] == block.max()]
-    left, right = (order, order) if block.min() == block.max() else (lows, highs)
+    lows, highs = order[side[order] == 0], order[side[order] == 1]
+    left, right = (lows, highs) if len(highs) else (order, order)
     links, root, kept = np.zeros(len(sets), np.int64), np.arange(len(sets)), []
     for a, b, m in similar_tiles(sets, left, right):
         links[a] += m @ copies[b]
@@ -177,29 +181,28 @@ def _verify_group(block: np.ndarray, copies: np.ndarray, sets: list[np.ndarray])
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (root, low, high); a group may run over several batches."""
-    held: list[tuple] = []
+    held: dict[bytes, tuple] = {}
     group = None
     out: list[tuple[bytes, bytes, int]] = []
 
     def close() -> None:
-        best = {r[0]: r for r in held}  # repeated rows of one id and text
-        rows = list(best.values())
-        if len(rows) > 1:
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-            links, root = _verify_group(np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64), sets)
-            out.extend((r[0], rows[t][0], int(n)) for r, n, t in zip(rows, links, root, strict=True) if n)
+        if len(held) > 1:
+            names, rows = list(held), list(held.values())
+            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+            links, root = _verify_group(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), sets)
+            out.extend((k, names[t], int(n)) for k, n, t in zip(names, links, root, strict=True) if n)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         k, root, links = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(root, pa.binary()), pa.array(links, pa.int64())], names=["k", "local", "links"])
 
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "low", "high", "k", "block", "copies", "shingles")]
-        for r, low, high, *row in zip(*columns, strict=True):
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "low", "high", "k", "side", "copies", "shingles")]
+        for r, low, high, k, *row in zip(*columns, strict=True):
             if (r, low, high) != group:
                 close()
-                held, group = [], (r, low, high)
-            held.append(tuple(row))
+                held, group = {}, (r, low, high)
+            held.setdefault(k, tuple(row))  # rows of one id and text come more than once
         if out:
             yield batch_of(out)
             out.clear()
@@ -208,45 +211,72 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
+def _groups(found: DataFrame, classes: DataFrame, banded: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """(k, groups) of the classes in a component: the groups (root, low, high, side) that compare it."""
+    sizes = cut(found.groupBy("root").agg(F.count("*").alias("n")))
+    n_found = sizes.agg(F.sum("n")).first()[0] or 0
+    members = skew_join(found.withColumnRenamed("node", "k"), sizes.withColumn("size", F.col("n")), "root", n_found)
+    group = lambda low, high, side: F.struct(F.col("root"), low.alias("low"), high.alias("high"), side.cast("int").alias("side"))
+    whole = members.filter(F.col("size") <= BLOCK).select("k", F.array(group(F.lit(""), F.lit(""), F.lit(0))).alias("groups"))
+    if sizes.filter(F.col("n") > BLOCK).isEmpty():
+        return whole
+    large = cut(members.filter(F.col("size") > BLOCK).select("k", "root"))
+    within = cut(skew_join(banded, buckets.select("h", "n", F.col("n").alias("size")), "h", total).join(large, "k").select("k", "root", "h", "size"))
+    homes = cut(within.groupBy("k").agg(F.first("root").alias("root"), F.max_by("h", F.struct("size", "h")).alias("home")))
+    parts = cut(homes.groupBy("home").agg(F.count("*").alias("n")))
+    placed = skew_join(homes, parts.select("home", "n", F.ceil(F.col("n") / BLOCK).alias("parts")), "home", n_found)
+    blocks = cut(placed.select("k", "root", F.concat_ws(":", "home", F.pmod(F.xxhash64("k"), F.col("parts"))).alias("block")))
+    shared = within.select("k", "h").join(blocks, "k").select("h", "root", "block").distinct()  # blocks of a bucket, not its classes
+    pairs = shared.join(shared.select("h", F.col("block").alias("other")), "h").filter("block <= other").select("root", "block", "other").distinct()
+    both = pairs.select("root", "block", F.col("block").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side")).unionByName(
+        pairs.filter("block < other").select("root", F.col("other").alias("block"), F.col("block").alias("low"), F.col("other").alias("high"), F.lit(1).alias("side"))
+    )
+    listed = cut(both.groupBy("block").agg(F.collect_set(group(F.col("low"), F.col("high"), F.col("side"))).alias("groups")))  # as many as blocks that meet it
+    counts = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    return whole.unionByName(skew_join(blocks.select("k", "block"), cut(listed.join(counts, "block")), "block", n_found).select("k", "groups"))
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (least id of its group of similar documents, linked directly
     or over others), n_links (other documents of similarity 0.8 or more, copies included), n_copies
     (documents with the same shingle set, itself included), a hash of its text and the group's key."""
+    docs = docs.select("doc_id", "text")
     signed = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_signatures, "doc_id long, text_hash long, k binary, bands array<long>"))
-    classes = cut(signed.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead"), F.any_value("bands").alias("bands")))
+    classes = cut(signed.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.any_value("bands").alias("bands")))
+    n_classes, n_docs = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     banded = classes.select("k", F.explode("bands").alias("h"))
-    buckets = banded.groupBy("h").agg(F.min("k").alias("m"), F.count("*").alias("n")).filter("n > 1")
-    stars = banded.join(buckets, "h").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
-    found = components(stars)
-    blocks = found.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = (
-        found.join(blocks, "root").withColumnRenamed("node", "k").join(classes.select("k", "lead", "copies"), "k")
-        .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    )
-    texts = docs.select("doc_id", "text").join(members, docs["doc_id"].eqNullSafe(members["lead"])).select("text", "root", "blocks", "block", "k", "copies")
-    sets = texts.mapInArrow(_sets, "root binary, blocks int, block int, k binary, copies long, shingles binary")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high")))
-    grouped = sets.select("root", F.inline(pairs), "k", "block", "copies", "shingles").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "k")
+    buckets = cut(banded.groupBy("h").agg(F.min("k").alias("m"), F.count("*").alias("n")).filter("n > 1"))
+    stars = skew_join(banded, buckets, "h", n_classes * BANDS).filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
+    members = _groups(cut(components(stars)), classes, banded, buckets, n_classes * BANDS).join(classes.select("k", "one", "copies"), "k")
+    same = docs["doc_id"].eqNullSafe(members["one"]["doc_id"]) & (F.xxhash64(docs["text"]) == members["one"]["text_hash"])
+    sets = docs.join(members, same).select("text", "groups", "k", "copies").mapInArrow(
+        _sets, "groups array<struct<root:binary,low:string,high:string,side:int>>, k binary, copies long, shingles binary"
+    )
+    grouped = sets.select(F.inline("groups"), "k", "copies", "shingles").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "k")
     verified = cut(grouped.mapInArrow(_verify, "k binary, local binary, links long"))
     links = verified.groupBy("k").agg(F.sum("links").alias("links"))
     groups = components(verified.select(F.col("k").alias("a"), F.col("local").alias("b")))
-    placed = classes.select("k", "lead", "copies").join(links, "k", "left").join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    leads = placed.groupBy("root").agg(F.min("lead").alias("class_id"))
-    placed = placed.join(leads, "root").select("k", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return signed.select("doc_id", "text_hash", "k").join(placed, "k").select("doc_id", "class_id", "n_links", "n_copies", "text_hash", "root")
+    placed = classes.select("k", "lead", "copies").join(links, "k", "left").join(groups.withColumnRenamed("node", "k"), "k", "left")
+    placed = cut(placed.withColumn("root", F.coalesce("root", "k")))
+    leads = cut(placed.groupBy("root").agg(F.min("lead").alias("class_id"), F.count("*").alias("n")))
+    named = skew_join(placed, leads, "root", n_classes).select("k", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    named = cut(named.withColumn("n", F.col("n_copies")))
+    return skew_join(signed.select("doc_id", "text_hash", "k"), named, "k", n_docs).select("doc_id", "class_id", "n_links", "n_copies", "text_hash", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group of similar documents one row
-    stays, that with the least (doc_id, text hash), nulls first."""
-    judged = ngram_join(docs)
+    stays, that with the least (doc_id, text hash), nulls first; of its repeated rows that with the
+    least JSON form."""
+    plain = plain_names(docs, ("doc_id", "text"))
+    judged = ngram_join(plain)
     rows = judged.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("r"))
     keys = least.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), F.col("r.n").alias("__n"))
-    kept = docs.join(keys, docs["doc_id"].eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__hash"]))
-    names = docs.columns
-    again = kept.filter("__n > 1").groupBy("__id", "__hash").agg(F.min(F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(names)])).alias("r"))
-    return kept.filter("__n = 1").select(*names).unionByName(again.select(*[F.col(f"r.f{i}").alias(c) for i, c in enumerate(names)]))
+    kept = plain.join(keys, plain["doc_id"].eqNullSafe(keys["__id"]) & (F.xxhash64(plain["text"]) == keys["__hash"]))
+    row = F.struct(*plain.columns)
+    again = kept.filter("__n > 1").groupBy("__id", "__hash").agg(F.min_by(row, F.to_json(row)).alias("r"))
+    return kept.filter("__n = 1").select(*plain.columns).unionByName(again.select("r.*")).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

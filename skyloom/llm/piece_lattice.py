@@ -17,8 +17,9 @@ The model's ids, pieces and scores are used as they are. Where the model was tra
 encoding, its own encoder merges greedily; the lattice gives the path of the best total score over
 the same pieces, which may differ. Decoding is exact for both.
 
-Defined cases: null and empty texts have no pieces; U+2581 in a text decodes as a space; runs of
-any length without a boundary are encoded whole; repeated rows are encoded one by one; further columns are ignored; an empty table gives none.
+Defined cases: null and empty texts have no pieces and decode to ""; U+2581 in a text becomes byte pieces, so
+that it isn't taken for a space and decodes as itself; runs of any length without a boundary are encoded whole;
+repeated rows are encoded one by one; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import chunked, pack, release, table, unpack
+from skyloom.llm.common import chunked, labels, pack, release, table, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -103,7 +104,7 @@ _WORDS = re.compile(" *[^ ]+| +")
 
 
 def words(text: str) -> list[str]:
-    """A text's words without the one space that :func:`normalise` has before each of them. A word
+    """A text's words without the one space before each of them (the model puts one before the first, too). A word
     after several spaces keeps the others, as pieces may span them. No unit crosses a word, so
     distinct words need cutting only once."""
     if not text:
@@ -113,16 +114,15 @@ def words(text: str) -> list[str]:
     return text.split(" ")
 
 
-def word_units(word: str) -> list[str]:
+def word_units(word: str) -> list[str | None]:
+    """The units of a word; None stands for a U+2581 of the text, which no piece spells."""
     if word.isalpha():  # letters only: one unit
         return [SPACE + word]
-    return units(SPACE + word.replace(" ", SPACE))
-
-
-def normalise(text: str) -> str:
-    """What the pieces spell: ``text`` with a space before it and U+2581 for each space. A space
-    itself can thus separate units in a list."""
-    return SPACE + text.replace(" ", SPACE) if text else ""
+    first, *others = word.split(SPACE)
+    out: list[str | None] = list(units(SPACE + first.replace(" ", SPACE)))
+    for part in others:
+        out += [None, *units(part.replace(" ", SPACE))]
+    return out
 
 
 def best_path(n: Column, edges: Column) -> Column:
@@ -205,24 +205,19 @@ def encode_units(distinct: DataFrame, pieces: Pieces, key: str) -> DataFrame:
 
 
 def decode_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) -> str:
-    """The text that piece ids spell."""
-    return spell_ids(ids, pieces, first_byte).replace(SPACE, " ")[1:]
-
-
-def spell_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) -> str:
-    """The pieces of ids, joined; byte pieces become the characters they encode."""
+    """The text that piece ids spell: U+2581 of a piece is a space, byte pieces are the bytes of characters."""
     values = first_byte if first_byte is not None else {i: b for b, i in enumerate(pieces.byte_ids)}
     texts = pieces.texts
     if values.keys().isdisjoint(ids):
-        return "".join([texts[i] for i in ids])
-    return b"".join(bytes([values[i]]) if i in values else texts[i].encode() for i in ids).decode("utf-8", "replace")
+        return "".join([texts[i] for i in ids]).replace(SPACE, " ")[1:]
+    return b"".join(bytes([values[i]]) if i in values else texts[i].replace(SPACE, " ").encode() for i in ids).decode("utf-8", "replace")[1:]
 
 
 CHUNK_ROWS = "bucket int, chunk int, units string"
 
 
-def _extract(buckets: list[int]):
-    n = len(buckets)
+def _extract(n: int):
+    buckets = labels(n).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, set[str]] = {}
@@ -231,7 +226,7 @@ def _extract(buckets: list[int]):
             rows = []
             for chunk, found in held.items():
                 split: list[list[str]] = [[] for _ in range(n)]
-                for u in sorted({u for w in found for u in word_units(w)}):
+                for u in sorted({u for w in found for u in word_units(w) if u is not None}):
                     split[zlib.crc32(u.encode("utf-8", "surrogatepass")) % n].append(u)
                 rows += [(buckets[b], chunk, " ".join(us)) for b, us in enumerate(split) if us]
             held.clear()
@@ -260,6 +255,7 @@ def _answer(pieces: Pieces, kind: str):
     ids decode to the unit. As texts decode unit by unit, that holds for a text if for its units."""
     byte_ids = pieces.byte_ids
     bytes_of = {i: b for b, i in enumerate(byte_ids)}
+    blank = byte_ids[32]  # for the leading character that decoding takes off
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         lists = right.column("ids").combine_chunks()
@@ -279,7 +275,8 @@ def _answer(pieces: Pieces, kind: str):
                 if len(u) > LONGEST_UNIT and u not in paths:
                     starts = starts or prefixes(pieces)
                     paths[u] = np.array([x for i in long_path(u, pieces, starts) for x in _spell(i, byte_ids)], kind).tobytes()
-        wrong = {u for u, b in paths.items() if spell_ids(np.frombuffer(b, kind).tolist(), pieces, bytes_of) != u}
+        spelt = lambda b: decode_ids([blank, *np.frombuffer(b, kind).tolist()], pieces, bytes_of)
+        wrong = {u for u, b in paths.items() if spelt(b) != u.replace(SPACE, " ")}
         blobs = []
         for text in left.column("units").to_pylist():
             names = text.split(" ")
@@ -292,7 +289,9 @@ def _answer(pieces: Pieces, kind: str):
     return run
 
 
-def _assemble(kind: str):
+def _assemble(kind: str, byte_ids: tuple[int, ...]):
+    literal = np.array([byte_ids[b] for b in SPACE.encode()], kind).tobytes()
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         paths: dict[str, bytes] = {}
         odd: set[str] = set()  # units that don't decode to themselves
@@ -310,7 +309,7 @@ def _assemble(kind: str):
                 ws = words(text)
                 for w in set(ws).difference(known):
                     own = word_units(w)
-                    known[w] = paths[own[0]] if len(own) == 1 else b"".join([paths[u] for u in own])
+                    known[w] = paths[own[0]] if len(own) == 1 else b"".join([literal if u is None else paths[u] for u in own])
                     if odd and not odd.isdisjoint(own):
                         wrong.add(w)
                 ids.append(b"".join([known[w] for w in ws]))
@@ -328,19 +327,17 @@ def _assemble(kind: str):
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_pieces and round_trip (the ids decode to the text) of every document. As
-    many chunks as the session has shuffle partitions hold the text, so their number should grow
-    with the data as that of any shuffle."""
+    """doc_id, ids, n_pieces and round_trip (the ids decode to the text) of every document."""
     pieces = load_pieces(model)
     kind = "<u2" if len(pieces.texts) <= 1 << 16 else "<u4"
-    texts, labels = chunked(docs, ["doc_id", "text"])
-    listed = texts.mapInArrow(_extract(labels), CHUNK_ROWS).repartition(len(labels), "bucket")
+    texts, n = chunked(docs.select("doc_id", "text"))
+    listed = texts.mapInArrow(_extract(n), CHUNK_ROWS).repartition(n, "bucket")
     # the condition on chunk keeps all columns of the lists' shuffle, so that both readers share it
     names = F.when(F.col("chunk").isNotNull(), F.split("units", " "))
     distinct = listed.select(F.col("bucket").alias("own"), F.explode_outer(names).alias("unit")).filter(F.length("unit") <= LONGEST_UNIT).distinct()
     paths = encode_units(distinct, pieces, "own")
     answers = listed.groupBy("bucket").cogroup(paths.groupBy("own")).applyInArrow(_answer(pieces, kind), "chunk int, paths binary")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(kind), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(kind, pieces.byte_ids), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -7,8 +7,10 @@ no further; the others, distinct within a chunk of documents and with that chunk
 doc_id, are dealt by anchor. Per group of anchors the segments' collection Burrows-Wheeler
 transform and longest common prefixes are then built column by column: each round inserts one more
 symbol of every segment (from the right) into the sequence of symbols, prefixes and owners of the
-round before, read and written in order (in files beyond ``IN_MEMORY`` entries). Common prefixes of 50 and more join equal strings; the
-least doc_id of such a group decides what each chunk removes.
+round before. The sequences are files in the session's shared folder that are read and written
+from end to end, block by block; a task deletes its own, and one that dies is run again with new
+ones. Common prefixes of 50 and more join equal strings; the least doc_id of such a group decides
+what each chunk removes.
 
 The text moves once, to chunks; anchors travel as packed sorted numbers, segments as packed bytes.
 An anchor in more than ``HOT`` documents is cut into single 50-byte strings that are dealt by
@@ -23,17 +25,17 @@ matches never cross documents; further columns are ignored; an empty table gives
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import SLICE_BYTES, chunked, mix, release, span_hashes, table, unpack, utf8
+from skyloom.llm.common import SLICE_BYTES, chunked, labels, mix, plain_names, release, shared_folder, span_hashes, table, unpack, utf8
 
 LENGTH, ANCHOR = 50, 16
 _SPAN = LENGTH - ANCHOR + 1  # anchor positions of a string
@@ -41,8 +43,8 @@ _PLACE = np.uint64((1 << 28) - 1)  # low bits that hold a position while hashes
 _LOW = np.uint64((1 << 40) - 1)
 #: Documents of an anchor beyond which its segments are dealt as single strings.
 HOT = 200_000
-#: Segments built together; entries beyond which a build keeps its sequences in files.
-BIN, IN_MEMORY = 2048, 1 << 22
+#: Segments built together (and those of their last anchor).
+BIN = 8192
 
 
 def _slices(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -99,73 +101,173 @@ def _unpack40(b: bytes) -> np.ndarray:
 # --- the column-wise construction -------------------------------------------------------------
 
 
-class _Sequence:
-    """The entries in order, each packed as owner << 24 | suffix length << 16 | common prefix << 8 |
-    preceding symbol; in a file, written and read from end to end, while there are many."""
-
-    def __init__(self, entries: np.ndarray, folder: str | None):
-        self.folder, self.round, self.held = folder, 0, None
-        self.put(entries)
-
-    def get(self) -> np.ndarray:
-        return self.held if self.folder is None else np.fromfile(Path(self.folder, f"round{self.round & 1}"), np.uint64)
-
-    def put(self, entries: np.ndarray) -> None:
-        if self.folder is None:
-            self.held = entries
-        else:
-            self.round += 1
-            entries.tofile(Path(self.folder, f"round{self.round & 1}"))
+#: Entries of a sequence that are read or written at a time.
+BLOCK = 1 << 17
 
 
-def build(right: np.ndarray, size: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Sequence:
+    """The entries in order, each packed as owner << 24 | suffix length << 16 | common prefix << 8 |
+    preceding symbol. They live in a file of ``folder`` (any that pyarrow opens; in a buffer where
+    it opens none) that is only read and written from end to end, in blocks of BLOCK entries."""
+
+    def __init__(self, folder: str):
+        self.name, self.round, self.size = uuid.uuid4().hex, 0, 0
+        self.files, self.folder = _store(folder)
+        self.buffers: dict[str, bytes] = {}
+
+    def _path(self, k: int) -> str:
+        return f"{self.folder}/{self.name}-{k & 1}"
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        path = self._path(self.round)
+        with pa.BufferReader(self.buffers[path]) if self.files is None else self.files.open_input_stream(path) as f:
+            while len(block := f.read_buffer(8 * BLOCK)):
+                yield np.frombuffer(block, np.uint64)
+
+    def _sink(self, path: str):
+        if self.files is None:
+            return pa.BufferOutputStream()
+        if isinstance(self.files, fs.LocalFileSystem):  # over the round before the last, which was shorter
+            return open(path, "r+b" if self.round > 1 else "wb", buffering=0)
+        return self.files.open_output_stream(path)
+
+    def write(self, blocks: Iterator[np.ndarray]) -> None:
+        """The next round's entries; those of this round can be read until it returns."""
+        path, self.size = self._path(self.round + 1), 0
+        with self._sink(path) as sink:
+            for block in blocks:
+                sink.write(np.ascontiguousarray(block))
+                self.size += len(block)
+            if self.files is None:
+                self.buffers[path] = sink.getvalue()
+        self.round += 1
+
+    def delete(self) -> None:
+        self.buffers.clear()
+        if self.files is not None:
+            for k in range(min(2, self.round)):
+                self.files.delete_file(self._path(k + 1))
+
+
+def _store(folder: str):
+    """The file system of a folder and its path there; None where pyarrow opens no such file system."""
+    if folder.startswith("file:") or "://" not in folder:
+        files, path = fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    else:
+        try:
+            files, path = fs.FileSystem.from_uri(folder)
+        except (OSError, ValueError, NotImplementedError):
+            return None, folder
+    files.create_dir(path, recursive=True)
+    return files, path
+
+
+_OWNER, _SIZE, _COMMON = np.uint64(24), np.uint64(16), np.uint64(8)
+
+
+def _find_places(state: Sequence, asked: np.ndarray, totals: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+    """One pass over a round's entries. The suffix that a symbol of the entries ``asked`` (sorted) makes
+    longer has its place where that symbol's occurrence is among all of them, after the ``m`` empty
+    suffixes. Returned, by place: places, owners, common prefixes and whether the entry is new; an
+    old entry that follows a new one with its first symbol gets a new common prefix too."""
+    begin = np.cumsum(totals) - totals - totals[0] + m
+    seen, least, was_new = np.zeros(256, np.int64), np.zeros(256, np.uint8), np.zeros(256, bool)
+    found, at = [], 0
+    for entries in state.blocks():
+        n = len(entries)
+        symbols, prefixes = entries.astype(np.uint8), np.zeros(n + 1, np.uint8)
+        prefixes[:n] = entries >> _COMMON
+        order = pc.array_sort_indices(pa.array(symbols)).to_numpy().view(np.int64)  # stable, by counting
+        count = np.bincount(symbols, minlength=256)
+        first = np.cumsum(count) - count
+        here = np.flatnonzero(count)
+        new = np.zeros(n, bool)
+        lo, hi = np.searchsorted(asked, (at, at + n))
+        new[asked[lo:hi] - at] = True
+        new = new[order]
+        after = np.empty(n, bool)
+        after[1:] = new[:-1]
+        after[first[here]] = was_new[here]
+        t = np.flatnonzero(new | after)
+        x = order[t]
+        symbol = symbols[x]
+        common = np.zeros(len(t), np.uint64)
+        inside = t > first[symbol]
+        k = np.flatnonzero(inside)
+        if len(k):
+            k = k[np.argsort(-x[k])]  # falling, so that reduceat has nothing to reduce in between
+            bounds = np.empty(2 * len(k), np.int64)
+            bounds[0::2], bounds[1::2] = order[t[k] - 1] + 1, x[k] + 1
+            common[k] = np.minimum.reduceat(prefixes, bounds)[0::2].astype(np.uint64) + np.uint64(1)
+        k = np.flatnonzero(~inside & (seen[symbol] > 0))  # the occurrence before is in an earlier block
+        if len(k):
+            common[k] = np.minimum(np.minimum.accumulate(prefixes[:n])[x[k]], least[symbol[k]]).astype(np.uint64) + np.uint64(1)
+        found.append((begin[symbol] + seen[symbol] + t - first[symbol], entries[x] >> _OWNER, common, new[t]))
+        at += n
+        if at < state.size:  # what the next blocks need to know
+            least = np.minimum(least, prefixes[:n].min())
+            prefixes[n] = 255
+            ends = first[here] + count[here] - 1
+            least[here] = np.minimum.accumulate(prefixes[::-1])[::-1][order[ends] + 1]
+            was_new[here] = new[ends]
+            seen += count
+    place, owner, common, new = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(place)
+    return place[order], owner[order], common[order], new[order]
+
+
+def _inserted(state: Sequence, place: np.ndarray, entries: np.ndarray, changed: np.ndarray, common: np.ndarray) -> Iterator[np.ndarray]:
+    """The round's entries with new ``entries`` at their places, and common prefixes of ``changed`` ones."""
+    point = place - np.arange(len(place))  # in the order before
+    changed = changed - np.searchsorted(place, changed)
+    at = 0
+    for block in state.blocks():
+        n = len(block)
+        lo, hi = np.searchsorted(point, (at, at + n))
+        a, b = np.searchsorted(changed, (at, at + n))
+        out = np.empty(n + hi - lo, np.uint64)
+        old = np.ones(len(out), bool)
+        own = point[lo:hi] - at + np.arange(hi - lo)
+        old[own] = False
+        out[own] = entries[lo:hi]
+        if b > a:
+            block = block.copy()
+            k = changed[a:b] - at
+            block[k] = block[k] & ~np.uint64(0xFF00) | common[a:b] << _COMMON
+        out[old] = block
+        at += n
+        yield out
+    yield entries[np.searchsorted(point, at) :]
+
+
+def build(right: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of the strings in order: their common prefixes (of each with the one before),
     their strings and their lengths. ``right``: the strings as right-aligned rows of symbols above
     0. Round j inserts the suffixes of j symbols: the place of one is given by how often its first
-    symbol occurs among the preceding symbols before the place of its rest."""
+    symbol occurs among the preceding symbols before the place of its rest. Beside the strings and
+    one number a string, memory holds one block of the sequence."""
     m, width = right.shape
     columns = np.ascontiguousarray(right.T)
-    owner, length, prefix = np.uint64(24), np.uint64(16), np.uint64(8)
-    state = _Sequence(np.arange(m, dtype=np.uint64) << owner | columns[-1], folder)
-    asked = np.flatnonzero(size > 0)
-    for j in range(1, int(size.max(initial=0)) + 1):
-        entries = state.get()
-        n = len(entries)
-        symbols, prefixes = entries.astype(np.uint8), np.zeros(n + 1, np.uint8)
-        prefixes[:n] = entries >> prefix
-        order = np.argsort(symbols, kind="stable")
-        wanted = np.zeros(n, bool)
-        wanted[asked] = True
-        rank = np.flatnonzero(wanted.take(order))
-        string = entries[order[rank]] >> owner
-        # new entries, and old ones that follow a new one, get their prefix with the entry before
-        follows = rank[np.append(np.diff(rank) > 1, rank[-1] + 1 < n)] + 1
-        touched = np.concatenate([rank, follows])
-        x, y = order[touched], order[np.maximum(touched - 1, 0)]
-        same = np.flatnonzero((touched > 0) & (symbols[x] == symbols[y]))
-        common = np.zeros(len(touched), np.uint64)
-        if len(same):
-            falling = same[np.argsort(-x[same])]  # so that reduceat has nothing to reduce in between
-            bounds = np.empty(2 * len(falling), np.int64)
-            bounds[0::2], bounds[1::2] = y[falling] + 1, x[falling] + 1
-            common[falling] = np.minimum.reduceat(prefixes, bounds)[0::2].astype(np.uint64) + np.uint64(1)
-        shift = m - int(np.count_nonzero(symbols == 0))
-        place = rank + shift
-        row = string.astype(np.int64)
-        before = np.where(size[row] > j, columns[max(width - j - 1, 0)][row], 0).astype(np.uint64)
-        old = np.ones(n + len(place), np.int8)
-        old[place] = 0
-        merged = entries.take(np.cumsum(old, dtype=np.int32) - np.int32(1), mode="clip")
-        merged[place] = string << owner | np.uint64(j) << length | before
-        touched += shift
-        merged[touched] = merged[touched] & ~np.uint64(0xFF00) | common << prefix
-        state.put(merged)
-        asked = place[before > 0]
-    entries = state.get()
-    return (entries >> prefix).astype(np.uint8), (entries >> owner).astype(np.int64), (entries >> length).astype(np.uint8).astype(np.int64)
-
-
-def least_documents(strings: list[bytes], document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    state = Sequence(folder)
+    try:
+        state.write(iter([np.arange(m, dtype=np.uint64) << _OWNER | columns[-1]]))
+        totals = np.bincount(columns[-1], minlength=256)
+        asked = np.flatnonzero(size > 0)
+        for j in range(1, int(size.max(initial=0)) + 1):
+            place, owner, common, new = _find_places(state, asked, totals, m)
+            row = owner[new].astype(np.int64)
+            before = np.where(size[row] > j, columns[max(width - j - 1, 0)][row], 0).astype(np.uint64)
+            entries = owner[new] << _OWNER | np.uint64(j) << _SIZE | common[new] << _COMMON | before
+            state.write(_inserted(state, place[new], entries, place[~new], common[~new]))
+            totals += np.bincount(before.astype(np.int64), minlength=256)
+            asked = place[new][before > 0]
+        entries = np.concatenate(list(state.blocks()))
+    finally:
+        state.delete()
+    return (entries >> _COMMON).astype(np.uint8), (entries >> _OWNER).astype(np.int64), (entries >> _SIZE).astype(np.uint8).astype(np.int64)
+
+
+def least_documents(strings: list[bytes], document: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """The least document of every LENGTH-byte string that starts in a string, and where each
     string's begin."""
     size = np.array([len(s) for s in strings])
@@ -173,11 +275,7 @@ def least_documents(strings: list[bytes], document: np.ndarray) -> tuple[np.ndar
     flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     right = np.zeros((len(strings), width), np.uint8)
     right[np.arange(width) >= (width - size)[:, None]] = flat
-    if int((size + 1).sum()) > IN_MEMORY:
-        with tempfile.TemporaryDirectory() as folder:
-            prefixes, owners, lengths = build(right, size, folder)
-    else:
-        prefixes, owners, lengths = build(right, size)
+    prefixes, owners, lengths = build(right, size, folder)
     starts = np.flatnonzero(prefixes < LENGTH)
     group = np.cumsum(prefixes < LENGTH) - 1
     least = np.minimum.reduceat(document[owners], starts)[group]
@@ -202,8 +300,15 @@ def _all_rows(packed: pa.Table) -> pa.Table:
     return pa.concat_tables([unpack(r.as_buffer()) for r in packed.column("rows")]).combine_chunks()
 
 
-def _anchors(labels: list[int]):
-    n = len(labels)
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _anchors(n: int):
+    names = labels(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -214,15 +319,15 @@ def _anchors(labels: list[int]):
                 h, d = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.lexsort((d, h))
                 h, d = h[order], d[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]])
-                docs = np.add.reduceat((new | np.concatenate([[True], d[1:] != d[:-1]])).astype(np.int64), np.flatnonzero(new)) if len(h) else np.zeros(0, np.int64)
+                new = _first(h)
+                docs = np.add.reduceat(_first(h, d).astype(np.int64), np.flatnonzero(new)) if len(h) else np.zeros(0, np.int64)
                 h, bucket = h[new], _bucket_of(h[new], n)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(n + 1))
                 for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if hi > lo:
                         own = order[lo:hi]
-                        rows.append((labels[b], chunk, _pack40(h[own] & _LOW), np.minimum(docs[own], 65535).astype(np.uint16).tobytes()))
+                        rows.append((int(names[b]), chunk, _pack40(h[own] & _LOW), docs[own].astype(np.uint32).tobytes()))
             held.clear()
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "anchors", "docs"])
@@ -246,7 +351,7 @@ def _anchors(labels: list[int]):
 def _repeated(hot: int):
     def run(t: pa.Table) -> pa.Table:
         lists = [_unpack40(b) for b in t.column("anchors").to_pylist()]
-        docs = np.concatenate([np.frombuffer(b, np.uint16) for b in t.column("docs").to_pylist()]).astype(np.int64)
+        docs = np.concatenate([np.frombuffer(b, np.uint32) for b in t.column("docs").to_pylist()]).astype(np.int64)
         value, inverse = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(inverse, docs, minlength=len(value))[inverse]
         out, flags, begin = [], [], 0
@@ -266,9 +371,9 @@ def _contents(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.
     return span_hashes(data, first, end), span_hashes(data[::-1], len(data) - end, len(data) - first)
 
 
-def _segments_of_chunk(labels: list[int]):
-    n = len(labels)
-    number = {x: k for k, x in enumerate(labels)}
+def _segments_of_chunk(n: int):
+    tags = labels(n)
+    number = {int(x): k for k, x in enumerate(tags)}
 
     def run(key, texts: pa.Table, dup: pa.Table) -> pa.Table:
         ids, data, at = _rows_of(_all_rows(texts))
@@ -305,23 +410,21 @@ def _segments_of_chunk(labels: list[int]):
         if found:
             own, h1, h2, doc, first, end, alone = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((doc, h2, h1, own))
-            new = np.ones(len(order), bool)
-            new[1:] = (own[order][1:] != own[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-            order = order[new]  # of equal segments that of the least document
+            order = order[_first(own[order], h1[order], h2[order])]  # of equal segments that of the least document
             bucket = (own[order] >> np.uint64(40)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(n + 1))
             for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 k = order[lo:hi]
                 if hi > lo:
                     text = b"".join([data[a:e].tobytes() for a, e in zip(first[k].tolist(), end[k].tolist(), strict=True)])
-                    rows.append((labels[b], key[0].as_py(), (end - first)[k].astype(np.uint8).tobytes(), text, doc[k].tobytes(), (own[k] & _LOW).tobytes(), h1[k].tobytes(), alone[k].astype(np.uint8).tobytes()))
+                    rows.append((int(tags[b]), key[0].as_py(), (end - first)[k].astype(np.uint8).tobytes(), text, doc[k].tobytes(), (own[k] & _LOW).tobytes(), h1[k].tobytes(), alone[k].astype(np.uint8).tobytes()))
         columns = list(zip(*rows, strict=True)) or [[] for _ in names]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types, strict=True)})
 
     return run
 
 
-def _decide(t: pa.Table) -> pa.Table:
+def _decide(t: pa.Table, folder: str) -> pa.Table:
     """Per chunk: hashes, least documents and removal bits of its segments in this bucket."""
     sizes = [np.frombuffer(b, np.uint8).astype(np.int64) for b in t.column("sizes").to_pylist()]
     size, text = np.concatenate(sizes), b"".join(t.column("text").to_pylist())
@@ -338,7 +441,7 @@ def _decide(t: pa.Table) -> pa.Table:
         least_own = np.full(len(strings), np.iinfo(np.int64).max)
         rows = np.array(held, np.int64)
         np.minimum.at(least_own, member[rows], doc[rows])
-        least, first = least_documents(list(strings), least_own)
+        least, first = least_documents(list(strings), least_own, folder)
         count = size[rows] - LENGTH + 1
         begin_at = np.cumsum(count) - count
         offset = np.arange(count.sum()) - np.repeat(begin_at, count)
@@ -400,7 +503,8 @@ def _apply(digest: bool):
         order = np.argsort(lists[0])
         whole, single = (tuple(x[order[lists[3][order] == k]] for x in lists[:3]) for k in (0, 1))
         has_id = texts.column("doc_id").is_valid().to_numpy()
-        ids = texts.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+        ids = texts.column("doc_id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
+        has_text = texts.column("text").is_valid().to_numpy()
         data, at = utf8(texts.column("text"))
         out: list[tuple] = []
         for lo, hi in _slices(data, at):
@@ -414,44 +518,45 @@ def _apply(digest: bool):
                     runs = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
                     out.append((int(b - a), int(g.sum()), runs, hashlib.sha256(kept).hexdigest()))
                 else:
-                    out.append((kept.decode("utf-8", "ignore"),))
-        names = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if digest else ("text",)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string()) if digest else (pa.string(),)
-        columns = list(zip(*out, strict=True)) or [[] for _ in names]
+                    out.append((kept.decode("utf-8", "ignore") if has_text[lo + r] else None,))
         release()
-        made = {n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)}
-        others = {c: texts.column(c) for c in texts.column_names if c not in ("chunk", "text")}
-        return pa.table(made | {c: v for c, v in others.items() if not digest or c == "doc_id"})
+        columns = list(zip(*out, strict=True))
+        if digest:
+            names, types = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            made = [pa.array(c, t) for c, t in zip(columns or [()] * 4, types, strict=True)]
+            return pa.table([texts.column("doc_id"), *made], names=["doc_id", *names])
+        made = pa.array(columns[0] if columns else (), pa.string())
+        return texts.set_column(texts.column_names.index("text"), "text", made)
 
     return run
 
 
-def _removal(docs: DataFrame, keep: list[str], digest: bool, hot: int) -> DataFrame:
-    texts, labels = chunked(docs, keep)
-    n = len(labels)
-    listed = texts.mapInArrow(_anchors(labels), "bucket int, chunk int, anchors binary, docs binary").repartition(n, "bucket")
+def _removal(docs: DataFrame, digest: bool, hot: int) -> DataFrame:
+    texts, n = chunked(docs)
+    folder = f"{shared_folder(docs.sparkSession)}/strings-{uuid.uuid4().hex}"
+    listed = texts.mapInArrow(_anchors(n), "bucket int, chunk int, anchors binary, docs binary").repartition(n, "bucket")
     repeated = listed.groupBy("bucket").applyInArrow(_repeated(hot), "bucket int, chunk int, anchors binary, hot binary").filter("length(anchors) > 0")
     dealt = texts.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(
-        _segments_of_chunk(labels), "bucket int, chunk int, sizes binary, text binary, docs binary, anchors binary, hash binary, single binary"
+        _segments_of_chunk(n), "bucket int, chunk int, sizes binary, text binary, docs binary, anchors binary, hash binary, single binary"
     )
-    decided = dealt.repartition(n, "bucket").groupBy("bucket").applyInArrow(_decide, "chunk int, hash binary, docs binary, bits binary, single binary")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, doc_id long" if digest else ", ".join(["text string", *(f"`{c}` {kinds[c]}" for c in keep if c != "text")])
+    decided = dealt.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _decide(t, folder), "chunk int, hash binary, docs binary, bits binary, single binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else docs.schema
     return texts.groupBy("chunk").cogroup(decided.groupBy("chunk")).applyInArrow(_apply(digest), schema)
 
 
 def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes of every document."""
-    return _removal(docs, ["doc_id", "text"], True, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _removal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), True, hot)
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``docs`` with their kept bytes as text (a character that lost some of its bytes goes whole)
-    and, where there is such a column, n_chars of that text."""
-    out = _removal(docs, docs.columns, False, hot)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """``docs`` with their kept bytes as text (a character that lost some of its bytes goes whole; a
+    null text stays null) and, where there is such a column, n_chars of that text."""
+    needed = ("doc_id", "text", *(c for c in ("n_chars",) if c in docs.columns))
+    out = _removal(plain_names(docs, needed), False, hot)
+    if "n_chars" in needed:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

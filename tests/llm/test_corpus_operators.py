@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from skyloom.llm import ngram_join, piece_lattice, suffix_dedup
+from skyloom.llm import gru, ngram_join, piece_lattice, suffix_dedup
 from skyloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +78,51 @@ def test_keep_one(spark):
     assert ngram_join.ngram_join(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_a_large_component_by_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(12)
+    ws = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(50):  # a chain: neighbours are similar, far ones aren't
+        rows.append((k, " ".join(ws)))
+        ws = ws[2:] + [f"n{k}a", f"n{k}b"]
+    rows += [(100 + k, " ".join(rng.choices(["a", "b", "c"], k=1) + [f"c{j}" for j in range(80)])) for k in range(12)]
+    root, links = groups(rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert got == {d: (rows[r][0], n) for (d, _), r, n in zip(rows, root, links, strict=True)}
+
+
+def test_hot_keys_by_broadcast(spark):
+    from skyloom.llm.common import skew_join
+
+    rows = spark.range(4000).selectExpr("IF(id < 3000, 'hot', concat('k', id % 700)) AS key", "id")
+    sizes = rows.groupBy("key").count().withColumnRenamed("count", "n").withColumn("more", __import__("pyspark.sql.functions", fromlist=["x"]).length("key"))
+    got = skew_join(rows, sizes, "key", 4000)
+    assert got.columns == ["key", "id", "more"] and got.count() == 4000 and got.filter("key = 'hot'").count() == 3000
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_labels_name_every_partition(spark):
+    from skyloom.llm.common import labels
+
+    for n in (1, 7, 211):
+        found = spark.createDataFrame([(x,) for x in labels(n).tolist()], "x int").selectExpr(f"pmod(hash(x), {n}) AS p").collect()
+        assert [r["p"] for r in found] == list(range(n))
+
+
+def test_recall_of_the_bands():
+    rng = np.random.default_rng(6)
+    found = total = 0
+    for share in (0.8, 0.83, 0.86, 0.9):  # similarity of two sets of 900 hashes
+        common = round(900 * 2 * share / (1 + share))
+        for _ in range(60):
+            h = rng.integers(0, 1 << 63, 1800 - common).astype(np.uint64)
+            sets = np.concatenate([np.sort(h[:900]), np.sort(h[900 - common :])])
+            bands = ngram_join.band_hashes(sets, np.array([0, 900, 1800]))
+            found, total = found + bool((bands[0] == bands[1]).any()), total + 1
+    assert found / total > 0.98
+
+
 def test_tiles_equal_sets(monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 3)
     rng = np.random.default_rng(1)
@@ -105,17 +150,20 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(parent)}
 
 
-def test_build_sorts_all_suffixes(tmp_path):
+@pytest.mark.parametrize("block", [1 << 17, 7])
+def test_build_sorts_all_suffixes(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     rng = random.Random(1)
     for k in range(100):
         strings = [bytes(rng.choices(b"ab", k=rng.randint(1, 12))) for _ in range(rng.randint(1, 12))]
         width = max(map(len, strings))
         right = np.array([[0] * (width - len(s)) + [c + 1 for c in s] for s in strings], np.uint8)
-        prefixes, owners, lengths = suffix_dedup.build(right, np.array([len(s) for s in strings]), str(tmp_path) if k % 2 else None)
+        prefixes, owners, lengths = suffix_dedup.build(right, np.array([len(s) for s in strings]), str(tmp_path) if k % 2 else "none://memory")
         found = [strings[o][len(strings[o]) - n :] for o, n in zip(owners, lengths, strict=True)]
         assert found == sorted(found)
         common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert prefixes[1:].tolist() == [common(a, b) for a, b in itertools.pairwise(found)]
+    assert not list(tmp_path.iterdir())
 
 
 def removed(rows):
@@ -144,16 +192,16 @@ def test_repeated_strings_equal_brute_force(spark, hot):
 def test_without_repeats(spark):
     df = frame(spark, corpus(5)).withColumn("n_chars", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0).cast("long"))
     out = suffix_dedup.without_repeats(df)
-    assert out.columns == df.columns and out.count() == df.count() and all(len(r["text"]) == r["n_chars"] for r in out.collect())
+    assert out.columns == df.columns and out.count() == df.count() and all(len(r["text"] or "") == r["n_chars"] for r in out.collect())
     assert suffix_dedup.removed_spans(df.limit(0)).count() == 0
 
 
 def best(text, pieces):
-    s, score, back = piece_lattice.normalise(text), [0.0], [None]
+    s, score, back = " " + text if text else "", [0.0], [None]
     for end in range(1, len(s) + 1):
         top = None
         for start in range(max(0, end - pieces.longest), end):
-            p = pieces.normal.get(s[start:end])
+            p = pieces.normal.get(s[start:end].replace(" ", "▁")) if "▁" not in s[start:end] else None
             if p is None and end - start > 1:
                 continue
             value = score[start] + (p[1] if p else pieces.unknown)
@@ -173,7 +221,7 @@ def test_pieces_equal_brute_force_and_round_trip(spark):
 
     pieces = piece_lattice.load_pieces()
     model = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.MODEL)
-    texts = ["hello  world\n\tx %%% né ñ", "", None, " a", "  b  ", "x" * 200, "漢字🙂 \x00 z", "The theatre, don't (stop)!", "a b", "hello"]
+    texts = ["hello  world\n\tx %%% né ñ", "", None, " a", "  b  ", "x" * 200, "漢字🙂 \x00 z", "The theatre, don't (stop)!", "a b", "hello", "a▁b c", "▁", " ▁▁ x▁", "don▁'t▁ ▁"]
     rows = [*enumerate(texts), (0, texts[0]), (None, "word")]
     df = frame(spark, rows).selectExpr("*", "1 AS ids")
     encoded = piece_lattice.encode(df)
@@ -188,7 +236,7 @@ def test_pieces_equal_brute_force_and_round_trip(spark):
 def test_long_runs_equal_brute_force(spark):
     pieces = piece_lattice.load_pieces()
     rng = random.Random(3)
-    runs = ["".join(rng.choices("0123456789,.", k=6000)), "-=" * 1500 + "-" * 3001, "".join(rng.choices("etaoinshrdlu", k=5000)), "".join(rng.choices("漢字é🙂x", k=4000)), "x" * 257, "\n" * 300 + " " * 700 + "a"]
+    runs = ["".join(rng.choices("0123456789,.", k=6000)), "-=" * 1500 + "-" * 3001, "".join(rng.choices("etaoinshrdlu", k=5000)), "".join(rng.choices("漢字é🙂x", k=4000)), "x" * 255, "x" * 256, "x" * 257, "ab" * 128 + "▁" * 300 + "yz" * 400, "\n" * 300 + " " * 700 + "a"]
     texts = [*runs, "a few words " + runs[0] + " and more", runs[2] + runs[1], " ".join(runs)]
     rows = [*enumerate(texts), (0, texts[0])]
     got = sorted((r["doc_id"], tuple(r["ids"]), r["n_pieces"], r["round_trip"]) for r in piece_lattice.encode(frame(spark, rows)).collect())
@@ -197,15 +245,93 @@ def test_long_runs_equal_brute_force(spark):
     assert [tuple(r["ids"]) for r in piece_lattice.encode(frame(spark, rows[:1])).collect()] == [want[0][1]]  # no other unit
 
 
-def test_pipeline_stages_on_a_small_corpus(spark):
+def documents(spark, rows):
+    return frame(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "IF(doc_id % 3 = 0, 's', 't') AS source", "CAST(length(text) AS LONG) AS n_chars")
+
+
+def written(spark, path, rows, toxic=()):
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels = spark.createDataFrame([(d, 1, int(d in toxic)) for d, _ in rows if d is not None] or [(-1, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return docs
+
+
+def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
-    labels = {n for n, _ in corpus_pipeline.STAGES}
-    assert len(labels) == 5
-    docs = frame(spark, corpus()).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS LONG) AS n_chars")
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        out = stage(spark, docs, "")
-        if name != "sentencepiece":
+    rng = random.Random(8)
+    rows = [(d, t if d is None or d % 6 else f"{t} zzot kwyx {rng.randint(0, 99)} zzot") for d, t in corpus()]
+    toxic = {d for d, t in rows if t and "zzot" in t}
+    docs = written(spark, tmp_path, rows, toxic)
+    assert len(corpus_pipeline.STAGES) == 5
+    previous, sizes = docs, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, previous, str(tmp_path))
+        if k < 4:
             assert out.columns == docs.columns, name
-            docs = spark.createDataFrame(out.collect(), docs.schema)
-    assert out.filter("round_trip").count() == docs.count()
+            out = spark.createDataFrame(out.collect(), docs.schema)
+            sizes.append(out.count())
+        if name == "toxicity":
+            model = gru.fit_toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            left = [(d, t) for d, t in rows if model.scores(*gru._join([(t or "").encode()]))[0] < gru.THRESHOLD]
+            assert sorted(map(str, left)) == sorted(str((r["doc_id"], r["text"])) for r in out.collect()) and 0 < len(left) < len(rows)
+        if name == "ngram_jaccard_join":
+            left = [(r["doc_id"], r["text"]) for r in previous.collect()]
+            assert out.count() == len(set(groups(left)[0]))
+        if name == "suffix_array_dedup":
+            left = [(r["doc_id"], r["text"]) for r in previous.collect()]
+            assert sorted((str(d), n - gone) for d, n, gone, *_ in removed(left)) == sorted((str(r["doc_id"]), len((r["text"] or "").encode())) for r in out.collect())
+        if name == "mix_to_target_weights":
+            texts = {r["text"] for r in previous.collect()}
+            assert {r["text"] for r in out.collect()} <= texts
+        previous = out
+    assert out.filter("round_trip").count() == out.count() == sizes[3]
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, out.collect()))
+
+
+AWKWARD = {
+    "short": [(k, "ab " * (k % 9)) for k in range(40)],
+    "null": [(k, None) for k in range(12)],
+    "no id": [(None, "the same text " * 8)] * 6 + [(None, f"the same text {k} " * 9) for k in range(6)],
+    "one": [(7, "just one document with some words in it " * 4)],
+    "none": [],
+    "chunk of shorts": [(1, "x" * 200), (2, "y" * 10), (3, None), (4, "x" * 120)],
+}
+
+
+@pytest.mark.parametrize("name", AWKWARD)
+@pytest.mark.parametrize("partitions", [1, 37])
+def test_awkward_tables_through_all_stages(spark, tmp_path, name, partitions):
+    import corpus_pipeline
+
+    rows = AWKWARD[name]
+    docs = written(spark, tmp_path, rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert sorted(map(tuple, suffix_dedup.removed_spans(docs).collect()), key=str) == removed(rows)
+        if partitions == 1:
+            assert corpus_pipeline.run(spark, str(tmp_path)).count() <= 3 * len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = corpus()[:60] + [(None, None), (3, "a b"), (3, "a b")]
+    docs = written_with_more(spark, tmp_path, rows)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names and out.count() > 0, name
+        assert all(r["a.b"] == r["doc_id"] and r["ids"] == {"a": 1} and r["score"] == 1.5 for r in out.collect())
+    assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() == len(rows)
+
+
+def written_with_more(spark, path, rows):
+    docs = written(spark, path, rows)
+    return docs.selectExpr(
+        "*", "1.5D AS score", "2 AS predicted", "false AS held_out", "9 AS chunk", "'r' AS rows", "7L AS size", "0D AS target", "1L AS taken", "'k' AS k", "'t' AS root",
+        "map('a', 1) AS ids", "doc_id AS `a.b`", "array(1) AS `__row`", "'h' AS text_hash", "4 AS `__copy`", "5 AS `__size`",
+    )
