@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import gru, mixing, ngram_join, piece_lattice, suffix_dedup
-from skyloom.llm.common import cut, table
+from skyloom.llm.common import cut, plain_names, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go. The model is fitted on the labelled
     documents of the source table, so it is the same whatever came before this stage."""
     model = gru.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return gru.score(docs, model, keep=others).filter("predicted = 0").select(*docs.columns)
+    plain = plain_names(docs, ("doc_id", "text"))
+    others = tuple(c for c in plain.columns if c != "doc_id")
+    return gru.score(plain, model, keep=others).filter("predicted = 0").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
