@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ def test_media_columns(spark):
 
 
 def test_url_rules_and_classifier(spark):
-    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/7x?q#f", "https://a.b.com/en/1", "http://com/en/", "http://xcom/en/", "ftp://m.example.net/de/8", "https://q.net/de/8", "https://www.org/es/", "http://cheappills.example.org/fr/1", "http://weather.example.org", "a://b://c/en/"]
+    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/7x?q#f", "https://a.b.com/en/1", "http://com/en/", "http://xcom/en/", "ftp://m.example.net/de/8", "https://q.net/de/8", "https://www.org/es/", "http://casinopoker.example.org/fr/1", "http://weather.example.org", "a://b://c/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS verdict")
     got = {r["page_id"]: r for r in url_filter.url_filter(df).collect()}
     assert [got[k]["rule"] for k in range(13)] == [None, None, None, "example.com/en/7", "com/en/", "com/en/", None, "example.net/de/8", "net/de/", "org/es/", None, None, None]
@@ -107,30 +108,68 @@ def test_url_rules_and_classifier(spark):
 
 
 def test_segmentation():
-    counts = {"cheap": 10.0, "pills": 10.0, "che": 1.0}
-    assert url_filter.segment("cheappills", counts, 21.0) == ["cheap", "pills"] and url_filter.segment("", counts, 21.0) == []
-
-
-def test_every_word_of_the_urls_counts(spark):
-    letters = "bcdfghjklm"
-    urls = [f"http://{''.join(letters[int(c)] for c in f'{k:05}')}q.example.org/" for k in range(21_000) for _ in range(2)] + ["http://www.darwin.org/", "http://" + "window" * 5 + ".org/", "http://freebets" + "z" * 40 + ".org"]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: r for r in url_filter.url_filter(df).filter("page_id >= 42000").collect()}
-    assert [got[42_000 + k]["verdict"] for k in range(3)] == ["allow", "allow", "allow"]
-    assert {r["word"] for r in url_filter.unigrams(url_filter.with_rules(df.filter("page_id >= 42000"))).collect()} >= {"darwin", "window" * 5}
+    known = {"cheap": 0.01, "pills": 0.01, "che": 0.001, "win": 0.01}
+    assert url_filter.segment("cheappills", known) == ["cheap", "pills"] and url_filter.segment("", known) == []
+    assert url_filter.segment("window", known) == ["window"] and url_filter.segment("darwin", known) == ["darwin"]
 
 
 def test_segmentation_equals_brute_force():
     rng = random.Random(7)
     for _ in range(200):
-        counts = {"".join(rng.choices("ab", k=rng.randint(1, 4))): float(rng.randint(1, 50)) for _ in range(5)}
-        total, name = sum(counts.values()) * 100, "".join(rng.choices("abc", k=rng.randint(1, 9)))
+        known = {"".join(rng.choices("ab", k=rng.randint(1, 4))): rng.random() / 100 for _ in range(5)}
+        name = "".join(rng.choices("abc", k=rng.randint(1, 9)))
 
         def value(ws):
-            return sum(np.log(counts[w] / total) if w in counts else np.log(10 / total) - len(w) * np.log(10) for w in ws)
+            return sum(np.log(known[w]) if w in known else np.log(url_filter.UNKNOWN) - len(w) * np.log(4) for w in ws)
 
         splits = [[name[i:j] for i, j in zip([0, *at], [*at, len(name)], strict=True)] for m in range(len(name)) for at in itertools.combinations(range(1, len(name)), m)]
-        assert abs(value(url_filter.segment(name, counts, total)) - max(map(value, splits))) < 1e-9
+        assert abs(value(url_filter.segment(name, known)) - max(map(value, splits))) < 1e-9
+
+
+def slow_url_filter(rows):
+    """Scores of (url, html) rows, all in plain Python."""
+    low, letters = str.lower, re.compile(r"[^\W\d_]+")
+    seeds = [Counter(w for s in x for w in s.split()) for x in (url_filter.BLOCK_SEEDS, url_filter.ALLOW_SEEDS)]
+    parsed = []
+    for url, _ in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (low(m[1]), m[2]) if m else ("", "")
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        parsed.append((host, path, max(fits, key=lambda r: len(str(r)), default=None)))
+    n = Counter(w for _, path, _ in parsed for w in letters.findall(low(path))) + Counter(w for _, h in rows for w in letters.findall(low(re.sub("<[^>]*>", " ", h or ""))))
+    every = seeds[0] + seeds[1]
+    known = {w: 0.5 * n[w] / n.total() + 0.5 * every[w] / every.total() for w in {*n, *every}}
+    split = lambda x: [w for r in letters.findall(low(x)) for w in url_filter.segment(r, known)]
+    uses = [Counter(), Counter()]
+    for host, path, rule in parsed:
+        if rule:
+            uses[rule.verdict == "allow"].update(split(host[: len(host) - len(rule.host)]) + split(path[len(rule.path) :]))
+    theta = lambda k, w: 0.5 * uses[k][w] / uses[k].total() + 0.5 * seeds[k][w] / seeds[k].total()
+    smooth = lambda k, w: 0.9 * theta(k, w) + 0.05 * (theta(0, w) + theta(1, w))
+    out = []
+    for host, path, _ in parsed:
+        owner = host.rsplit(".", 1)[0] if "." in host and host.rsplit(".", 1)[0] else host
+        ws = split(owner) + split(path)
+        out.append(np.log(0.25) + sum(np.log(smooth(0, w) / smooth(1, w)) for w in ws if theta(0, w) + theta(1, w)))
+    return out
+
+
+def test_url_classifier_learns_from_the_rules_and_equals_brute_force(spark):
+    rng = random.Random(3)
+    bad, good, words_ = ["grabby", "loot", "shady"], ["calm", "tidy", "honest"], ["river", "stone", "cloud", "paper", "Été"]
+    rows = []
+    for k in range(300):
+        kind = k % 3  # two labelled by rules, one not
+        name = "".join(rng.choices(bad if k % 2 else good, k=2) + rng.choices(words_, k=1)).lower()
+        where = ("com/en/" if k % 2 else "net/de/") if kind else f"{rng.choice(['com', 'net', 'org'])}/fr/"
+        rows.append((f"http://www.{name}.{where}{rng.choice(words_)}{k}", "<p class=x>" + " ".join(rng.choices(bad + good + words_, k=20)) + "</p>"))
+    rows += [(None, None), ("http://x" + "loot" * 900 + ".org/fr", "<b>loot"), rows[0]]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").selectExpr("*", "1 AS label")
+    got = {r["page_id"]: r for r in url_filter.url_filter(df).collect()}
+    want = slow_url_filter(rows)
+    assert len(got) == len(rows) and all(abs(got[k]["score"] - x) < 1e-6 for k, x in enumerate(want))
+    free = [(k % 2 == 1, got[k]["verdict"] == "block") for k in range(300) if k % 3 == 0]  # names that no list has
+    assert sum(a == b for a, b in free) / len(free) > 0.95
 
 
 def test_html_extraction(spark):
@@ -155,6 +194,44 @@ def test_html_extraction_keeps_the_whole_article():
     assert html_extract.extract(f"<body>{long}<table>{cells}</table></body>").split("\n")[1:] == want[:16]
 
 
+def test_ratio_decides_both_ways():
+    long = "<p>" + "A paragraph of some length. " * 12 + "</p>"
+    links = "".join(f"<div><a href=x>Link number {k}</a> <a>and</a> <a>more</a></div>" for k in range(8))
+    short, junk = "<p>No.</p>", "<p>Imprint 2020.</p>"
+    # the short line stands amid paragraphs, a longer one amid links
+    page = f"<body>{links}{junk}{links}{long}{short}{long}{links}</body>"
+    text = html_extract.extract(page)
+    assert "No." in text and "Imprint" not in text and "Link" not in text
+    # lines and cut as defined, by a slow convolution
+    lines = html_extract.Lines()
+    lines.feed(page)
+    found = lines.finish()
+    ratio = [(len(t) - k) / n for t, n, k, *_ in found]
+    w = [np.exp(-0.5 * d * d) for d in range(-3, 4)]
+    slow = []
+    for k in range(len(ratio)):
+        near = [(w[d + 3], ratio[k + d]) for d in range(-3, 4) if 0 <= k + d < len(ratio)]
+        slow.append(sum(a * b for a, b in near) / sum(a for a, _ in near))
+    assert np.allclose(html_extract.smooth(np.array(ratio)), slow)
+    x = np.log1p(slow)
+    cut = min((sum(((g - g.mean()) ** 2).sum() for g in (x[x < c], x[x >= c]) if len(g)), c) for c in sorted(x)[1:])[1]
+    assert (np.array(slow) >= html_extract.level(np.array(slow))).tolist() == (x >= cut).tolist()
+    assert text.split("\n") == [t for t, s in zip([f[0] for f in found], x >= cut, strict=True) if s and t and "Link" not in t]
+
+
+def test_wrappers_and_implied_ends():
+    long = "Real text that goes on for a while, with several words in it."
+    assert html_extract.extract(f'<div class="page has-sidebar"><p>{long}</div>') == long
+    assert html_extract.extract(f'<div class="header-fixed layout"><p>{long}</div>') == long
+    assert html_extract.extract(f"<body><form><nav>x</nav><div><p>{long}</p><p>{long}</p></div></form></body>") == f"{long}\n{long}"
+    assert html_extract.extract(f'<div><p class="notice">x<p>{long}</div>') == long
+    assert html_extract.extract(f'<ul><li class="menu">a<li>{long}</ul>') == long
+    assert html_extract.extract(f"<dl><dt class=ad>a<dd>{long}<table><tr class=ad><td>b<tr><td>c</table></dl>") == f"{long}\nc"
+    assert html_extract.extract(f"<article><header><h1>Head</h1></header><p>{long}</article>") == f"Head\n{long}"
+    assert html_extract.extract(f"<article><p>{long}</article><section id=comments><p>{long * 9}</section>") == long
+    assert html_extract.extract('<div class="cookie-notice">ok?</div>') == html_extract.extract("<footer><p>x</footer>") == ""
+
+
 def test_slices_and_hashes():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["ab  ab", None, "", "x" * 100, "ab"])})
     seen = []
