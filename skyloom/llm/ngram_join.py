@@ -34,7 +34,7 @@ SHINGLE = 5
 #: similar where intersection / union >= 4 / 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 32, 8
-BLOCK, TILE = 8192, 512
+BLOCK, TILE = 1024, 512
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
