@@ -108,17 +108,23 @@ BLOCK = 1 << 17
 class Sequence:
     """The entries in order, each packed as owner << 24 | suffix length << 16 | common prefix << 8 |
     preceding symbol. They live in a file of ``folder`` (any that pyarrow opens; in a buffer where
-    it opens none) that is only read and written from end to end, in blocks of BLOCK entries."""
+    it opens none) that is only read and written from end to end, in blocks of BLOCK entries. A
+    sequence that fits in one block is still in the block it was written from."""
 
     def __init__(self, folder: str):
         self.name, self.round, self.size = uuid.uuid4().hex, 0, 0
         self.files, self.folder = _store(folder)
         self.buffers: dict[str, bytes] = {}
+        self.block: np.ndarray | None = None
+        self.written = [False, False]
 
     def _path(self, k: int) -> str:
         return f"{self.folder}/{self.name}-{k & 1}"
 
     def blocks(self) -> Iterator[np.ndarray]:
+        if self.block is not None:
+            yield self.block
+            return
         path = self._path(self.round)
         with pa.BufferReader(self.buffers[path]) if self.files is None else self.files.open_input_stream(path) as f:
             while len(block := f.read_buffer(8 * BLOCK)):
@@ -127,26 +133,32 @@ class Sequence:
     def _sink(self, path: str):
         if self.files is None:
             return pa.BufferOutputStream()
+        k = (self.round + 1) & 1
+        again, self.written[k] = self.written[k], True
         if isinstance(self.files, fs.LocalFileSystem):  # over the round before the last, which was shorter
-            return open(path, "r+b" if self.round > 1 else "wb", buffering=0)
+            return open(path, "r+b" if again else "wb", buffering=0)
         return self.files.open_output_stream(path)
 
-    def write(self, blocks: Iterator[np.ndarray]) -> None:
-        """The next round's entries; those of this round can be read until it returns."""
-        path, self.size = self._path(self.round + 1), 0
-        with self._sink(path) as sink:
-            for block in blocks:
-                sink.write(np.ascontiguousarray(block))
-                self.size += len(block)
-            if self.files is None:
-                self.buffers[path] = sink.getvalue()
+    def write(self, blocks: Iterator[np.ndarray], size: int) -> None:
+        """The next round's ``size`` entries; those of this round can be read until it returns."""
+        if size <= BLOCK:
+            self.block = np.concatenate(list(blocks))
+        else:
+            path = self._path(self.round + 1)
+            with self._sink(path) as sink:
+                for block in blocks:
+                    sink.write(np.ascontiguousarray(block))
+                if self.files is None:
+                    self.buffers[path] = sink.getvalue()
+            self.block = None
         self.round += 1
+        self.size = size
 
     def delete(self) -> None:
         self.buffers.clear()
-        if self.files is not None:
-            for k in range(min(2, self.round)):
-                self.files.delete_file(self._path(k + 1))
+        for k in (0, 1):
+            if self.written[k]:
+                self.files.delete_file(self._path(k))
 
 
 def _store(folder: str):
@@ -237,7 +249,8 @@ def _inserted(state: Sequence, place: np.ndarray, entries: np.ndarray, changed:
         out[old] = block
         at += n
         yield out
-    yield entries[np.searchsorted(point, at) :]
+    if np.searchsorted(point, at) < len(entries):
+        yield entries[np.searchsorted(point, at) :]
 
 
 def build(right: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +263,7 @@ def build(right: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray,
     columns = np.ascontiguousarray(right.T)
     state = Sequence(folder)
     try:
-        state.write(iter([np.arange(m, dtype=np.uint64) << _OWNER | columns[-1]]))
+        state.write(iter([np.arange(m, dtype=np.uint64) << _OWNER | columns[-1]]), m)
         totals = np.bincount(columns[-1], minlength=256)
         asked = np.flatnonzero(size > 0)
         for j in range(1, int(size.max(initial=0)) + 1):
@@ -258,7 +271,7 @@ def build(right: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray,
             row = owner[new].astype(np.int64)
             before = np.where(size[row] > j, columns[max(width - j - 1, 0)][row], 0).astype(np.uint64)
             entries = owner[new] << _OWNER | np.uint64(j) << _SIZE | common[new] << _COMMON | before
-            state.write(_inserted(state, place[new], entries, place[~new], common[~new]))
+            state.write(_inserted(state, place[new], entries, place[~new], common[~new]), state.size + len(entries))
             totals += np.bincount(before.astype(np.int64), minlength=256)
             asked = place[new][before > 0]
         entries = np.concatenate(list(state.blocks()))
@@ -425,7 +438,8 @@ def _segments_of_chunk(n: int):
 
 
 def _decide(t: pa.Table, folder: str) -> pa.Table:
-    """Per chunk: hashes, least documents and removal bits of its segments in this bucket."""
+    """Per chunk: hashes, least documents and removal bits of its segments in this bucket. An anchor
+    whose segments are all equal is a collection of one string, which has no order to build."""
     sizes = [np.frombuffer(b, np.uint8).astype(np.int64) for b in t.column("sizes").to_pylist()]
     size, text = np.concatenate(sizes), b"".join(t.column("text").to_pylist())
     doc, anchor = (np.concatenate([np.frombuffer(b, d) for b in t.column(c).to_pylist()]) for c, d in (("docs", np.int64), ("anchors", np.uint64)))
@@ -450,13 +464,20 @@ def _decide(t: pa.Table, folder: str) -> pa.Table:
         strings.clear()
         held.clear()
 
-    previous = None
-    for r in order.tolist():
-        if previous is not None and anchor[r] != previous and len(strings) >= BIN:
+    starts = np.flatnonzero(_first(anchor[order]))
+    least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
+    whole = (np.uint64(1) << (size[order] - LENGTH + 1).astype(np.uint64)) - np.uint64(1)
+    bits[order] = np.where(doc[order] > least, whole, np.uint64(0))  # if all segments of an anchor are equal
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        rows = order[a:b].tolist()
+        texts = [text[begin[r] : end[r]] for r in rows]
+        if texts.count(texts[0]) == len(texts):
+            continue
+        for r, x in zip(rows, texts, strict=True):
+            member[r] = strings.setdefault(x, len(strings))
+        held += rows
+        if len(strings) >= BIN:
             close()
-        previous = anchor[r]
-        member[r] = strings.setdefault(text[begin[r] : end[r]], len(strings))
-        held.append(r)
     if held:
         close()
     out, at = [], 0
