@@ -97,7 +97,7 @@ def labels(n: int) -> np.ndarray:
 
 
 #: Bytes of text that a chunk should hold.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 24 << 20
 
 
 def pack(rows: pa.Table | pa.RecordBatch) -> bytes:

@@ -205,12 +205,17 @@ def encode_units(distinct: DataFrame, pieces: Pieces, key: str) -> DataFrame:
 
 
 def decode_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) -> str:
-    """The text that piece ids spell: U+2581 of a piece is a space, byte pieces are the bytes of characters."""
+    """The text that piece ids spell, without the space that the model puts before it."""
+    return spell_ids(ids, pieces, first_byte)[1:]
+
+
+def spell_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) -> str:
+    """The pieces of ids, joined: U+2581 of a piece is a space, byte pieces are the bytes of characters."""
     values = first_byte if first_byte is not None else {i: b for b, i in enumerate(pieces.byte_ids)}
     texts = pieces.texts
     if values.keys().isdisjoint(ids):
-        return "".join([texts[i] for i in ids]).replace(SPACE, " ")[1:]
-    return b"".join(bytes([values[i]]) if i in values else texts[i].replace(SPACE, " ").encode() for i in ids).decode("utf-8", "replace")[1:]
+        return "".join([texts[i] for i in ids]).replace(SPACE, " ")
+    return b"".join(bytes([values[i]]) if i in values else texts[i].replace(SPACE, " ").encode() for i in ids).decode("utf-8", "replace")
 
 
 CHUNK_ROWS = "bucket int, chunk int, units string"
@@ -255,7 +260,6 @@ def _answer(pieces: Pieces, kind: str):
     ids decode to the unit. As texts decode unit by unit, that holds for a text if for its units."""
     byte_ids = pieces.byte_ids
     bytes_of = {i: b for b, i in enumerate(byte_ids)}
-    blank = byte_ids[32]  # for the leading character that decoding takes off
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         lists = right.column("ids").combine_chunks()
@@ -275,8 +279,7 @@ def _answer(pieces: Pieces, kind: str):
                 if len(u) > LONGEST_UNIT and u not in paths:
                     starts = starts or prefixes(pieces)
                     paths[u] = np.array([x for i in long_path(u, pieces, starts) for x in _spell(i, byte_ids)], kind).tobytes()
-        spelt = lambda b: decode_ids([blank, *np.frombuffer(b, kind).tolist()], pieces, bytes_of)
-        wrong = {u for u, b in paths.items() if spelt(b) != u.replace(SPACE, " ")}
+        wrong = {u for u, b in paths.items() if spell_ids(np.frombuffer(b, kind).tolist(), pieces, bytes_of) != u.replace(SPACE, " ")}
         blobs = []
         for text in left.column("units").to_pylist():
             names = text.split(" ")
