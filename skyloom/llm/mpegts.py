@@ -3,9 +3,12 @@
 ``mux`` stores a payload losslessly: a program association and a program map table, then one
 elementary stream of private data whose access units of ``UNIT`` bytes are packetised with
 presentation times, clock references and random-access flags. ``demux`` reads such bytes (or any
-stream of 188-byte packets) back: it parses the program tables, checks their CRCs and every
-PID's continuity counter, reassembles the elementary packets and lists their timestamps with
-the random-access points. Both work on whole packets as numpy arrays.
+stream of 188-byte packets) back: it parses the program tables (sections of any number of packets),
+checks their CRCs and every PID's continuity counter (a packet sent twice counts once, an announced
+discontinuity is none), reassembles the elementary packets and lists their timestamps with
+the random-access points. Both work on whole packets as numpy arrays. ``media_table`` stores the
+streams, ``unit_table`` the access units of each: where they begin, their timestamps, and whether
+one can start there.
 
 Defined cases: a null text is empty; every payload is padded with zeros to a positive multiple
 of 64 bytes; texts of any length are stored whole; equal texts give equal bytes. Repeated
@@ -120,11 +123,13 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds. ``units``: (pid, timestamp or None, random access, data)."""
+    """What a transport stream holds. ``units``: (pid, timestamp or None, random access, data) and
+    ``offsets``: the byte at which each unit's first packet begins."""
 
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
     units: list[tuple[int, int | None, bool, bytes]] = field(default_factory=list)
+    offsets: list[int] = field(default_factory=list)
     discontinuities: int = 0
     bad_sections: int = 0
 
@@ -132,11 +137,29 @@ class Stream:
         return b"".join(u[3] for u in self.units)
 
 
-def _sections(found: Stream, pid: int, packets: np.ndarray, begin: np.ndarray) -> None:
+def _section_bytes(packets: np.ndarray, begin: np.ndarray) -> Iterator[bytes]:
+    """The table sections of one PID, which may run over several packets or share one."""
+    held: bytes | None = None
     for row, at in zip(packets, begin, strict=True):
-        if not row[1] & 0x40 or at >= PACKET:
-            continue
-        body = row[at + 1 + row[at] :].tobytes()
+        body = row[at:].tobytes()
+        if row[1] & 0x40 and body:  # the pointer says where the next section begins
+            rest, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+            if held is not None:
+                yield held + rest
+            held = body
+        elif held is not None:
+            held += body
+        while held and held[0] != 0xFF and len(held) >= 3 and len(held) >= (size := 3 + ((held[1] & 0x0F) << 8 | held[2])):
+            yield held[:size]
+            held = held[size:]
+        if held is not None and held[:1] in (b"", b"\xff"):  # stuffing up to the packet's end
+            held = None
+    if held is not None:
+        yield held
+
+
+def _sections(found: Stream, pid: int, packets: np.ndarray, begin: np.ndarray) -> None:
+    for body in _section_bytes(packets, begin):
         size = 3 + ((body[1] & 0x0F) << 8 | body[2]) if len(body) > 3 else 0
         if size < 12 or size > len(body) or crc32_mpeg(body[: size - 4]) != struct.unpack(">I", body[size - 4 : size])[0]:
             found.bad_sections += 1
@@ -152,6 +175,19 @@ def _sections(found: Stream, pid: int, packets: np.ndarray, begin: np.ndarray) -
                 k += 5 + (info & 0x0FFF)
 
 
+def _in_order(rows: np.ndarray, announced: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets of a PID count, and how often its counter breaks. A packet may come twice in a
+    row; the counter may jump where a discontinuity is announced."""
+    counter = (rows[:, 3] & 15).astype(np.int64)
+    step = np.diff(counter) & 15
+    again = np.zeros(len(rows), bool)
+    for k in np.flatnonzero(step == 0) + 1:
+        again[k] = not again[k - 1] and bool((rows[k, 4:] == rows[k - 1, 4:]).all())
+    kept = np.flatnonzero(~again)
+    broken = ((np.diff(counter[kept]) & 15) != 1) & ~announced[kept[1:]]
+    return kept, int(broken.sum())
+
+
 def _unit(pid: int, rows: np.ndarray, begin: np.ndarray, key: bool) -> tuple[int, int | None, bool, bytes]:
     if len(rows) > 2 and (begin[1:-1] == 4).all():
         data = rows[0, begin[0] :].tobytes() + rows[1:-1, 4:].tobytes() + rows[-1, begin[-1] :].tobytes()
@@ -172,19 +208,22 @@ def demux(data: bytes) -> Stream:
     pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     adapted, carries = rows[:, 3] & 0x20 > 0, rows[:, 3] & 0x10 > 0
     begin = np.where(adapted, 5 + rows[:, 4].astype(np.int32), 4)
-    key = adapted & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
-    found = Stream()
+    flags = np.where(adapted & (rows[:, 4] > 0), rows[:, 5], 0)
+    key, announced = flags & 0x40 > 0, flags & 0x80 > 0
+    found, packets = Stream(), {}
     for p in sorted(set(pid.tolist()) - {0x1FFF}):
         own = np.flatnonzero((pid == p) & carries)
-        counter = rows[own, 3] & 15
-        found.discontinuities += int((((counter[1:] - counter[:-1]) & 15) != 1).sum())
+        kept, broken = _in_order(rows[own], announced[own])
+        found.discontinuities += broken
+        packets[p] = own[kept]
         if p == 0 or p in found.programs.values():
-            _sections(found, p, rows[own], begin[own])
+            _sections(found, p, rows[packets[p]], begin[packets[p]])
     for p in found.streams:
-        own = np.flatnonzero((pid == p) & carries)
+        own = packets.get(p, np.zeros(0, np.int64))
         starts = np.flatnonzero(rows[own, 1] & 0x40)
-        for a, b in zip(starts, [*starts[1:], len(own)], strict=True):
+        for a, b in zip(starts, [*starts[1:], len(own)][: len(starts)], strict=True):
             found.units.append(_unit(p, rows[own[a:b]], begin[own[a:b]], bool(key[own[a]])))
+            found.offsets.append(int(own[a]) * PACKET)
     return found
 
 
@@ -241,5 +280,24 @@ def media_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, media binary")
 
 
+UNITS = "doc_id long, unit int, pid int, pts long, random_access boolean, media_offset long, n_bytes int"
+
+
+def unit_table(media: DataFrame) -> DataFrame:
+    """The access units of stored streams (doc_id, media): number, PID, presentation time, random-access
+    flag, the byte of the stream at which the unit begins, and its size. A null stream has none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()]
+        for batch in batches:
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = demux(data.as_buffer()) if data.is_valid else Stream()
+                rows = [(doc_id, k, pid, stamp, key, at, len(unit)) for k, ((pid, stamp, key, unit), at) in enumerate(zip(found.units, found.offsets, strict=True))]
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in UNITS.split(", ")])
+
+    return media.select("doc_id", "media").mapInArrow(read, UNITS)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))

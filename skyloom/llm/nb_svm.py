@@ -2,9 +2,11 @@
 
 Tokens are runs of letters, digits and bytes of 128 or more, or runs of other visible bytes.
 Features are hashed indicators of single tokens, of neighbouring pairs and of binned shares
-(repeated neighbours, distinct tokens, upper-case and symbol tokens). The SVM is fitted by dual
-coordinate descent on a bounded sample (``SAMPLE`` rows a class) of the labelled rows outside
-the held-out fold; every document is then scored whole, in slices of bounded memory.
+(repeated neighbours, distinct tokens, upper-case and symbol tokens), each scaled by its ratio and
+the document's vector to unit length, in fitting and in scoring alike. Features that no training
+row has are left out. The SVM is fitted by dual coordinate descent on a bounded sample (``SAMPLE``
+rows a class) of the labelled rows outside the held-out fold, and its weights are drawn towards their
+mean size, as the method has it; every document is then scored whole, in slices of bounded memory.
 
 Defined cases: null and empty texts have no tokens and get the score of an empty document;
 repeated rows get equal scores; further columns are ignored; an empty table gives an empty
@@ -77,7 +79,10 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
+    """``weights``: by feature, the SVM's weight times the ratio; ``squares``: the squared ratio."""
+
     weights: np.ndarray
+    squares: np.ndarray
     bias: float
     slope: float
     shift: float
@@ -86,16 +91,22 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        row, f = features(data, at)
-        return self.probability(np.bincount(row, self.weights[f], minlength=len(at) - 1) + self.bias)
+        return self.probability(self.margins(*features(data, at), len(at) - 1))
+
+    def margins(self, row: np.ndarray, f: np.ndarray, n: int) -> np.ndarray:
+        """Margins of ``n`` rows from (row, feature) pairs."""
+        length = np.sqrt(np.bincount(row, self.squares[f], minlength=n))
+        return np.bincount(row, self.weights[f], minlength=n) / np.maximum(length, 1e-9) + self.bias
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """log of the smoothed share of a feature in class 1 over its share in class 0."""
-    counts = [np.full(1 << BITS, alpha) for _ in range(2)]
+    """log of the smoothed share of a feature in class 1 over its share in class 0; 0 for one that no row has."""
+    counts = np.zeros((2, 1 << BITS))
     for f, label in zip(rows, y, strict=True):
         counts[label][f] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    seen = counts.any(axis=0)
+    shares = (counts + alpha) / (counts + alpha)[:, seen].sum(axis=1, keepdims=True)
+    return np.where(seen, np.log(shares[1]) - np.log(shares[0]), 0.0)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, dimensions: int, epochs: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -124,7 +135,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
 def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 0.1, blend: float = 0.75) -> Model:
     """NB-SVM on the rows' feature lists; a fifth of the rows only calibrates the margins."""
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 0.0)
+        return Model(*np.zeros((2, 1 << BITS), np.float32), 0.0, 0.0, 0.0)
     calibrates = np.arange(len(y)) % 5 == 4
     ratio = log_count_ratios([r for r, k in zip(rows, calibrates, strict=True) if not k], y[~calibrates])
     share = np.array([(y == k).mean() for k in (0, 1)])
@@ -135,13 +146,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 0.1, blend: float = 0.
     own = np.flatnonzero(~calibrates)
     cost = c / (2 * share[y[own]]) * 10
     w, b = dual_coordinate_descent([rows[i] for i in own], [values[i] for i in own], y[own], cost, 1 << BITS)
-    mean = np.abs(w).sum() / max(1, np.count_nonzero(w))
-    w = (1 - blend) * mean * np.sign(w) + blend * w
-    weights = (w * ratio).astype(np.float32)
-    margin = np.array([weights[r].sum() for r in rows]) + b
+    mean = np.abs(w).sum() / max(1, np.count_nonzero(ratio))
+    model = Model((((1 - blend) * mean + blend * w) * ratio).astype(np.float32), (ratio**2).astype(np.float32), b, 0.0, 0.0)
+    margin = model.margins(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows), len(rows))
     use = calibrates if len(set(y[calibrates].tolist())) == 2 else np.ones(len(y), bool)
-    slope, shift = _platt(margin[use], y[use])
-    return Model(weights, b, slope, shift)
+    model.slope, model.shift = _platt(margin[use], y[use])
+    return model
 
 
 def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:

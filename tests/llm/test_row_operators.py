@@ -87,6 +87,43 @@ def test_transport_stream_errors():
         mpegts.demux(b"x" * 188)
 
 
+def test_tables_over_several_packets_and_legal_repeats():
+    stream = mpegts.mux(b"b" * 9000)
+    # a map table of 60 streams needs two packets; the first stream is the data's
+    entries = b"".join(bytes([6]) + (0xE000 | mpegts.DATA_PID + k).to_bytes(2, "big") + b"\xf0\x00" for k in range(60))
+    body = bytes([2, 0xB0 | (13 + len(entries)) >> 8, (13 + len(entries)) & 255, 0, 1, 0xC1, 0, 0]) + (0xE000 | mpegts.DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + entries
+    section = b"\0" + body + mpegts.crc32_mpeg(body).to_bytes(4, "big")
+    head = lambda start, count: bytes([0x47, start | 0x10, 0, 0x10 | count])
+    table = head(0x40, 0) + section[:184] + (head(0, 1) + section[184:]).ljust(188, b"\xff")
+    found = mpegts.demux(stream[:188] + table + stream[376:])
+    assert len(found.streams) == 60 and found.payload() == b"b" * 9000 and found.bad_sections == found.discontinuities == 0
+    twice = stream[: 188 * 6] + stream[188 * 5 : 188 * 6] + stream[188 * 6 :]
+    assert (mpegts.demux(twice).discontinuities, mpegts.demux(twice).payload()) == (0, b"b" * 9000)
+    assert mpegts.demux(stream[: 188 * 6] + stream[188 * 5 : 188 * 6] * 2 + stream[188 * 6 :]).discontinuities == 1
+    start = next(k for k in range(3, 60) if stream[188 * k + 1] & 0x40)  # the second unit's first packet has an adaptation field
+    jump = bytearray(stream[: 188 * (start - 2)] + stream[188 * start :])
+    assert mpegts.demux(bytes(jump)).discontinuities == 1
+    jump[188 * (start - 2) + 5] |= 0x80
+    assert mpegts.demux(bytes(jump)).discontinuities == 0
+
+
+def test_unit_table(spark):
+    texts = {1: "x" * 40_000, 2: "", 3: None}
+    media = mpegts.media_table(frame(spark, list(texts.items())))
+    rows = mpegts.unit_table(media).collect()
+    streams = {r["doc_id"]: r["media"] for r in media.collect()}
+    assert mpegts.media_columns(frame(spark, [(1, texts[1])])).first()["media_sha256"] == hashlib.sha256(streams[1]).hexdigest()
+    for d, text in texts.items():
+        own = sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["unit"])
+        n = len(mpegts.padded((text or "").encode()))
+        assert [r["pts"] for r in own] == [k * mpegts.TICKS for k in range(len(own))] and sum(r["n_bytes"] for r in own) == n
+        assert [r["random_access"] for r in own] == [k % mpegts.KEY_EVERY == 0 for k in range(len(own))]
+        assert all(streams[d][r["media_offset"]] == 0x47 and streams[d][r["media_offset"] + 1] & 0x40 for r in own)
+        assert len(streams[d]) == mpegts.media_columns(frame(spark, [(d, text)])).first()["media_bytes"]
+        first = own[-1]["media_offset"]  # a stream can be read from a unit on, after its tables
+        assert len(mpegts.demux(streams[d][:376] + streams[d][first:]).payload()) == own[-1]["n_bytes"]
+
+
 def test_media_columns(spark):
     rows = mpegts.media_columns(frame(spark)).collect()
     assert len(rows) == len(ODD)
@@ -272,6 +309,85 @@ def test_nb_svm_held_out(spark):
     assert {r["score"] for r in nb_svm.score(docs, nb_svm.fit_quality(docs, labels.limit(0), "label")).collect()} == {0.5}
 
 
+def test_nb_svm_scores_equal_brute_force():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("aa bb cc DD e1 !! ... zz".split(), k=rng.randint(0, 30))).encode() for _ in range(60)]
+    y = np.array([t.count(b"zz") > 2 for t in texts], np.int64)
+    rows = []
+    for t in texts:
+        rows.append(nb_svm.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1])
+    model = nb_svm.fit(rows, y)
+    data, at = gru._join(texts)
+    row, f = nb_svm.features(data, at)
+    assert all(np.array_equal(f[row == k], r) for k, r in enumerate(rows))
+    n = [np.zeros(1 << nb_svm.BITS), np.zeros(1 << nb_svm.BITS)]
+    learned = [k for k in range(60) if k % 5 != 4]
+    for k in learned:
+        n[y[k]][rows[k]] += 1
+    seen = (n[0] + n[1]) > 0
+    ratio = {int(i): np.log((n[1][i] + 1) / (n[1] + 1)[seen].sum()) - np.log((n[0][i] + 1) / (n[0] + 1)[seen].sum()) for i in np.flatnonzero(seen)}
+    for k, r in enumerate(rows):
+        own = [int(i) for i in r if int(i) in ratio]
+        length = max(1e-9, np.sqrt(sum(ratio[i] ** 2 for i in own)))
+        margin = sum(float(model.weights[i]) for i in own) / length + model.bias
+        assert abs(model.scores(data, at)[k] - 1 / (1 + np.exp(-(model.slope * margin + model.shift)))) < 1e-5
+
+
+def test_dual_coordinate_descent_closes_the_gap():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(30, 6, replace=False)) for _ in range(40)]
+    values = [rng.normal(size=6) for _ in rows]
+    y, cost = rng.integers(0, 2, 40), np.full(40, 0.7)
+    w, b = nb_svm.dual_coordinate_descent(rows, values, y, cost, 30, epochs=4000)
+    x = np.zeros((40, 31))
+    for k, (r, v) in enumerate(zip(rows, values, strict=True)):
+        x[k, r] = v
+    x[:, 30] = 1  # the bias is a feature of every row
+    sign, full = np.where(y == 1, 1.0, -1.0), np.append(w, b)
+    loss = lambda z: z @ z / 2 + (cost * np.maximum(0, 1 - sign * (x @ z))).sum()
+    here = loss(full)
+    assert all(loss(full + rng.normal(size=31) * s) > here - 1e-6 for s in (1e-3, 1e-2, 0.1) for _ in range(200))
+
+
+def test_gru_scores_equal_brute_force():
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 5))) for _ in range(n)).encode() for n in (0, 1, 5, 31, 32, 33, 70, 200)]
+    data, at = gru._join(texts)
+    net = gru.Network(np.sort(np.unique(gru.read_words(data, at).hashes)[::2]))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for t in texts:
+        w = gru.read_words(*gru._join([t]))
+        vectors = []
+        for i in w.index:
+            k = np.searchsorted(net.vocabulary, w.hashes[i])
+            known = k < len(net.vocabulary) and net.vocabulary[k] == w.hashes[i]
+            vectors.append(np.concatenate([p["word"][k + 1 if known else 0], p["char"][w.trigrams[w.begin[i] : w.begin[i + 1]]].mean(axis=0)]))
+        n = max(1, -(-max(len(vectors) - gru.WINDOW, 0) // gru.STRIDE) + 1)
+        scores = []
+        for k in range(n):
+            xs = vectors[k * gru.STRIDE : k * gru.STRIDE + gru.WINDOW]
+            sides = []
+            for side, seq in (("f", xs), ("b", xs[::-1])):
+                h, out = np.zeros(gru.HIDDEN), []
+                for x in seq:
+                    a, u = x @ p[f"w{side}"] + p[f"b{side}"], h @ p[f"u{side}"]
+                    z, r = np.split(sig(a[: 2 * gru.HIDDEN] + u[: 2 * gru.HIDDEN]), 2)
+                    h = h + z * (np.tanh(a[2 * gru.HIDDEN :] + r * u[2 * gru.HIDDEN :]) - h)
+                    out.append(h)
+                sides.append(out if side == "f" else out[::-1])
+            states = np.array([np.concatenate(s) for s in zip(*sides, strict=True)]).reshape(-1, 2 * gru.HIDDEN)
+            if not len(states):
+                scores.append(float(p["bo"][0]))
+                continue
+            e = np.tanh(states @ p["wa"] + p["ba"]) @ p["va"]
+            e = np.exp(e - e.max())
+            scores.append(float((e / e.sum()) @ states @ p["wo"] + p["bo"][0]))
+        want.append(max(scores))
+    assert np.allclose(net.logits(data, at), want, atol=1e-3)
+
+
 def test_gru_held_out(spark):
     def insult(ws, rng):
         for _ in range(3):
