@@ -4,7 +4,8 @@ Every 50-byte string belongs to the least-hashed 16-byte anchor inside it, so eq
 at equal anchors with equal offsets. Runs of neighbouring strings with one anchor occurrence form a
 segment of at most 84 bytes. Segments whose anchor occurs in one document only can't match and go
 no further; the others, distinct within a chunk of documents and with that chunk's least
-doc_id, are dealt by anchor. Per group of anchors the segments' collection Burrows-Wheeler
+doc_id, are dealt by anchor; there, distinct ones that share no hash of a 50-byte string with another have their
+answer. Per group of anchors the segments' collection Burrows-Wheeler
 transform and longest common prefixes are then built column by column: each round inserts one more
 symbol of every segment (from the right) into the sequence of symbols, prefixes and owners of the
 round before. The sequences are files in the session's shared folder that are read and written
@@ -44,7 +45,7 @@ _LOW = np.uint64((1 << 40) - 1)
 #: Documents of an anchor beyond which its segments are dealt as single strings.
 HOT = 200_000
 #: Segments built together (and those of their last anchor).
-BIN = 8192
+BIN = 16384
 
 
 def _slices(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -282,8 +283,28 @@ def build(right: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray,
 
 def least_documents(strings: list[bytes], document: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """The least document of every LENGTH-byte string that starts in a string, and where each
-    string's begin."""
+    string's begin. A string of which no LENGTH-byte part has its hash again can equal no other's
+    part, so only the others are put in order."""
     size = np.array([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    count = size - LENGTH + 1
+    first = np.concatenate([[0], np.cumsum(count)])
+    start = np.arange(first[-1]) + np.repeat(np.arange(len(size)) * (LENGTH - 1), count)
+    value = span_hashes(data, start, start + LENGTH)
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
+    again = np.zeros(len(value), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    out = np.repeat(document, count)
+    kept = np.flatnonzero(np.logical_or.reduceat(again, first[:-1]))
+    if len(kept):
+        own = np.repeat(np.isin(np.arange(len(size)), kept), count)
+        out[own] = _ordered([strings[k] for k in kept.tolist()], size[kept], document[kept], folder)
+    return out, first
+
+
+def _ordered(strings: list[bytes], size: np.ndarray, document: np.ndarray, folder: str) -> np.ndarray:
+    """The least document of every LENGTH-byte string, from the order of all suffixes."""
     width = int(size.max())
     flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     right = np.zeros((len(strings), width), np.uint8)
@@ -293,10 +314,10 @@ def least_documents(strings: list[bytes], document: np.ndarray, folder: str) ->
     group = np.cumsum(prefixes < LENGTH) - 1
     least = np.minimum.reduceat(document[owners], starts)[group]
     long = lengths >= LENGTH
-    first = np.concatenate([[0], np.cumsum(size - LENGTH + 1)])
-    out = np.empty(first[-1], np.int64)
+    first = np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)
+    out = np.empty(int((size - LENGTH + 1).sum()), np.int64)
     out[first[owners[long]] + size[owners[long]] - lengths[long]] = least[long]
-    return out, first
+    return out
 
 
 # --- the steps ---------------------------------------------------------------------------------
@@ -438,8 +459,7 @@ def _segments_of_chunk(n: int):
 
 
 def _decide(t: pa.Table, folder: str) -> pa.Table:
-    """Per chunk: hashes, least documents and removal bits of its segments in this bucket. An anchor
-    whose segments are all equal is a collection of one string, which has no order to build."""
+    """Per chunk: hashes, least documents and removal bits of its segments in this bucket."""
     sizes = [np.frombuffer(b, np.uint8).astype(np.int64) for b in t.column("sizes").to_pylist()]
     size, text = np.concatenate(sizes), b"".join(t.column("text").to_pylist())
     doc, anchor = (np.concatenate([np.frombuffer(b, d) for b in t.column(c).to_pylist()]) for c, d in (("docs", np.int64), ("anchors", np.uint64)))
@@ -464,20 +484,13 @@ def _decide(t: pa.Table, folder: str) -> pa.Table:
         strings.clear()
         held.clear()
 
-    starts = np.flatnonzero(_first(anchor[order]))
-    least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
-    whole = (np.uint64(1) << (size[order] - LENGTH + 1).astype(np.uint64)) - np.uint64(1)
-    bits[order] = np.where(doc[order] > least, whole, np.uint64(0))  # if all segments of an anchor are equal
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
-        rows = order[a:b].tolist()
-        texts = [text[begin[r] : end[r]] for r in rows]
-        if texts.count(texts[0]) == len(texts):
-            continue
-        for r, x in zip(rows, texts, strict=True):
-            member[r] = strings.setdefault(x, len(strings))
-        held += rows
-        if len(strings) >= BIN:
+    previous = None
+    for r in order.tolist():
+        if previous is not None and anchor[r] != previous and len(strings) >= BIN:
             close()
+        previous = anchor[r]
+        member[r] = strings.setdefault(text[begin[r] : end[r]], len(strings))
+        held.append(r)
     if held:
         close()
     out, at = [], 0
