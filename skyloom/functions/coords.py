@@ -31,9 +31,32 @@ def cross(a: list[Column], b: list[Column]) -> list[Column]:
 
 
 def lon_lat(v: list[Column]) -> tuple[Column, Column]:
-    """Longitude in [0, 360) and latitude of a vector."""
+    """Longitude in [0, 360) and latitude of a vector; null where it is."""
     lon = F.degrees(F.atan2(v[1], v[0]))
-    return F.when(lon < 0, lon + 360).otherwise(lon), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v[2]))))
+    return F.when(lon < 0, lon + 360).otherwise(lon), F.degrees(F.asin(F.when(v[2] > 1, 1.0).when(v[2] < -1, -1.0).otherwise(v[2])))  # greatest and least would skip a null
+
+
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``: the optimizer would copy a projected
+    column into each use, but not a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def vector(v: list[Column]) -> Column:
+    """The three parts as one struct (x, y, z)."""
+    return F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z"))
+
+
+def parts(v: Column) -> list[Column]:
+    return [v["x"], v["y"], v["z"]]
+
+
+def product(*matrices):
+    """The matrix of rotations done one after the other, the first one first."""
+    out = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
+    for m in matrices:
+        out = tuple(tuple(sum(m[i][k] * out[k][j] for k in range(3)) for j in range(3)) for i in range(3))
+    return out
 
 
 def rotate(v: list[Column], matrix, inverse: bool = False) -> list[Column]:
@@ -119,16 +142,35 @@ SUPERGALACTIC_POLE, SUPERGALACTIC_ZERO = (47.37, 6.32), 137.37
 UNITS = {"deg": 1.0, "rad": 180 / math.pi, "mrad": 0.18 / math.pi, "arcsec": 1 / 3600, "mas": 1 / 3_600_000}
 
 
-def precess(lon: Column, lat: Column, year: float) -> tuple[Column, Column]:
-    """Mean equatorial position of J2000 at a Julian epoch (IAU 1976 angles)."""
-    t = (year - 2000.0) / 100.0
-    zeta = (2306.2181 * t + 0.30188 * t * t + 0.017998 * t**3) / 3600
-    z = (2306.2181 * t + 1.09468 * t * t + 0.018203 * t**3) / 3600
-    theta = math.radians((2004.3109 * t - 0.42665 * t * t - 0.041833 * t**3) / 3600)
-    v = unit(lon + zeta, lat)
-    turned = [math.cos(theta) * v[0] - math.sin(theta) * v[2], v[1], math.sin(theta) * v[0] + math.cos(theta) * v[2]]
-    a, d = lon_lat(turned)
-    return F.pmod(a + z + 360.0, F.lit(360.0)), d
+#: IAU 1976 precession, seconds of arc a Julian century from J2000 and its powers.
+ZETA, Z, THETA = (2306.2181, 0.30188, 0.017998), (2306.2181, 1.09468, 0.018203), (2004.3109, -0.42665, -0.041833)
+#: Newcomb's precession, seconds of arc a tropical century from B1950 and its powers.
+ZETA_B, Z_B, THETA_B = (2304.948, 0.302, 0.0179), (2304.948, 1.093, 0.0192), (2004.255, -0.426, -0.0416)
+#: Elliptic terms of aberration in B1950 positions, and the rotation B1950 to J2000 (row-wise).
+E_TERMS = (-1.62557e-6, -0.31919e-6, -0.13843e-6)
+B1950_TO_J2000 = (
+    (0.9999256782, -0.0111820611, -0.0048579477),
+    (0.0111820610, 0.9999374784, -0.0000271765),
+    (0.0048579479, -0.0000271474, 0.9999881997),
+)
+
+
+def _angles(t: float, series) -> list[float]:
+    return [sum(c * t ** (k + 1) for k, c in enumerate(terms)) / 3600 for terms in series]
+
+
+def _precession(t: float, series, back: bool = False):
+    """The rotation of ``t`` centuries from (or ``back`` to) the standard equinox."""
+    zeta, z, theta = (math.radians(a) for a in _angles(t, series))
+    about_z = lambda a: ((math.cos(a), -math.sin(a), 0.0), (math.sin(a), math.cos(a), 0.0), (0.0, 0.0, 1.0))
+    tilt = ((math.cos(theta), 0.0, -math.sin(theta)), (0.0, 1.0, 0.0), (math.sin(theta), 0.0, math.cos(theta)))
+    m = product(about_z(zeta), tilt, about_z(z))
+    return tuple(zip(*m, strict=True)) if back else m
+
+
+def precess(lon: Column, lat: Column, year: float, back: bool = False) -> tuple[Column, Column]:
+    """Mean equatorial position of J2000 at a Julian epoch (IAU 1976 angles), or ``back``."""
+    return lon_lat(rotate(unit(lon, lat), _precession((year - 2000.0) / 100.0, (ZETA, Z, THETA), back)))
 
 
 def galactic_to_supergalactic(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -147,3 +189,119 @@ def convert_angle(value: Column, source: str, target: str) -> Column:
 def tile_path(order: Column, tile: Column) -> Column:
     """Folder path of a pyramid tile: ten thousand tiles share a folder."""
     return F.concat(F.lit("Norder"), order.cast("string"), F.lit("/Dir"), (F.floor(tile / 10_000) * 10_000).cast("string"), F.lit("/Npix"), tile.cast("string"))
+
+
+def _supergalactic():
+    a, d = (math.radians(x) for x in SUPERGALACTIC_POLE)
+    pole = (math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d))
+    zero = (math.cos(math.radians(SUPERGALACTIC_ZERO)), math.sin(math.radians(SUPERGALACTIC_ZERO)), 0.0)
+    return zero, (pole[1] * zero[2] - pole[2] * zero[1], pole[2] * zero[0] - pole[0] * zero[2], pole[0] * zero[1] - pole[1] * zero[0]), pole
+
+
+def _normalised(v: list[Column]) -> list[Column]:
+    size = F.sqrt(dot(v, v))
+    return [c / size for c in v]
+
+
+def _without_e_terms(v: Column) -> Column:
+    along = v["x"] * E_TERMS[0] + v["y"] * E_TERMS[1] + v["z"] * E_TERMS[2]
+    return vector([c - e + along * c for c, e in zip(parts(v), E_TERMS, strict=True)])
+
+
+def _with_e_terms(v: Column) -> Column:
+    """The elliptic terms depend on the position that has them, which three rounds settle."""
+    def rounds(free: Column) -> Column:
+        def step(b: Column, _: Column) -> Column:
+            along = b["x"] * E_TERMS[0] + b["y"] * E_TERMS[1] + b["z"] * E_TERMS[2]
+            return vector([c + e - along * o for c, e, o in zip(parts(free), E_TERMS, parts(b), strict=True)])
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(3)), free, step)
+
+    return bind(v, rounds)
+
+
+def besselian_to_julian(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """B1950 to J2000 without proper motion: the elliptic terms go, then one rotation."""
+    return convert(lon, lat, "EQUB", "EQUJ")
+
+
+def julian_to_besselian(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """J2000 to B1950."""
+    return convert(lon, lat, "EQUJ", "EQUB")
+
+
+def obliquity(year: float) -> float:
+    """Mean obliquity of the ecliptic at a Julian epoch (IAU 1976)."""
+    t = (year - 2000.0) / 100.0
+    return OBLIQUITY - (46.8150 * t + 0.00059 * t**2 - 0.001813 * t**3) / 3600
+
+
+SYSTEMS = ("EQUJ", "EQUB", "ECLJ", "ECLB", "GAL", "SGAL")
+
+
+def convert(lon: Column, lat: Column, source: str, target: str, source_epoch: float | None = None, target_epoch: float | None = None) -> tuple[Column, Column]:
+    """A position in another system: EQUJ and ECLJ at a Julian epoch (2000 where none is given), EQUB and
+    ECLB at a Besselian one (1950), GAL and SGAL. Everything goes over J2000."""
+    for name in (source, target):
+        if name not in SYSTEMS:
+            raise ValueError(f"no system {name!r}; there are {', '.join(SYSTEMS)}")
+    usual = lambda name, epoch: epoch if epoch is not None else 1950.0 if name.endswith("B") else 2000.0
+    a, b = usual(source, source_epoch), usual(target, target_epoch)
+    if (source, a) == (target, b):
+        return lon, lat
+    turned = lambda m: tuple(zip(*m, strict=True))
+    newcomb, julian = (ZETA_B, Z_B, THETA_B), (ZETA, Z, THETA)
+
+    def from_standard(name: str, epoch: float):
+        """From B1950 for the Besselian systems and from J2000 for the others: rotations only."""
+        if name == "GAL":
+            return GALACTIC
+        if name == "SGAL":
+            return product(GALACTIC, _supergalactic())
+        t = (epoch - (1950.0 if name.endswith("B") else 2000.0)) / 100.0
+        moved = _precession(t, newcomb if name.endswith("B") else julian)
+        return product(moved, _about_x(obliquity(epoch))) if name.startswith("ECL") else moved
+
+    v = vector(rotate(unit(lon, lat), turned(from_standard(source, a))))
+    if source.endswith("B") and not target.endswith("B"):
+        v = bind(bind(v, _without_e_terms), lambda u: vector(rotate(parts(u), B1950_TO_J2000)))
+    elif target.endswith("B") and not source.endswith("B"):
+        v = _with_e_terms(bind(v, lambda u: vector(rotate(parts(u), B1950_TO_J2000, inverse=True))))
+    last = from_standard(target, b)
+    place = bind(v, lambda u: F.struct(*[c.alias(n) for c, n in zip(lon_lat(_normalised(rotate(parts(u), last))), ("lon", "lat"), strict=True)]))
+    return place["lon"], place["lat"]
+
+
+def hours(value: Column, digits: int = 2) -> Column:
+    """Degrees as hh:mm:ss.ss of right ascension."""
+    scale = 10**digits
+    n = F.round(F.pmod(value, F.lit(360.0)) * 240 * scale).cast("long") % (86400 * scale)
+    cell = lambda x, k: F.lpad(x.cast("string"), k, "0")
+    return F.concat(cell(F.floor(n / (3600 * scale)), 2), F.lit(":"), cell(F.floor(n / (60 * scale)) % 60, 2), F.lit(":"), cell(F.floor(n / scale) % 60, 2), F.lit("."), cell(n % scale, digits))
+
+
+def parse_position(text: Column) -> Column:
+    """(lon, lat, system, epoch) in degrees of strings such as ``10:41:04.0 +41d16m09s EQUB B1950``,
+    ``12.5 -3.25 gal`` or ``10h41m4s 41.5``. A longitude with colons or ``h`` is in hours unless the
+    system is not equatorial. Without a system it is EQUJ, without an epoch its usual one; null
+    where the text is no position."""
+    word = F.split(F.trim(F.regexp_replace(text, r"[\s,]+", " ")), " ")
+    lon, lat, third, fourth = (F.get(word, F.lit(k)) for k in range(4))
+    named = third.rlike("(?i)^(equ?|ecl?|gal|sgal)")
+    first = F.upper(F.when(named, third).otherwise(F.lit("EQUJ")))
+    mark = F.upper(F.coalesce(F.when(named, fourth).otherwise(third), F.lit("")))
+    system = (
+        F.when(first.startswith("SG"), "SGAL").when(first.startswith("GA"), "GAL")
+        .otherwise(F.concat(F.when(first.startswith("EC"), "ECL").otherwise("EQU"), F.when(F.right(first, F.lit(1)).eqNullSafe("B") | mark.startswith("B"), "B").otherwise("J")))
+    )
+    epoch = F.coalesce(F.regexp_extract(mark, r"^[BJ]?(\d+(?:\.\d*)?)$", 1).try_cast("double"), F.when(system.endswith("B"), 1950.0).when(system.endswith("J"), 2000.0))
+
+    def angle(s: Column) -> Column:
+        cells = F.split(F.regexp_replace(F.regexp_replace(F.lower(s), r"^[+-]", ""), r"[dhms]$", ""), r"[:dhm]")
+        value = [F.get(cells, F.lit(k)).try_cast("double") for k in range(3)]
+        size = value[0] + F.when(F.size(cells) > 1, value[1]).otherwise(0.0) / 60 + F.when(F.size(cells) > 2, value[2]).otherwise(0.0) / 3600
+        return F.when(F.size(cells) <= 3, F.when(s.startswith("-"), -size).otherwise(size))
+
+    turned = F.when(F.lower(lon).rlike("[:h]") & ~F.lower(lon).contains("d") & system.startswith("EQU"), 15.0).otherwise(1.0)
+    x, y = angle(lon) * turned, angle(lat)
+    return F.when(x.isNotNull() & (F.abs(y) <= 90) & (F.size(word) <= 4), F.struct(x.alias("lon"), y.alias("lat"), system.alias("system"), epoch.alias("epoch")))

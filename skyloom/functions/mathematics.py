@@ -8,25 +8,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def normal_cdf(x: Column, terms: int = 120) -> Column:
+    """The standard normal distribution function by its series, for |x| < 9."""
+    # 0.5 + phi(x) (x + x^3/3 + x^5/15 + ...)
+    summed = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), F.struct(x.alias("t"), x.alias("s")),
+        lambda a, k: F.struct((a["t"] * x * x / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * x * x / (2 * k + 1)).alias("s")),
+    )["s"]
+    return 0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * summed
+
+
 def inverse_normal(p: Column, steps: int = 10) -> Column:
-    """The standard normal quantile by Newton steps on the distribution function, which is summed as a
-    series. It is taken of the upper half, where steps from below can't pass the root, and
-    mirrored. Null outside (1e-6, 1 - 1e-6)."""
-    def cdf(x: Column) -> Column:
-        # 0.5 + phi(x) (x + x^3/3 + x^5/15 + ...), enough terms for |x| < 6
-        terms = F.aggregate(
-            F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")),
-            lambda a, k: F.struct((a["t"] * x * x / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * x * x / (2 * k + 1)).alias("s")),
-        )["s"]
-        return 0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * terms
-
-    upper = F.greatest(p, 1 - p)
-    start = 0.6 * F.sqrt(-2 * F.log(F.greatest(2 * (1 - upper), F.lit(1e-9))))
-    refined = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), start,
-        lambda x, _: x - (cdf(x) - upper) / (F.exp(-x * x / 2) / math.sqrt(2 * math.pi)),
-    )
-    return F.when((p > 1e-6) & (p < 1 - 1e-6), F.when(p < 0.5, -refined).otherwise(refined))
+    """The standard normal quantile. Shares of 1e-6 to 1 - 1e-6: Newton steps on the distribution function, taken
+    of the upper half, where steps from below can't pass the root, and mirrored. Beyond: fixed-point
+    steps on the tail's continued fraction. Null for shares that are not between 0 and 1."""
+    tail = F.least(p, 1 - p)
+    upper = 1 - tail
+    start = 0.6 * F.sqrt(-2 * F.log(F.greatest(2 * tail, F.lit(1e-9))))
+    newton = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda x, _: x - (normal_cdf(x, 60) - upper) / (F.exp(-x * x / 2) / math.sqrt(2 * math.pi)))
+
+    def outward(x: Column, _: Column) -> Column:
+        # tail = phi(x) / (x + 1/(x + 2/(x + 3/(x + 4/(x + ...)))))
+        below = F.aggregate(F.sequence(F.lit(40), F.lit(1), F.lit(-1)), x, lambda s, k: x + k / s)
+        return F.sqrt(-2 * (F.log(tail) + F.log(below) + math.log(2 * math.pi) / 2))
+
+    far = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.sqrt(-2 * F.log(tail)), outward)
+    refined = F.when(tail > 1e-6, newton).otherwise(far)
+    return F.when((p > 0) & (p < 1), F.when(p < 0.5, -refined).otherwise(refined))
 
 
 def stretch(v: Column, low: float, high: float, kind: str = "linear", beta: float = 0.1, power: int = 1) -> Column:

@@ -64,7 +64,7 @@ def best_image(images: DataFrame, lon: float, lat: float, half: float) -> DataFr
     """The image (square of half-size ``half`` degrees in tangent offsets) in which a point is
     farthest from the edge; ties take the first."""
     d = F.radians(F.col("dec"))
-    x = (F.lit(lon) - F.col("ra")) * F.cos(d)
+    x = (F.pmod(F.lit(lon) - F.col("ra") + 180, F.lit(360.0)) - 180) * F.cos(d)
     margin = F.lit(half) - F.greatest(F.abs(x), F.abs(F.lit(lat) - F.col("dec")))
     return images.select("cntr", margin.alias("margin")).filter("margin > 0").orderBy(F.desc("margin"), "cntr").limit(1)
 
@@ -89,12 +89,22 @@ def fragments(images: DataFrame) -> DataFrame:
     return pieces.join(other, "fname").filter("plate < plate_2")
 
 
-def global_ids(images: DataFrame) -> DataFrame:
+def global_ids(images: DataFrame, ranges: int = 64) -> DataFrame:
     """Plate-local ids (plate, cntr) with ids that are unique over all plates: each plate's ids are
-    shifted by the sizes of the plates before it, so only plate totals pass through one task."""
-    sizes = images.groupBy("plate").agg(F.count("*").alias("n"))
-    shift = F.coalesce(F.sum("n").over(Window.orderBy("plate").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return images.join(sizes.select("plate", shift.alias("shift")), "plate").withColumn("id", F.col("shift") + F.row_number().over(Window.partitionBy("plate").orderBy("cntr"))).drop("shift")
+    shifted by the sizes of the plates before it. A plate is numbered in hash ranges of its own order,
+    so neither all plates nor one large plate pass through one task."""
+    ends = images.groupBy("plate").agg(F.min("cntr").alias("low"), F.max("cntr").alias("high"))
+    part = F.floor((ranges - 1) * (F.col("cntr") - F.col("low")) / F.nullif((F.col("high") - F.col("low")).cast("double"), F.lit(0.0)))
+    ranged = images.join(ends, "plate").withColumn("part", F.coalesce(part, F.lit(0))).drop("low", "high")
+    sizes = ranged.groupBy("plate", "part").agg(F.count("*").alias("n"))
+    shift = F.coalesce(F.sum("n").over(Window.orderBy("plate", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(Window.partitionBy("plate", "part").orderBy("cntr"))
+    return ranged.join(sizes.select("plate", "part", shift.alias("shift")), ["plate", "part"]).withColumn("id", F.col("shift") + number).drop("shift", "part")
+
+
+def plate_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with global ids (id) back on their plates: plate and cntr of :func:`global_ids`."""
+    return rows.join(ids.select("id", "plate", "cntr"), "id")
 
 
 def neighbour_tiles(tiles: DataFrame) -> DataFrame:

@@ -131,6 +131,13 @@ def fix_blanks(pix: DataFrame, value: float | None = None, ranges: tuple[tuple[f
     return pix.withColumn("v", v if value is None else F.coalesce(v, F.lit(value)))
 
 
+def to_integers(pix: DataFrame, bits: int, blank_value: int) -> DataFrame:
+    """Values rounded to whole numbers of 8 (unsigned), 16 or 32 bits; those out of range and blanks get ``blank_value``."""
+    low, high = (0, 255) if bits == 8 else (-(1 << (bits - 1)), (1 << (bits - 1)) - 1)
+    whole = F.round(F.col("v"))
+    return pix.withColumn("v", F.when(whole.between(low, high), whole.cast("int")).otherwise(F.lit(blank_value)))
+
+
 def mask_boxes(pix: DataFrame, boxes: list[tuple[int, int, int, int]]) -> DataFrame:
     """Pixels in any inclusive box (xmin, xmax, ymin, ymax) become blank."""
     hit = F.lit(False)
@@ -144,6 +151,29 @@ def cutout(pix: DataFrame, i0: int, j0: int, width: int, height: int) -> DataFra
     return pix.filter(F.col("i").between(i0, i0 + width - 1) & F.col("j").between(j0, j0 + height - 1)).withColumns({"i": F.col("i") - i0, "j": F.col("j") - j0})
 
 
+def bounding_info(pix: DataFrame) -> DataFrame:
+    """Box, mean place and number of the pixels that aren't blank, by image."""
+    good = pix.filter("v IS NOT NULL")
+    ends = [F.min("i").alias("xmin"), F.max("i").alias("xmax"), F.min("j").alias("ymin"), F.max("j").alias("ymax")]
+    return good.groupBy("image_id").agg(*ends, F.avg("i").alias("xcenter"), F.avg("j").alias("ycenter"), F.count("*").alias("npixel"))
+
+
+def oriented_box(pix: DataFrame, steps: int = 180) -> DataFrame:
+    """(image_id, angle, width, height, x, y): the least box of the pixels that aren't blank over ``steps``
+    directions of a quarter turn, its angle in degrees, size and centre. One partial aggregate of four
+    extremes a direction."""
+    turns = F.array(*[F.lit(90.0 * k / steps) for k in range(steps)])
+    good = pix.filter("v IS NOT NULL").groupBy("image_id", "j").agg(F.min("i").alias("i0"), F.max("i").alias("i1"))  # a row's ends suffice
+    ends = good.select("image_id", "j", F.explode(F.array_distinct(F.array("i0", "i1"))).alias("i")).select("image_id", "i", "j", F.explode(turns).alias("angle"))
+    c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+    u, v = F.col("i") * c + F.col("j") * s, F.col("j") * c - F.col("i") * s
+    boxes = ends.groupBy("image_id", "angle").agg(F.min(u).alias("u0"), F.max(u).alias("u1"), F.min(v).alias("v0"), F.max(v).alias("v1"))
+    w, h = F.round(F.col("u1") - F.col("u0"), 9), F.round(F.col("v1") - F.col("v0"), 9)
+    best = boxes.groupBy("image_id").agg(F.min(F.struct(F.round(w * h, 6).alias("area"), "angle", w.alias("width"), h.alias("height"), ((F.col("u0") + F.col("u1")) / 2).alias("u"), ((F.col("v0") + F.col("v1")) / 2).alias("v"))).alias("b"))
+    c, s = F.cos(F.radians("b.angle")), F.sin(F.radians("b.angle"))
+    return best.select("image_id", "b.angle", "b.width", "b.height", (F.col("b.u") * c - F.col("b.v") * s).alias("x"), (F.col("b.u") * s + F.col("b.v") * c).alias("y"))
+
+
 def tight_box(pix: DataFrame) -> DataFrame:
     """The box of the pixels that aren't blank, by image."""
     good = pix.filter("v IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators.pixels import shrink
+from skyloom.storage import cut
 
 MOST_ROUNDS = 1_000
 
@@ -40,7 +41,7 @@ def pyramid(pix: DataFrame, levels: int) -> DataFrame:
     """(level, image_id, i, j, v): each level is the one below shrunk by two."""
     out, current = None, pix.select("image_id", "i", "j", "v")
     for level in range(1, levels + 1):
-        current = shrink(current, 2)
+        current = cut(shrink(current, 2))  # each level is read once for itself and once for the next
         one = current.withColumn("level", F.lit(level))
         out = one if out is None else out.unionByName(one)
     return out
@@ -112,9 +113,9 @@ def converged_calibration(matches: DataFrame, base: float = 2.512, tolerance: fl
         spread = open_.join(new, "image_id").filter(F.abs(left) <= 2 * F.col("s")).groupBy("image_id").agg(F.sqrt(F.avg(left * left)).alias("s1"))
         change = F.abs(F.col("m1") - F.col("m"))
         still = (change < tolerance * F.abs("m")) | (change == 0) & ~F.col("s").isin(math.inf)
-        state = state.join(new, "image_id", "left").join(spread, "image_id", "left").select(
+        state = cut(state.join(new, "image_id", "left").join(spread, "image_id", "left").select(
             "image_id", F.coalesce("m1", "m").alias("m"), F.coalesce("s1", "s").alias("s"), F.coalesce("n1", "n").alias("n"), (F.col("done") | F.coalesce(still, F.lit(True)) | F.col("s1").isNull()).alias("done")
-        ).checkpoint()
+        ))
         if state.filter("NOT done").isEmpty():
             return state.select("image_id", "m", "s", "n")
     raise ValueError(f"no convergence in {MOST_ROUNDS} rounds")

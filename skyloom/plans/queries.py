@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import coords
@@ -258,11 +258,6 @@ def _(spark, sf_dir):
     return fits.plane_round(view(spark, sf_dir, "pix")).select("image_id", _r("a", 3).alias("a"), _r("b", 3).alias("b"), _r("c", 2).alias("c"), "npixel")
 
 
-@query("a05_clipped_plane")
-def _(spark, sf_dir):
-    return fits.clipped_plane_grouped(view(spark, sf_dir, "pix"))
-
-
 @query("a06_clipped_level", sql("""SELECT l.image_id, round(avg(v), 3) AS c, count(*) AS npixel FROM pix l JOIN (SELECT image_id, avg(v) AS m, stddev_pop(v) AS s FROM pix GROUP BY image_id) q ON l.image_id = q.image_id AND abs(v - m) <= 2 * s GROUP BY 1"""))
 def _(spark, sf_dir):
     p = view(spark, sf_dir, "pix")
@@ -358,7 +353,7 @@ def _(spark, sf_dir):
     return geometry.covering(view(spark, sf_dir, "stars"), view(spark, sf_dir, "sky"), 10.0)
 
 
-@query("j09_best_image", sql("SELECT cntr, round(margin, 4) AS margin FROM (SELECT cntr, 15 - greatest(abs((120e0 - ra) * cos(radians(dec))), abs(10e0 - dec)) AS margin FROM sky) WHERE margin > 0 ORDER BY margin DESC, cntr LIMIT 1"))
+@query("j09_best_image", sql("SELECT cntr, round(margin, 4) AS margin FROM (SELECT cntr, 15 - greatest(abs(((120e0 - ra + 540) % 360 - 180) * cos(radians(dec))), abs(10e0 - dec)) AS margin FROM sky) WHERE margin > 0 ORDER BY margin DESC, cntr LIMIT 1"))
 def _(spark, sf_dir):
     return geometry.best_image(view(spark, sf_dir, "sky"), 120.0, 10.0, 15.0).withColumn("margin", _r("margin"))
 
@@ -429,15 +424,19 @@ def _(spark, sf_dir):
     return sort_places(_table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", descending=True).select("o_orderkey", "place")
 
 
-@query("o06_restart", "SELECT event_id, user_id FROM events WHERE event_id > 500")
+@query("o06_restart", "SELECT event_id, user_id, recno FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS recno FROM events) WHERE recno >= 500")
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "events").filter("event_id > 500").select("event_id", "user_id")
+    from skyloom.operators.tables import from_record
+
+    return from_record(_table(spark, sf_dir, "events").select("event_id", "user_id"), 500, "event_id")
 
 
 @query("u01_union", "SELECT s_name AS name, s_acctbal AS balance FROM supplier UNION ALL SELECT c_name, c_acctbal FROM customer")
 def _(spark, sf_dir):
+    from skyloom.operators.tables import union_all
+
     s, c = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "customer")
-    return s.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")).unionByName(c.select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
+    return union_all([s.select("s_name", "s_acctbal"), c.select("c_name", "c_acctbal")], ["name", "balance"])
 
 
 @query("j14_fragments", "WITH f AS (SELECT DISTINCT l_partkey % 500 AS fname, l_suppkey % 5 AS plate, min(l_orderkey) AS cntr FROM lineitem GROUP BY 1, 2) SELECT a.fname, a.plate, b.plate AS plate_2, a.cntr, b.cntr AS cntr_2 FROM f a JOIN f b ON a.fname = b.fname AND a.plate < b.plate")
@@ -451,14 +450,17 @@ def _(spark, sf_dir):
     return geometry.global_ids(_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("plate"), F.col("n_nationkey").alias("cntr"))).select("plate", "cntr", "id")
 
 
-@query("a26_status_counts", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY event_type")
+@query("a26_status_counts", "SELECT event_type, count(*) AS count, count(*) FILTER (WHERE value <= 60) AS ok, count(*) FILTER (WHERE value > 60 AND value <= 90) AS warning, count(*) FILTER (WHERE value IS NULL OR value > 90) AS failed FROM events GROUP BY event_type")
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"))
+    from skyloom.operators.tables import status_counts
 
+    return status_counts(_table(spark, sf_dir, "events"), "event_type", F.col("value") > 90, F.col("value") > 60)
 
-@query("f29_json_lookup", "SELECT event_id, length(props) AS n FROM events")
+
+@query("j13_back_to_plates", "SELECT n_regionkey AS plate, n_nationkey AS cntr, row_number() OVER (ORDER BY n_regionkey, n_nationkey) * 10 AS value FROM nation")
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.length("props").cast("long").alias("n"))
+    ids = geometry.global_ids(_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("plate"), F.col("n_nationkey").alias("cntr")))
+    return geometry.plate_ids(ids.select("id", (F.col("id") * 10).alias("value")), ids).select("plate", "cntr", "value")
 
 
 @query("f29_json_path_lookup", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k.n') AS nested, json_extract_string(props, '$.missing') AS missing FROM events")
@@ -569,13 +571,6 @@ def _(spark, sf_dir):
     return flux_calibration(m, rounds=1).select("image_id", _r("m", 6).alias("m"), "n")
 
 
-@query("a22_flux_calibration_converged")
-def _(spark, sf_dir):
-    from skyloom.operators.resample import converged_calibration
-
-    return converged_calibration(_table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("image_id"), F.col("p_retailprice").alias("flux"), F.col("p_size").alias("mag")))
-
-
 @query("a20_pyramid_order", "SELECT round(min(p_retailprice / 1e6), 6) AS scale, greatest(0, ceil(log2(90 / sqrt(2e0) / min(p_retailprice / 1e6))))::INT AS \"order\" FROM part")
 def _(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select((-F.col("p_retailprice") / 1e6).alias("cdelt1"), (F.col("p_retailprice") / 1e6).alias("cdelt2"))
@@ -596,15 +591,25 @@ def _(spark, sf_dir):
     return spark.range(1, 1000).select("id", inverse_normal(F.col("id") / 1000.0).alias("x"))
 
 
-@query("f28_strings", "SELECT s_suppkey, trim('  ' || s_name || ' ') AS name, replace(s_name, '#', '%23') AS encoded, length(trim(s_name)) = 0 AS is_blank FROM supplier")
+@query("f28_strings", """SELECT s_suppkey, trim('  ' || s_name || ' ') AS name, replace(s_name, '#', '%23') AS encoded, s_name AS decoded, s_suppkey % 2 = 0 AS is_blank, '&lt;b&gt; &amp; &quot;' || s_suppkey AS html, s_name || '|a b|c' AS words FROM supplier""")
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.trim(F.concat(F.lit("  "), "s_name", F.lit(" "))).alias("name"), F.url_encode("s_name").alias("encoded"), (F.length(F.trim("s_name")) == 0).alias("is_blank"))
+    from skyloom.operators import tables
 
+    s = _table(spark, sf_dir, "supplier")
+    words = tables.split_command(F.concat(F.lit("'"), "s_name", F.lit("'  \"a b\" c")))
+    return s.select(
+        "s_suppkey", F.trim(F.concat(F.lit("  "), "s_name", F.lit(" "))).alias("name"), F.url_encode("s_name").alias("encoded"), F.url_decode(F.url_encode("s_name")).alias("decoded"),
+        tables.is_blank(F.when(F.col("s_suppkey") % 2 == 0, F.lit(" \t")).otherwise(F.lit("x "))).alias("is_blank"), tables.html_encode(F.concat(F.lit('<b> & "'), "s_suppkey")).alias("html"), F.array_join(words, "|").alias("words"),
+    )
 
-@query("f31_multimap", "SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+
+@query("f31_multimap", "SELECT n_regionkey, count(*) AS n, min(n_name) AS first, list_sort(list(n_name))[2] AS second, NULL::VARCHAR AS missing FROM nation GROUP BY n_regionkey")
 def _(spark, sf_dir):
-    n = _table(spark, sf_dir, "nation")
-    return n.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
+    from skyloom.operators.tables import look_up, multimap
+
+    m = multimap(_table(spark, sf_dir, "nation"), "n_regionkey", "n_name")
+    key = F.col("n_regionkey")
+    return m.select("n_regionkey", F.size(F.element_at("entries", key.cast("string"))).cast("long").alias("n"), *[look_up(F.col("entries"), k, i).alias(c) for k, i, c in ((key, 0, "first"), (key, 1, "second"), (key, 99, "missing"))])
 
 
 # --- more coordinates and tiles ---------------------------------------------------------------------
@@ -645,8 +650,14 @@ def _(spark, sf_dir):
 
 @query("a07_bounding_info", sql("SELECT image_id, min(i) AS xmin, max(i) AS xmax, min(j) AS ymin, max(j) AS ymax, round(avg(i), 4) AS xcenter, round(avg(j), 4) AS ycenter, count(*) AS npixel FROM pix WHERE v IS NOT NULL GROUP BY image_id"))
 def _(spark, sf_dir):
-    good = view(spark, sf_dir, "pix").filter("v IS NOT NULL")
-    return good.groupBy("image_id").agg(F.min("i").alias("xmin"), F.max("i").alias("xmax"), F.min("j").alias("ymin"), F.max("j").alias("ymax"), _r(F.avg("i")).alias("xcenter"), _r(F.avg("j")).alias("ycenter"), F.count("*").alias("npixel"))
+    return pixels.bounding_info(view(spark, sf_dir, "pix")).withColumns({c: _r(c) for c in ("xcenter", "ycenter")})
+
+
+@query("a07_oriented_box", sql("""SELECT image_id, round(min(area), 4) AS area FROM (SELECT image_id, a, (max(i * cos(radians(a)) + j * sin(radians(a))) - min(i * cos(radians(a)) + j * sin(radians(a)))) * (max(j * cos(radians(a)) - i * sin(radians(a))) - min(j * cos(radians(a)) - i * sin(radians(a)))) AS area
+  FROM (SELECT image_id, i, j FROM pix WHERE i + j BETWEEN 20 AND 40), (SELECT unnest(range(180)) / 2e0 AS a) GROUP BY image_id, a) GROUP BY image_id"""))
+def _(spark, sf_dir):
+    b = pixels.oriented_box(view(spark, sf_dir, "pix").filter("i + j BETWEEN 20 AND 40"))
+    return b.select("image_id", _r(F.col("width") * F.col("height")).alias("area"))
 
 
 @query("a19_synthetic_sky", sql("""SELECT floor(ra)::INT + dx AS i, floor(dec)::INT + dy AS j, round(sum(greatest(3, pow(10e0, 0.4e0 * (5 - cntr % 8)))) / 9 + 3.3e-7, 4) + 0e0 AS v FROM stars, (SELECT unnest([-1, 0, 1])::INT AS dx), (SELECT unnest([-1, 0, 1])::INT AS dy) GROUP BY 1, 2"""))
@@ -661,13 +672,3 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     s = view(spark, sf_dir, "stars").withColumn("field", F.col("cntr") % 7)
     return geometry.bounding_box(s, "field").select("field", _r("south").alias("south"), _r("north").alias("north"))
-
-
-@query("w03_gaussian_levels")
-def _(spark, sf_dir):
-    from skyloom.functions.mathematics import inverse_normal
-
-    h = pixels.histogram(view(spark, sf_dir, "pix"), 200)
-    total = F.sum("n").over(Window.partitionBy())
-    share = F.col("cumulative") / total
-    return h.select("bin", F.coalesce(inverse_normal(share), F.when(share <= 0, -1000.0).otherwise(1000.0)).alias("gausslev"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skyloom.plans import more_queries, sky_queries  # noqa: F401  (they register their queries)
 from skyloom.plans.queries import QUERIES
 
 

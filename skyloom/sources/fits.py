@@ -112,11 +112,23 @@ def to_fits(pixels: np.ndarray, keywords: dict[str, str | float] | None = None)
     return head.ljust(-(-len(head) // BLOCK) * BLOCK) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
 
 
-def assemble(pix: DataFrame, nx: int, ny: int) -> DataFrame:
-    """(image_id, fits): the file of each image, built in one task an image; blanks are NaN."""
+def assemble(pix: DataFrame, nx: int, ny: int, template: dict[str, str | float] | None = None) -> DataFrame:
+    """(image_id, fits): the file of each image, built in one task an image (a bounded grid); blanks are NaN.
+    With a template's keywords the image is cut to the range that has pixels, and its reference
+    pixel moves along; a template's own size is not kept."""
     def build(g: pd.DataFrame) -> pd.DataFrame:
         out = np.full((ny, nx), np.nan)
-        out[g["j"].to_numpy(int), g["i"].to_numpy(int)] = g["v"].to_numpy(float)
-        return pd.DataFrame({"image_id": [g["image_id"].iloc[0]], "fits": [to_fits(out)]})
+        own = g.dropna(subset=["v"])
+        i, j = own["i"].to_numpy(int), own["j"].to_numpy(int)
+        out[j, i] = own["v"].to_numpy(float)
+        if template is None:
+            return pd.DataFrame({"image_id": [g["image_id"].iloc[0]], "fits": [to_fits(out)]})
+        words = {k: v for k, v in template.items() if not k.startswith(("NAXIS", "SIMPLE", "BITPIX"))}
+        if len(i):
+            out = out[j.min() : j.max() + 1, i.min() : i.max() + 1]
+            for key, first in (("CRPIX1", i.min()), ("CRPIX2", j.min())):
+                if key in words:
+                    words[key] = float(words[key]) - float(first)
+        return pd.DataFrame({"image_id": [g["image_id"].iloc[0]], "fits": [to_fits(out, words)]})
 
     return pix.filter(F.col("i").between(0, nx - 1) & F.col("j").between(0, ny - 1)).select("image_id", "i", "j", "v").groupBy("image_id").applyInPandas(build, "image_id int, fits binary")

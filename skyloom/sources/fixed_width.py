@@ -42,8 +42,8 @@ def header_of(spark: SparkSession, path: str) -> Header:
 
 
 def read_fixed_width(spark: SparkSession, path: str) -> DataFrame:
-    """A table by Spark's own text reader: files split, columns cut out by JVM expressions, and
-    records numbered by their line order within a file."""
+    """A table by Spark's own text reader: files split, columns cut out by JVM expressions.
+    ``operators.tables.with_record`` numbers the records by a column's order."""
     header = header_of(spark, path)
     data = spark.read.text(path).filter(~F.col("value").rlike(r"^[\\|]") & (F.trim("value") != ""))
     out = []

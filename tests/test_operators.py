@@ -59,7 +59,7 @@ def test_inverse_normal(spark):
 
     from skyloom.functions.mathematics import hex_colour, inverse_normal, polygon_area
 
-    p = [1e-5, 0.001, 0.16, 0.5, 0.6, 0.84, 0.999, 0.99999, 0.0, 1.0]
+    p = [1e-5, 0.001, 0.16, 0.5, 0.6, 0.84, 0.999, 0.99999, 1e-9, 1e-100, 1 - 1e-7, 0.0, 1.0]
     got = [r["x"] for r in spark.createDataFrame([(k, x) for k, x in enumerate(p)], "k int, p double").orderBy("k").select(inverse_normal(F.col("p")).alias("x")).collect()]
     assert got[-2:] == [None, None] and np.allclose(got[:-2], [NormalDist().inv_cdf(x) for x in p[:-2]], atol=1e-6)
     one = spark.createDataFrame([([0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 3.0, 3.0], "#10fF00")], "x array<double>, y array<double>, c string")
