@@ -101,12 +101,14 @@ class Model:
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """log of the smoothed share of a feature in class 1 over its share in class 0; 0 for one that no row has."""
-    counts = np.zeros((2, 1 << BITS))
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for f, label in zip(rows, y, strict=True):
         counts[label][f] += 1
-    seen = counts.any(axis=0)
-    shares = (counts + alpha) / (counts + alpha)[:, seen].sum(axis=1, keepdims=True)
-    return np.where(seen, np.log(shares[1]) - np.log(shares[0]), 0.0)
+    seen = np.flatnonzero(counts.any(axis=0))
+    own = counts[:, seen] + alpha
+    out = np.zeros(1 << BITS)
+    out[seen] = np.log(own[1] / own[1].sum()) - np.log(own[0] / own[0].sum())
+    return out
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, dimensions: int, epochs: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -181,8 +183,11 @@ def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: dict[int, int] = SAMPLE) -> Model:
     """Fit on the bounded sample; only its feature lists come to the driver."""
     found = training_sample(docs, labels, label, sample).select("doc_id", "text", "y").mapInArrow(_feature_lists, "doc_id long, f array<int>, y int")
-    rows = sorted(((r["doc_id"], r["y"], np.array(r["f"], np.int64)) for r in found.collect()), key=lambda r: r[0])
-    return fit([r[2] for r in rows], np.array([r[1] for r in rows], np.int64))
+    sample_ = found.toArrow().combine_chunks()  # columns, as lists of Python numbers would need ten times the memory
+    f, y = sample_.column("f").combine_chunks(), sample_.column("y").to_numpy()
+    at, flat = f.offsets.to_numpy(), f.values.to_numpy()
+    order = np.argsort(sample_.column("doc_id").to_numpy(), kind="stable")
+    return fit([flat[at[k] : at[k + 1]] for k in order], y[order].astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
