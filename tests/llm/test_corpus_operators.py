@@ -83,10 +83,10 @@ def test_a_large_component_by_its_buckets(spark, monkeypatch):
     rng = random.Random(12)
     ws = [f"w{k}" for k in range(60)]
     rows = []
-    for k in range(50):  # a chain: neighbours are similar, far ones aren't
+    for k in range(26):  # a chain: neighbours are similar, far ones aren't
         rows.append((k, " ".join(ws)))
         ws = ws[2:] + [f"n{k}a", f"n{k}b"]
-    rows += [(100 + k, " ".join(rng.choices(["a", "b", "c"], k=1) + [f"c{j}" for j in range(80)])) for k in range(12)]
+    rows += [(100 + k, " ".join(rng.choices(["a", "b", "c"], k=1) + [f"c{j}" for j in range(80)])) for k in range(8)]
     root, links = groups(rows)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
     assert got == {d: (rows[r][0], n) for (d, _), r, n in zip(rows, root, links, strict=True)}
