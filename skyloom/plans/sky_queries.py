@@ -314,16 +314,17 @@ _M = _times(coords.B1950_TO_J2000)
 _position("f05_besselian_to_julian", sql(f"SELECT cntr, {_lon('x', 'y')} AS lon, {_lat('z / sqrt(x*x + y*y + z*z)')} AS lat FROM (SELECT cntr, {_M[0]} AS x, {_M[1]} AS y, {_M[2]} AS z FROM ({_FREE}))"), lambda a, d: coords.convert(a, d, "EQUB", "EQUJ"))
 
 
-@query("f01_convert_and_back", sql("SELECT cntr, a || '-' || b AS pair, round(ra + 3.3e-6, 4) AS lon, round(dec + 3.3e-6, 4) AS lat FROM stars, (SELECT unnest(['EQUJ', 'EQUB', 'ECLJ', 'ECLB', 'GAL', 'SGAL']) AS a), (SELECT unnest(['EQUJ', 'EQUB', 'ECLJ', 'ECLB', 'GAL', 'SGAL']) AS b) WHERE a < b AND abs(dec) < 85"))
+@query("f01_convert_and_back", sql("SELECT cntr, a || '-' || b AS pair, true AS back FROM stars, (SELECT unnest(['EQUJ', 'EQUB', 'ECLJ', 'ECLB', 'GAL', 'SGAL']) AS a), (SELECT unnest(['EQUJ', 'EQUB', 'ECLJ', 'ECLB', 'GAL', 'SGAL']) AS b) WHERE a < b AND abs(dec) < 85"))
 def _(spark, sf_dir):
     s, out = view(spark, sf_dir, "stars").filter("abs(dec) < 85"), None
     for a in coords.SYSTEMS:
         for b in coords.SYSTEMS:
             if a < b:
                 lon, lat = coords.convert(F.col("ra"), F.col("dec"), a, b, 1980.0 if a.endswith("B") else None, 2010.0 if b.endswith("J") else None)
-                there = s.select("cntr", lon.alias("l"), lat.alias("b"))
+                there = s.select("cntr", "ra", "dec", lon.alias("l"), lat.alias("b"))
                 lon, lat = coords.convert(F.col("l"), F.col("b"), b, a, 2010.0 if b.endswith("J") else None, 1980.0 if a.endswith("B") else None)
-                one = there.select("cntr", F.lit(f"{a}-{b}").alias("pair"), _r(lon + 3.3e-6, 4).alias("lon"), _r(lat + 3.3e-6, 4).alias("lat"))
+                near = (F.abs(F.pmod(lon - F.col("ra") + 180, F.lit(360.0)) - 180) < 1e-6) & (F.abs(lat - F.col("dec")) < 1e-6)
+                one = there.select("cntr", F.lit(f"{a}-{b}").alias("pair"), near.alias("back"))
                 out = one if out is None else out.unionByName(one)
     return out
 
