@@ -3,11 +3,8 @@
 Documents with equal shingle sets form a class; only classes are joined. Signatures of
 ``BANDS`` x ``ROWS`` minima are shuffled on band hashes. A pair of similarity s meets in some band
 with probability 1 - (1 - s**ROWS)**BANDS: 99.7 % at 0.8, over 99.99 % at 0.87. Classes that
-share a band (directly or over others) form a candidate component. A component of at most
-``BLOCK`` classes is one group of rows. In a larger one every class has a home, the fullest of its
-band buckets; homes are cut into blocks of about ``BLOCK`` classes, and a pair of blocks is a group of
-rows only where some bucket has classes of both. So a long chain of loosely linked classes costs
-what its buckets cost, not its square, and no pair that shares a band is missed. Full n-gram sets
+share a band (directly or over others) form a candidate component; a component is cut into blocks
+of about ``BLOCK`` classes and every pair of its blocks is one group of rows. Full n-gram sets
 are intersected tile by tile. A group gives each of its classes one row: the number of documents it
 is similar to and its root in a spanning forest of the similar pairs, so nothing grows with the
 number of pairs, and no bucket is capped. Hot bands, classes, components and hubs are joined by
@@ -34,7 +31,7 @@ SHINGLE = 5
 #: similar where intersection / union >= 4 / 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 32, 8
-BLOCK, TILE = 1024, 512
+BLOCK, TILE = 8192, 512
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -186,7 +183,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[bytes, bytes, int]] = []
 
     def close() -> None:
-        if len(held) > 1:
+        if len(held) > 1 and (group[1] == group[2] or len({r[0] for r in held.values()}) == 2):  # one block alone is compared elsewhere
             names, rows = list(held), list(held.values())
             sets = [np.frombuffer(r[2], np.uint64) for r in rows]
             links, root = _verify_group(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), sets)
@@ -211,29 +208,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
-def _groups(found: DataFrame, classes: DataFrame, banded: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
-    """(k, groups) of the classes in a component: the groups (root, low, high, side) that compare it."""
+def _groups(found: DataFrame) -> DataFrame:
+    """(k, groups) of the classes in a component: the groups (root, low, high, side) that compare it. A class
+    is in one block of its component, and in one group with each of the component's blocks."""
     sizes = cut(found.groupBy("root").agg(F.count("*").alias("n")))
     n_found = sizes.agg(F.sum("n")).first()[0] or 0
-    members = skew_join(found.withColumnRenamed("node", "k"), sizes.withColumn("size", F.col("n")), "root", n_found)
-    group = lambda low, high, side: F.struct(F.col("root"), low.alias("low"), high.alias("high"), side.cast("int").alias("side"))
-    whole = members.filter(F.col("size") <= BLOCK).select("k", F.array(group(F.lit(""), F.lit(""), F.lit(0))).alias("groups"))
-    if sizes.filter(F.col("n") > BLOCK).isEmpty():
-        return whole
-    large = cut(members.filter(F.col("size") > BLOCK).select("k", "root"))
-    within = cut(skew_join(banded, buckets.select("h", "n", F.col("n").alias("size")), "h", total).join(large, "k").select("k", "root", "h", "size"))
-    homes = cut(within.groupBy("k").agg(F.first("root").alias("root"), F.max_by("h", F.struct("size", "h")).alias("home")))
-    parts = cut(homes.groupBy("home").agg(F.count("*").alias("n")))
-    placed = skew_join(homes, parts.select("home", "n", F.ceil(F.col("n") / BLOCK).alias("parts")), "home", n_found)
-    blocks = cut(placed.select("k", "root", F.concat_ws(":", "home", F.pmod(F.xxhash64("k"), F.col("parts"))).alias("block")))
-    shared = within.select("k", "h").join(blocks, "k").select("h", "root", "block").distinct()  # blocks of a bucket, not its classes
-    pairs = shared.join(shared.select("h", F.col("block").alias("other")), "h").filter("block <= other").select("root", "block", "other").distinct()
-    both = pairs.select("root", "block", F.col("block").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side")).unionByName(
-        pairs.filter("block < other").select("root", F.col("other").alias("block"), F.col("block").alias("low"), F.col("other").alias("high"), F.lit(1).alias("side"))
-    )
-    listed = cut(both.groupBy("block").agg(F.collect_set(group(F.col("low"), F.col("high"), F.col("side"))).alias("groups")))  # as many as blocks that meet it
-    counts = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    return whole.unionByName(skew_join(blocks.select("k", "block"), cut(listed.join(counts, "block")), "block", n_found).select("k", "groups"))
+    members = skew_join(found.withColumnRenamed("node", "k"), sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "root", n_found)
+    members = members.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    group = lambda j: F.struct(F.col("root"), F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), (F.col("block") > j).cast("int").alias("side"))
+    return members.select("k", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), group).alias("groups"))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -247,10 +230,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     banded = classes.select("k", F.explode("bands").alias("h"))
     buckets = cut(banded.groupBy("h").agg(F.min("k").alias("m"), F.count("*").alias("n")).filter("n > 1"))
     stars = skew_join(banded, buckets, "h", n_classes * BANDS).filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
-    members = _groups(cut(components(stars)), classes, banded, buckets, n_classes * BANDS).join(classes.select("k", "one", "copies"), "k")
+    members = _groups(cut(components(stars))).join(classes.select("k", "one", "copies"), "k")
     same = docs["doc_id"].eqNullSafe(members["one"]["doc_id"]) & (F.xxhash64(docs["text"]) == members["one"]["text_hash"])
     sets = docs.join(members, same).select("text", "groups", "k", "copies").mapInArrow(
-        _sets, "groups array<struct<root:binary,low:string,high:string,side:int>>, k binary, copies long, shingles binary"
+        _sets, "groups array<struct<root:binary,low:int,high:int,side:int>>, k binary, copies long, shingles binary"
     )
     grouped = sets.select(F.inline("groups"), "k", "copies", "shingles").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "k")
     verified = cut(grouped.mapInArrow(_verify, "k binary, local binary, links long"))
