@@ -82,10 +82,11 @@ def load_pieces(path: str = MODEL) -> Pieces:
 
 
 @cache
-def _pattern() -> re.Pattern:
+def _pattern(last: int = sys.maxunicode) -> re.Pattern:
+    """Cuts texts of characters up to ``last``: the fewer ranges of letters, the faster."""
     ranges, start = [], None
-    for c in range(sys.maxunicode + 2):
-        letter = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in "LM"
+    for c in range(last + 2):
+        letter = c <= last and unicodedata.category(chr(c))[0] in "LM"
         if letter and start is None:
             start = c
         elif not letter and start is not None:
@@ -118,35 +119,33 @@ def word_units(word: str) -> list[str | None]:
     """The units of a word; None stands for a U+2581 of the text, which no piece spells."""
     if word.isalpha():  # letters only: one unit
         return [SPACE + word]
+    cut = _pattern(0x7F if word.isascii() else 0xFFFF if max(word) <= "\uffff" else sys.maxunicode).findall
+    if word and " " not in word and SPACE not in word:  # cut without the space: mostly ASCII, which is faster
+        first, *others = cut(word)
+        return [SPACE + first, *others]
     first, *others = word.split(SPACE)
-    out: list[str | None] = list(units(SPACE + first.replace(" ", SPACE)))
+    out: list[str | None] = cut(SPACE + first.replace(" ", SPACE))
     for part in others:
-        out += [None, *units(part.replace(" ", SPACE))]
+        out += [None, *cut(part.replace(" ", SPACE))]
     return out
 
 
 def best_path(n: Column, edges: Column) -> Column:
-    """Piece ids of the best path over a unit of ``n`` characters. ``edges``: every (end, size, id,
-    score), sorted by end and then by falling size; each position is the end of at least one."""
-    node = lambda s, i, k: F.struct(s.alias("s"), i.alias("id"), k.alias("size"))
-    start = F.array(node(F.lit(0.0), F.lit(0), F.lit(0)))
+    """Piece ids of the best path over a unit of ``n`` characters. ``edges``: every (end, short, id, score),
+    ``short`` being minus the size, in this order; each position is the end of at least one. The state
+    holds each position's best score and path, so one fold gives the ids."""
+    node = lambda s, ids: F.struct(s.alias("s"), ids.alias("ids"))
+    start = F.array(node(F.lit(0.0), F.array().cast("array<int>")))
 
     def step(a: Column, e: Column) -> Column:
-        new = node(F.get(a, e["end"] - e["size"])["s"] + e["score"], e["id"], e["size"])
-        last = F.get(a, e["end"])
-        return F.when(F.size(a) <= e["end"], F.concat(a, F.array(new))).when(
-            F.get(a, e["end"] - e["size"])["s"] + e["score"] > last["s"], F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(new))
+        before = F.get(a, e["end"] + e["short"])
+        score = before["s"] + e["score"]
+        new = node(score, F.array_append(before["ids"], e["id"]))
+        return F.when(F.size(a) <= e["end"], F.array_append(a, new)).when(
+            score > F.get(a, e["end"])["s"], F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), new)
         ).otherwise(a)
 
-    def walk(a: Column) -> Column:
-        state = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
-        back = F.aggregate(
-            F.sequence(F.lit(1), n), state,
-            lambda s, _: F.when(s["at"] > 0, F.struct((s["at"] - F.get(a, s["at"])["size"]).alias("at"), F.concat(s["ids"], F.array(F.get(a, s["at"])["id"])).alias("ids"))).otherwise(s),
-        )
-        return F.reverse(back["ids"])
-
-    return F.element_at(F.transform(F.array(F.aggregate(edges, start, step)), walk), 1)
+    return F.get(F.aggregate(edges, start, step), n)["ids"]
 
 
 def prefixes(pieces: Pieces) -> set[str]:
@@ -200,8 +199,7 @@ def encode_units(distinct: DataFrame, pieces: Pieces, key: str) -> DataFrame:
     )
     # a number names the unit while its edges are grouped: sorting numbers is cheaper than strings
     grouped = edges.groupBy("row", key).agg(F.first("unit").alias("unit"), F.collect_list("e").alias("edges"))
-    ordered = F.transform(F.sort_array("edges"), lambda e: F.struct(e["end"], (-e["short"]).alias("size"), e["id"], e["score"]))
-    return grouped.select(key, "unit", best_path(F.length("unit"), ordered).alias("ids"))
+    return grouped.select(key, "unit", best_path(F.length("unit"), F.sort_array("edges")).alias("ids"))
 
 
 def decode_ids(ids, pieces: Pieces, first_byte: dict[int, int] | None = None) -> str:
@@ -292,31 +290,40 @@ def _answer(pieces: Pieces, kind: str):
     return run
 
 
+class _Words(dict):
+    """The ids of words as bytes, from the ``paths`` of their units; a word is cut when it is first asked for.
+    ``wrong``: the words asked for that hold an ``odd`` unit, one that doesn't decode to itself."""
+
+    def __init__(self, paths: dict[str, bytes], odd: set[str], literal: bytes):
+        self.paths, self.odd, self.literal, self.wrong = paths, odd, literal, set()
+
+    def __missing__(self, word: str) -> bytes:
+        own = word_units(word)
+        if self.odd and not self.odd.isdisjoint(own):
+            self.wrong.add(word)
+        self[word] = ids = self.paths[own[0]] if len(own) == 1 else b"".join([self.literal if u is None else self.paths[u] for u in own])
+        return ids
+
+
 def _assemble(kind: str, byte_ids: tuple[int, ...]):
     literal = np.array([byte_ids[b] for b in SPACE.encode()], kind).tobytes()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         paths: dict[str, bytes] = {}
-        odd: set[str] = set()  # units that don't decode to themselves
+        odd: set[str] = set()
         for blob in right.column("paths"):
             found = unpack(blob.as_buffer())
             paths.update(zip(found.column("unit").to_pylist(), found.column("ids").to_pylist(), strict=True))
             odd.update(found.filter(found.column("wrong")).column("unit").to_pylist())
-        known: dict[str, bytes] = {}
-        wrong: set[str] = set()
+        known = _Words(paths, odd, literal)
         out = []
         for rows in left.column("rows"):
             texts = unpack(rows.as_buffer())
             ids, same = [], []
             for text in texts.column("text").to_pylist():
                 ws = words(text)
-                for w in set(ws).difference(known):
-                    own = word_units(w)
-                    known[w] = paths[own[0]] if len(own) == 1 else b"".join([literal if u is None else paths[u] for u in own])
-                    if odd and not odd.isdisjoint(own):
-                        wrong.add(w)
-                ids.append(b"".join([known[w] for w in ws]))
-                same.append(not wrong or wrong.isdisjoint(ws))
+                ids.append(b"".join(map(known.__getitem__, ws)))
+                same.append(known.wrong.isdisjoint(ws) if known.wrong else True)
             sizes = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
             flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))

@@ -245,6 +245,32 @@ def test_long_runs_equal_brute_force(spark):
     assert [tuple(r["ids"]) for r in piece_lattice.encode(frame(spark, rows[:1])).collect()] == [want[0][1]]  # no other unit
 
 
+def test_the_lattice_is_folded_once(spark):
+    pieces = piece_lattice.load_pieces()
+    units = ["▁there", "antion", "x" * 256, "漢字é", "...", "▁▁"]
+    paths = piece_lattice.encode_units(spark.createDataFrame([(k % 2, u) for k, u in enumerate(units)], "own int, unit string"), pieces, "own")
+    starts = piece_lattice.prefixes(pieces)
+    assert {r["unit"]: r["ids"] for r in paths.collect()} == {u: piece_lattice.long_path(u, pieces, starts) for u in units}
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "transform(" not in plan and "concat(" not in plan  # no second walk, no copy of the edges
+
+
+def test_words_are_cut_by_few_letters_and_once(monkeypatch):
+    rng = random.Random(6)
+    kinds = ["ab9.,\n\t-Z", "ab.éß漢́ -\x80", "aZ.é 𝐀🙂𞤀"]
+    ws = ["".join(rng.choices(k, k=rng.randint(1, 9))) for k in kinds for _ in range(2000)]
+    want = [piece_lattice.units("▁" + w.replace(" ", "▁")) for w in ws]
+    used = []
+    pattern = piece_lattice._pattern
+    monkeypatch.setattr(piece_lattice, "_pattern", lambda *last: used.append(pattern(*last)) or used[-1])
+    assert [piece_lattice.word_units(w) for w in ws] == want
+    assert len(set(used)) == 3 and all(len(p.pattern) < 150 for p in used[:1000])  # ASCII words by ASCII letters
+    cut = []
+    monkeypatch.setattr(piece_lattice, "word_units", lambda w: cut.append(w) or [w])
+    found = piece_lattice._Words({"a": b"1", "b": b"22"}, {"b"}, b"")
+    assert [found[w] for w in "aabab"] == [b"1", b"1", b"22", b"1", b"22"] and cut == ["a", "b"] and found.wrong == {"b"}
+
+
 def documents(spark, rows):
     return frame(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "IF(doc_id % 3 = 0, 's', 't') AS source", "CAST(length(text) AS LONG) AS n_chars")
 
