@@ -49,16 +49,19 @@ def pyramid(pix: DataFrame, levels: int) -> DataFrame:
 
 def aperture_sums(sources: DataFrame, pix: DataFrame, radius: float, key: str | None = None) -> DataFrame:
     """Per source (cntr, x, y), and per image where ``key`` names a column of ``pix``, the sum and
-    number of the pixels within ``radius``. Both sides meet
-    in grid cells of that size; a source goes to the 9 cells around its own."""
+    number of the pixels within ``radius``. The values of one pixel are summed first, and sources at one place
+    are looked at once, so the work follows the places and not the rows on them. Places meet
+    in grid cells of that size; a source's goes to the 9 cells around its own."""
     side = math.ceil(radius)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    s = sources.select("cntr", "x", "y", F.explode(near).alias("a")).select("cntr", "x", "y", "a", F.explode(near).alias("b"))
-    s = s.select("cntr", "x", "y", (F.floor(F.col("x") / side) + F.col("a")).alias("cx"), (F.floor(F.col("y") / side) + F.col("b")).alias("cy"))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    s = sources.select("x", "y").distinct().select("x", "y", F.explode(around).alias("a")).select("x", "y", "a", F.explode(around).alias("b"))
+    s = s.select("x", "y", (F.floor(F.col("x") / side) + F.col("a")).alias("cx"), (F.floor(F.col("y") / side) + F.col("b")).alias("cy"))
     keys = [key] if key else []
-    p = pix.filter("v IS NOT NULL").select(*keys, "i", "j", "v", F.floor(F.col("i") / side).alias("cx"), F.floor(F.col("j") / side).alias("cy"))
+    p = pix.filter("v IS NOT NULL").groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    p = p.select(*keys, "i", "j", "v", "n", F.floor(F.col("i") / side).alias("cx"), F.floor(F.col("j") / side).alias("cy"))
     inside = (F.col("i") - F.col("x")) ** 2 + (F.col("j") - F.col("y")) ** 2 <= radius**2
-    return s.join(p, ["cx", "cy"]).filter(inside).groupBy(*keys, "cntr").agg(F.sum("v").alias("flux"), F.count("*").alias("n"))
+    places = s.join(p, ["cx", "cy"]).filter(inside).groupBy(*keys, "x", "y").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return sources.select("cntr", "x", "y").join(places, ["x", "y"]).groupBy(*keys, "cntr").agg(F.sum("v").alias("flux"), F.sum("n").alias("n"))
 
 
 def rectangle_search(boxes: DataFrame, queries: DataFrame, side: float, contained: bool = False) -> DataFrame:
