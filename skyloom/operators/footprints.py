@@ -2,22 +2,22 @@
 
 A footprint table has (cntr, ra, dec, corners): the image's centre and an array of unit vectors, one a
 corner, in order around it (either way). Candidate pairs meet in grid cells by their centres
-(:func:`skyloom.operators.geometry.within`); the geometry then is one expression over both arrays.
+(:mod:`skyloom.operators.near`); the geometry is that of :mod:`skyloom.operators.polygons`.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.coords import cross, dot, lon_lat, parts, unit, vector
+from skyloom.functions.coords import bind, dot, lon_lat, parts, unit, vector
 from skyloom.functions.projections import CODES, Wcs, pixel_vector
-from skyloom.operators.geometry import within
-
-#: A point this near to an edge's plane counts as inside.
-EDGE = 1e-12
+from skyloom.operators import near
+from skyloom.operators.polygons import Polygons, arc_distance, inside_each_other, share_a_point
 
 
 def normalised(v: list[Column]) -> list[Column]:
@@ -27,12 +27,15 @@ def normalised(v: list[Column]) -> list[Column]:
 
 def square(lon: Column, lat: Column, half: float) -> Column:
     """Corners of a north-up image of half-size ``half`` degrees on its tangent plane."""
-    t, c = math.tan(math.radians(half)), unit(lon, lat)
-    a, d = F.radians(lon), F.radians(lat)
-    east = [-F.sin(a), F.cos(a), F.lit(0.0)]
-    north = [-F.sin(d) * F.cos(a), -F.sin(d) * F.sin(a), F.cos(d)]
-    corner = lambda x, y: vector(normalised([c[k] + east[k] * (x * t) + north[k] * (y * t) for k in range(3)]))
-    return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+    t, at = math.tan(math.radians(half)), F.struct(F.sin(F.radians(lon)).alias("sa"), F.cos(F.radians(lon)).alias("ca"), F.sin(F.radians(lat)).alias("sd"), F.cos(F.radians(lat)).alias("cd"))
+
+    def corners_of(p: Column) -> Column:
+        c = [p["cd"] * p["ca"], p["cd"] * p["sa"], p["sd"]]
+        east, north = [-p["sa"], p["ca"], F.lit(0.0)], [-p["sd"] * p["ca"], -p["sd"] * p["sa"], p["cd"]]
+        raw = lambda x, y: vector([c[k] + east[k] * (x * t) + north[k] * (y * t) for k in range(3)])
+        return F.transform(F.array(raw(-1, -1), raw(1, -1), raw(1, 1), raw(-1, 1)), lambda v: vector(normalised(parts(v))))
+
+    return bind(at, corners_of)
 
 
 def pixel_places(naxis1: Column, naxis2: Column) -> Column:
@@ -47,66 +50,22 @@ def corners(w: Wcs, naxis1: Column, naxis2: Column) -> Column:
     return F.slice(F.transform(pixel_places(naxis1, naxis2), lambda p: pixel_vector(p["i"], p["j"], w)), 2, 4)
 
 
-def _edges(polygon: Column) -> Column:
-    """(a, b) of each edge."""
-    return F.transform(polygon, lambda p, k: F.struct(p.alias("a"), F.coalesce(F.get(polygon, k + 1), F.get(polygon, F.lit(0))).alias("b")))
-
-
-def sides(point: Column, polygon: Column) -> Column:
-    """On which side of each edge's plane a point lies: signed distances as sines."""
-    return F.transform(_edges(polygon), lambda e: dot(normalised(cross(parts(e["a"]), parts(e["b"]))), parts(point)))
-
-
-def contains(polygon: Column, point: Column) -> Column:
-    """Whether a convex polygon (of less than a half sphere) holds a point; its edge belongs to it."""
-    found = sides(point, polygon)
-    facing = F.aggregate(polygon, F.lit(0.0), lambda s, p: s + dot(parts(p), parts(point))) > 0  # the antipodes don't
-    return facing & (F.forall(found, lambda s: s <= EDGE) | F.forall(found, lambda s: s >= -EDGE))
-
-
-def margin(polygon: Column, point: Column) -> Column:
-    """Distance in degrees of a point inside from the nearest edge; below 0 outside."""
-    found = sides(point, polygon)
-    return F.degrees(F.asin(F.greatest(F.array_min(found), -F.array_max(found))))
-
-
-def crossing(p: Column, q: Column) -> Column:
-    """Whether two great-circle arcs (a, b) of less than 180 degrees cross at an inner point."""
-    n, m = cross(parts(p["a"]), parts(p["b"])), cross(parts(q["a"]), parts(q["b"]))
-    apart = (dot(n, parts(q["a"])) * dot(n, parts(q["b"])) < 0) & (dot(m, parts(p["a"])) * dot(m, parts(p["b"])) < 0)
-    line = cross(n, m)  # the circles meet here and at the antipode
-    middle = lambda e: [x + y for x, y in zip(parts(e["a"]), parts(e["b"]), strict=True)]
-    return apart & (dot(line, middle(p)) * dot(line, middle(q)) > 0)
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """Whether two convex polygons share a point: a corner of one in the other, or crossing sides."""
-    corner = F.exists(a, lambda p: contains(b, p)) | F.exists(b, lambda p: contains(a, p))
-    return corner | F.exists(_edges(a), lambda p: F.exists(_edges(b), lambda q: crossing(p, q)))
-
-
 def overlaps(images: DataFrame, radius: float) -> DataFrame:
     """Unordered pairs (plus, minus) of footprints that overlap. No corner is farther than ``radius``
     degrees from its image's centre."""
-    pairs = within(images, images, 2 * radius).filter(F.col("cntr") < F.col("cntr_2"))
-    return pairs.filter(overlap(F.col("corners"), F.col("corners_2"))).select(F.col("cntr").alias("plus"), F.col("cntr_2").alias("minus"))
-
+    return _pairs(images, radius, 0)
 
-def boundary(polygon: Column, steps: int) -> Column:
-    """``steps`` points of each side, its first corner included, at equal steps along the chord."""
-    def side(e: Column) -> Column:
-        step = lambda k, c: e["a"][c] + (e["b"][c] - e["a"][c]) * (k / steps)
-        return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: vector(normalised([step(k, c) for c in "xyz"])))
 
-    return F.flatten(F.transform(_edges(polygon), side))
+def _pairs(images: DataFrame, radius: float, steps: int) -> DataFrame:
+    images = images.select("cntr", "ra", "dec", "corners")
+    pairs = near.pairs(images, images, 2 * radius, ["cntr", "cntr_2"], rising=True, steps=steps)
+    return pairs.select(F.col("cntr").alias("plus"), F.col("cntr_2").alias("minus"))
 
 
 def overlaps_by_boundary(images: DataFrame, radius: float, steps: int) -> DataFrame:
-    """As :func:`overlaps`, by testing the boundary points of either image in the other."""
-    pairs = within(images, images, 2 * radius).filter(F.col("cntr") < F.col("cntr_2"))
-    a, b = F.col("corners"), F.col("corners_2")
-    met = F.exists(boundary(a, steps), lambda p: contains(b, p)) | F.exists(boundary(b, steps), lambda p: contains(a, p))
-    return pairs.filter(met).select(F.col("cntr").alias("plus"), F.col("cntr_2").alias("minus"))
+    """As :func:`overlaps`, by testing ``steps`` points of each side of either image, at equal steps along the
+    chord, in the other."""
+    return _pairs(images, radius, steps)
 
 
 def polygon_of(places: list[tuple[float, float]]) -> Column:
@@ -114,52 +73,52 @@ def polygon_of(places: list[tuple[float, float]]) -> Column:
     return F.array(*[vector(unit(F.lit(float(a)), F.lit(float(d)))) for a, d in places])
 
 
+def _test(test, image: Column, other: Column, *more: Column) -> Column:
+    """``test`` of polygons, or polygons and points, by whole batches: as an expression over the corners it would be
+    worked out again for every use of a corner."""
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array(test(*[Polygons.of(c) for c in columns]))
+
+    return F.arrow_udf(run, "boolean")(near.packed(image), near.packed(other), *map(near.packed, more))
+
+
 def subset(images: DataFrame, template: Column, steps: int | None = None) -> DataFrame:
     """Images that a template polygon selects: one of their corners is inside (or, with ``steps``, one of
     so many points of each side), or a corner of the template is inside the image."""
-    tested = F.col("corners") if steps is None else boundary(F.col("corners"), steps)
-    return images.filter(F.exists(tested, lambda p: contains(template, p)) | F.exists(template, lambda p: contains(F.col("corners"), p)))
+    return images.filter(_test(lambda image, t: inside_each_other(image, t, steps or 1, 1), F.col("corners"), template))
 
 
 def covers(images: DataFrame, mode: str, region: list[tuple[float, float]], radius: float = 0.0) -> DataFrame:
     """Images by region. ``points`` and ``box``: they overlap the polygon of the corners in ``region``; ``circle``:
     they come within ``radius`` degrees of its first point; ``point``: they hold that point; ``cutout``:
     they overlap the north-up square of half-size ``radius`` around it."""
-    first = vector(unit(F.lit(float(region[0][0])), F.lit(float(region[0][1]))))
-    image = F.col("corners")
+    image, first = F.col("corners"), polygon_of(region[:1])
     if mode in ("points", "box"):
-        return images.filter(overlap(image, polygon_of(region)))
+        return images.filter(_test(share_a_point, image, polygon_of(region)))
     if mode == "cutout":
-        return images.filter(overlap(image, square(F.lit(float(region[0][0])), F.lit(float(region[0][1])), radius)))
+        return images.filter(_test(share_a_point, image, square(F.lit(float(region[0][0])), F.lit(float(region[0][1])), radius)))
     if mode == "point":
-        return images.filter(contains(image, first))
+        return images.filter(_test(lambda p, q: p.holds(q.a[0]), image, first))
     if mode == "circle":
-        return images.filter(contains(image, first) | F.exists(_edges(image), lambda e: arc_distance(e, first) <= radius))
-    raise ValueError(f"unknown mode {mode!r}")
+        def reached(p: Polygons, q: Polygons) -> np.ndarray:
+            found = p.holds(q.a[0])
+            for a, b in zip(p.a, p.b, strict=True):
+                found |= arc_distance(a, b, q.a[0]) <= radius
+            return found
 
-
-def arc_distance(edge: Column, point: Column) -> Column:
-    """Distance in degrees of a point from an arc (a, b)."""
-    a, b, p = parts(edge["a"]), parts(edge["b"]), parts(point)
-    n = normalised(cross(a, b))
-    angle = lambda u, v: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v)))))
-    beside = (dot(cross(n, a), p) >= 0) & (dot(cross(b, n), p) >= 0)  # the foot lies on the arc
-    return F.when(beside, F.degrees(F.asin(F.least(F.lit(1.0), F.abs(dot(n, p)))))).otherwise(F.least(angle(a, p), angle(b, p)))
+        return images.filter(_test(reached, image, first))
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def best_images(images: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """For each point (cntr, ra, dec) the image that holds it farthest from its edge: (cntr, image,
     margin); ties take the least image. ``radius`` bounds the corners' distance from the centre."""
-    point = vector(unit(F.col("ra"), F.col("dec")))
-    inside = within(points, images, radius).withColumn("margin", margin(F.col("corners_2"), point)).filter(F.col("margin") >= 0)
-    best = inside.groupBy("cntr").agg(F.min(F.struct((-F.col("margin")).alias("m"), F.col("cntr_2").alias("image"))).alias("b"))
-    return best.select("cntr", F.col("b.image").alias("image"), (-F.col("b.m")).alias("margin"))
+    return near.best(points, images.select("cntr", "ra", "dec", "corners"), radius).select("cntr", F.col("found").alias("image"), F.col("score").alias("margin"))
 
 
 def covering_count(images: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Number of footprints that hold each point; points in none are left out."""
-    point = vector(unit(F.col("ra"), F.col("dec")))
-    return within(points, images, radius).filter(contains(F.col("corners_2"), point)).groupBy("cntr").agg(F.count("*").alias("n"))
+    return near.counts(points, images.select("cntr", "ra", "dec", "corners"), radius)
 
 
 def index_images(headers: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Regions and overlaps on the sphere. Near pairs are found by cells of a cube grid on unit vectors,
+"""Regions and overlaps on the sphere. Near pairs are found by cells of a cube grid on unit vectors (:mod:`skyloom.operators.near`),
 so there is no special case at the poles or at longitude 0, and no pair is tested twice."""
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.coords import cross, distance, dot, unit
+from skyloom.functions.coords import cross, dot, unit
+from skyloom.operators import near
 
 
 def in_cone(lon: Column, lat: Column, lon0: float, lat0: float, radius: float) -> Column:
@@ -28,36 +29,23 @@ def in_polygon(lon: Column, lat: Column, corners: list[tuple[float, float]]) ->
     return inside
 
 
-def _cells(v: list[Column], side: float, around: bool) -> Column:
-    """Keys of the cube cells of side ``side`` that hold a point, or that and its neighbours."""
-    axis = []
-    for x in v:
-        k = F.floor(x / side)
-        axis.append(F.sequence(k - 1, k + 1) if around else F.array(k))
-    return F.flatten(F.transform(axis[0], lambda a: F.flatten(F.transform(axis[1], lambda b: F.transform(axis[2], lambda c: F.struct(a.alias("x"), b.alias("y"), c.alias("z")))))))
-
-
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs (left, right) within ``radius`` degrees. Both need cntr, ra and dec; the right side's
-    columns get the suffix ``_2``. Each right row goes to the 27 cells around its own, each left
+    columns get the suffix ``_2``. Each right row goes to the cells around its own, each left
     row to one, so a pair meets exactly once."""
-    side = 2 * math.sin(math.radians(radius) / 2) * (1 + 1e-9)
-    a = left.withColumn("cell", F.explode(_cells(unit(F.col("ra"), F.col("dec")), side, False)))
-    b = right.select(*[F.col(c).alias(f"{c}_2") for c in right.columns]).withColumn("cell", F.explode(_cells(unit(F.col("ra_2"), F.col("dec_2")), side, True)))
-    near = a.join(b, "cell").drop("cell")
-    return near.withColumn("dist", distance(F.col("ra"), F.col("dec"), F.col("ra_2"), F.col("dec_2"))).filter(F.col("dist") <= radius)
+    return near.pairs(left, right, radius)
 
 
 def overlaps(images: DataFrame, radius: float) -> DataFrame:
     """Unordered pairs of images (cntr, ra, dec and a radius of at most ``radius`` each) whose circles meet."""
-    pairs = within(images, images, 2 * radius).filter(F.col("cntr") < F.col("cntr_2"))
+    images = images.select("cntr", "ra", "dec")
+    pairs = near.pairs(images, images, 2 * radius, ["cntr", "cntr_2", "dist"], rising=True)
     return pairs.select(F.col("cntr").alias("plus"), F.col("cntr_2").alias("minus"), "dist")
 
 
 def nearest(points: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
     """For each point the nearest source within ``radius``; ties take the least cntr."""
-    near = within(points, sources, radius)
-    return near.groupBy("cntr").agg(F.min(F.struct("dist", "cntr_2")).alias("m")).select("cntr", F.col("m.cntr_2").alias("source"), F.col("m.dist").alias("dist"))
+    return near.best(points, sources.select("cntr", "ra", "dec"), radius).select("cntr", F.col("found").alias("source"), F.col("score").alias("dist"))
 
 
 def best_image(images: DataFrame, lon: float, lat: float, half: float) -> DataFrame:
@@ -71,7 +59,7 @@ def best_image(images: DataFrame, lon: float, lat: float, half: float) -> DataFr
 
 def covering(images: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Number of images whose circle covers each point."""
-    return within(points, images, radius).groupBy("cntr").agg(F.count("*").alias("n"))
+    return near.counts(points, images.select("cntr", "ra", "dec"), radius)
 
 
 def pixel_scale_order(images: DataFrame) -> DataFrame:
