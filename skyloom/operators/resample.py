@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators import near
 from skyloom.operators.pixels import shrink
 from skyloom.storage import cut
 
@@ -67,16 +68,7 @@ def aperture_sums(sources: DataFrame, pix: DataFrame, radius: float, key: str |
 def rectangle_search(boxes: DataFrame, queries: DataFrame, side: float, contained: bool = False) -> DataFrame:
     """Pairs (query, id) of rectangles (x0, x1, y0, y1) that overlap, or where the box lies within the
     query. Rectangles go to the grid cells they touch; the least common cell reports a pair."""
-    def cells(df: DataFrame) -> DataFrame:
-        axis = lambda a, b: F.sequence(F.floor(F.col(a) / side), F.floor(F.col(b) / side))
-        return df.select("*", F.explode(axis("x0", "x1")).alias("cx")).select("*", F.explode(axis("y0", "y1")).alias("cy"))
-
-    q = cells(queries).select(F.col("id").alias("query"), *[F.col(c).alias("q" + c) for c in ("x0", "x1", "y0", "y1")], "cx", "cy")
-    both = cells(boxes).join(q, ["cx", "cy"])
-    meet = (F.col("x0") <= F.col("qx1")) & (F.col("qx0") <= F.col("x1")) & (F.col("y0") <= F.col("qy1")) & (F.col("qy0") <= F.col("y1"))
-    within = (F.col("x0") >= F.col("qx0")) & (F.col("x1") <= F.col("qx1")) & (F.col("y0") >= F.col("qy0")) & (F.col("y1") <= F.col("qy1"))
-    first = (F.col("cx") == F.floor(F.greatest("x0", "qx0") / side)) & (F.col("cy") == F.floor(F.greatest("y0", "qy0") / side))
-    return both.filter((within if contained else meet) & first).select("query", "id")
+    return near.rectangles(boxes, queries, side, contained)
 
 
 def peak_in_core(profile: DataFrame) -> DataFrame:

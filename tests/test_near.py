@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import footprints, geometry, near
-from skyloom.operators.resample import aperture_sums
+from skyloom.operators.resample import aperture_sums, rectangle_search
 
 
 def sky(spark, n, seed, low=-1.0):
@@ -97,6 +97,22 @@ def test_a_crowded_cell_goes_to_several_tasks(spark, small_blocks):
     assert found.select(F.spark_partition_id()).distinct().count() > 4
 
 
+@pytest.mark.parametrize("contained", [False, True])
+def test_rectangles_equal_brute_force_in_blocks(spark, small_blocks, contained):
+    rng = np.random.default_rng(7)
+    made = lambda n, w: np.round(np.stack([x := rng.uniform(-20, 20, n), x + rng.uniform(0, w, n), y := rng.uniform(-20, 20, n), y + rng.uniform(0, w, n)], 1), 1)
+    boxes, queries = made(400, 3), made(300, 11)
+    frame = lambda rows: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rows)], "id long, x0 double, x1 double, y0 double, y1 double")
+    found = rectangle_search(frame(boxes), frame(queries), 5.0, contained)
+    got = sorted(tuple(r) for r in found.collect())
+    q, b = queries[:, None, :], boxes[None, :, :]
+    if contained:
+        hit = (b[..., 0] >= q[..., 0]) & (b[..., 1] <= q[..., 1]) & (b[..., 2] >= q[..., 2]) & (b[..., 3] <= q[..., 3])
+    else:
+        hit = (b[..., 0] <= q[..., 1]) & (q[..., 0] <= b[..., 1]) & (b[..., 2] <= q[..., 3]) & (q[..., 2] <= b[..., 3])
+    assert got == sorted(map(tuple, np.argwhere(hit).tolist())) and len(got) > 100
+
+
 def test_selecting_images_takes_time_by_image(spark):
     """40,000 images against a template and around a point."""
     df = spark.range(40_000).select(F.col("id").alias("cntr"), (F.col("id") * 0.75487766624669 % 1 * 360).alias("ra"), F.degrees(F.asin(2 * (F.col("id") * 0.56984029099805 % 1) - 1)).alias("dec"))
