@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import fits
 from skyloom.operators.pixels import coadd, difference, subtract_plane
-from skyloom.storage import cut
+from skyloom.storage import cut, written
 
 #: Edges whose model is solved on the driver (20 numbers each); a larger graph is relaxed in Spark.
 MOST_EDGES = 1_000_000
+#: Groups whose fits (five numbers each) are sent to every task; the pixels don't move then.
+MOST_SENT = 200_000
 
 
-def clipped_planes(pix: DataFrame, keys: list[str], rounds: int = fits.ROUNDS, level_only: bool = False) -> DataFrame:
+def clipped_planes(pix: DataFrame, keys: list[str], rounds: int = fits.ROUNDS, level_only: bool = False, keep: bool = False) -> DataFrame:
     """(keys, a, b, c, rms, npixel) after ``rounds`` fits, each on the pixels within 2 rms of the fit before.
-    The pixels are written once; a round is one partial aggregate of ten sums, as the rms of a plane follows
-    from them, and its result, one row a group, is written, so the plan stays the same size."""
+    The pixels are written once, in columns; a round is one partial aggregate of ten sums, as the rms of a plane follows
+    from them, and its result, one row a group, is written, so the plan stays the same size. The first round counts the
+    groups: up to MOST_SENT, later rounds shuffle their sums only. A group whose pixels
+    left have no plane is left out, or with ``keep`` stays at its fit before."""
     x, y, z = F.col("i").cast("double"), F.col("j").cast("double"), F.col("v")
-    good = cut(pix.filter("v IS NOT NULL").select(*keys, "i", "j", "v"))
+    good = written(pix.filter("v IS NOT NULL").select(*keys, "i", "j", "v"))
     terms = {"xx": x * x, "xy": x * y, "yy": y * y, "x": x, "y": y, "xz": x * z, "yz": y * z, "z": z, "zz": z * z}
-    c, fit = F.col, None
+    c, fit, few = F.col, None, False
     for _ in range(rounds):
         if fit is None:
             use = good
         else:
             near = F.abs(z - (c("fa") * x + c("fb") * y + c("fc"))) <= fits.CLIP * c("limit")
-            use = good.join(fit.select(*keys, c("a").alias("fa"), c("b").alias("fb"), c("c").alias("fc"), c("rms").alias("limit")), keys).filter(near)
+            known = fit.select(*keys, c("a").alias("fa"), c("b").alias("fb"), c("c").alias("fc"), c("rms").alias("limit"))
+            use = good.join(F.broadcast(known) if few else known, keys).filter(near)
         sums = use.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in terms.items()], F.count("*").cast("double").alias("n"))
         if level_only:
             a, b, d = F.lit(0.0), F.lit(0.0), c("z") / c("n")
@@ -36,7 +41,11 @@ def clipped_planes(pix: DataFrame, keys: list[str], rounds: int = fits.ROUNDS, l
         left = c("zz") - 2 * (c("a") * c("xz") + c("b") * c("yz") + c("c") * c("z")) + c("a") ** 2 * c("xx") + c("b") ** 2 * c("yy") + c("c") ** 2 * c("n")
         left = left + 2 * (c("a") * c("b") * c("xy") + c("a") * c("c") * c("x") + c("b") * c("c") * c("y"))
         new = solved.select(*keys, "a", "b", "c", F.sqrt(F.greatest(F.lit(0.0), left / c("n")) + 1e-18).alias("rms"), c("n").cast("long").alias("npixel"))
+        if keep and fit is not None:
+            names = ["a", "b", "c", "rms", "npixel"]
+            new = fit.join(new.select(*keys, *[c(n).alias(f"new_{n}") for n in names]), keys, "left").select(*keys, *[F.coalesce(f"new_{n}", n).alias(n) for n in names])
         fit = cut(new)
+        few = few or fit.count() <= MOST_SENT  # no round has more groups than the one before
     return fit
 
 
@@ -107,4 +116,5 @@ def mosaic(pix: DataFrame, background: bool = True, mode: str = "mean", rounds:
 def flatten(pix: DataFrame) -> DataFrame:
     """Every image less its own clipped plane."""
     planes = clipped_planes(pix, ["image_id"]).select("image_id", "a", "b", "c")
+    planes = F.broadcast(planes) if planes.count() <= MOST_SENT else planes
     return subtract_plane(pix.join(planes, "image_id"), F.col("a"), F.col("b"), F.col("c")).drop("a", "b", "c")

@@ -56,27 +56,13 @@ def clipped_plane(pix: DataFrame, key: str = "image_id", rounds: int = ROUNDS, l
 
 
 def clipped_plane_grouped(pix: DataFrame, key: str = "image_id", rounds: int = ROUNDS) -> DataFrame:
-    """As :func:`clipped_plane`, with each group fitted in one task. For many groups of bounded
-    size, such as the overlaps of images, this takes one shuffle instead of two a round."""
-    kind = pix.schema[key].dataType.simpleString()
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        g = rows.dropna(subset=["v"])
-        x, y, z = (g[c].to_numpy(float) for c in ("i", "j", "v"))
-        m, limit, p = np.stack([x, y, np.ones(len(x))], 1), np.inf, np.full(3, np.nan)
-        rms, n = np.nan, 0
-        for _ in range(rounds):
-            use = np.ones(len(z), bool) if limit == np.inf else np.abs(z - m @ p) <= limit
-            if np.linalg.matrix_rank(m[use]) < 3:
-                break
-            p = np.linalg.lstsq(m[use], z[use], rcond=None)[0]
-            left = np.abs(z - m @ p)
-            near = left <= limit
-            n, rms = int(near.sum()), float(np.sqrt((left[near] ** 2).mean())) if near.any() else np.nan
-            limit = CLIP * rms
-        return pd.DataFrame({key: [rows[key].iloc[0]], "a": [p[0]], "b": [p[1]], "c": [p[2]], "rms": [rms], "npixel": [n]})
-
-    return pix.select(key, "i", "j", "v").groupBy(key).applyInPandas(fit, f"{key} {kind}, a double, b double, c double, rms double, npixel long")
+    """As :func:`clipped_plane`, one row for every group: one without a plane (fewer than three pixels, or all in a line)
+    has NaN and no pixels, one that loses it by clipping stays at its last fit. By :func:`skyloom.operators.background.clipped_planes`, so no group is held by a task."""
+    from skyloom.operators.background import clipped_planes
+
+    found = clipped_planes(pix, [key], rounds, keep=True)
+    rows = pix.select(key).distinct().join(found.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
+    return rows.select(key, *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("a", "b", "c", "rms")], F.coalesce("npixel", F.lit(0)).cast("long").alias("npixel"))
 
 
 def usable_fits(fits: DataFrame, share: float = 0.002) -> DataFrame:
