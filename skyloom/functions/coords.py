@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -198,28 +201,6 @@ def _supergalactic():
     return zero, (pole[1] * zero[2] - pole[2] * zero[1], pole[2] * zero[0] - pole[0] * zero[2], pole[0] * zero[1] - pole[1] * zero[0]), pole
 
 
-def _normalised(v: list[Column]) -> list[Column]:
-    size = F.sqrt(dot(v, v))
-    return [c / size for c in v]
-
-
-def _without_e_terms(v: Column) -> Column:
-    along = v["x"] * E_TERMS[0] + v["y"] * E_TERMS[1] + v["z"] * E_TERMS[2]
-    return vector([c - e + along * c for c, e in zip(parts(v), E_TERMS, strict=True)])
-
-
-def _with_e_terms(v: Column) -> Column:
-    """The elliptic terms depend on the position that has them, which three rounds settle."""
-    def rounds(free: Column) -> Column:
-        def step(b: Column, _: Column) -> Column:
-            along = b["x"] * E_TERMS[0] + b["y"] * E_TERMS[1] + b["z"] * E_TERMS[2]
-            return vector([c + e - along * o for c, e, o in zip(parts(free), E_TERMS, parts(b), strict=True)])
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(3)), free, step)
-
-    return bind(v, rounds)
-
-
 def besselian_to_julian(lon: Column, lat: Column) -> tuple[Column, Column]:
     """B1950 to J2000 without proper motion: the elliptic terms go, then one rotation."""
     return convert(lon, lat, "EQUB", "EQUJ")
@@ -242,13 +223,20 @@ SYSTEMS = ("EQUJ", "EQUB", "ECLJ", "ECLB", "GAL", "SGAL")
 def convert(lon: Column, lat: Column, source: str, target: str, source_epoch: float | None = None, target_epoch: float | None = None) -> tuple[Column, Column]:
     """A position in another system: EQUJ and ECLJ at a Julian epoch (2000 where none is given), EQUB and
     ECLB at a Besselian one (1950), GAL and SGAL. Everything goes over J2000."""
+    found = place(lon, lat, source, target, source_epoch, target_epoch)
+    return found["lon"], found["lat"]
+
+
+def place(lon: Column, lat: Column, source: str, target: str, source_epoch: float | None = None, target_epoch: float | None = None) -> Column:
+    """As :func:`convert`, as one struct (lon, lat). In numpy: as an expression, each use of a part would work out
+    all steps before it again, in code too long to be compiled."""
     for name in (source, target):
         if name not in SYSTEMS:
             raise ValueError(f"no system {name!r}; there are {', '.join(SYSTEMS)}")
     usual = lambda name, epoch: epoch if epoch is not None else 1950.0 if name.endswith("B") else 2000.0
     a, b = usual(source, source_epoch), usual(target, target_epoch)
     if (source, a) == (target, b):
-        return lon, lat
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
     turned = lambda m: tuple(zip(*m, strict=True))
     newcomb, julian = (ZETA_B, Z_B, THETA_B), (ZETA, Z, THETA)
 
@@ -262,14 +250,28 @@ def convert(lon: Column, lat: Column, source: str, target: str, source_epoch: fl
         moved = _precession(t, newcomb if name.endswith("B") else julian)
         return product(moved, _about_x(obliquity(epoch))) if name.startswith("ECL") else moved
 
-    v = vector(rotate(unit(lon, lat), turned(from_standard(source, a))))
-    if source.endswith("B") and not target.endswith("B"):
-        v = bind(bind(v, _without_e_terms), lambda u: vector(rotate(parts(u), B1950_TO_J2000)))
-    elif target.endswith("B") and not source.endswith("B"):
-        v = _with_e_terms(bind(v, lambda u: vector(rotate(parts(u), B1950_TO_J2000, inverse=True))))
-    last = from_standard(target, b)
-    place = bind(v, lambda u: F.struct(*[c.alias(n) for c, n in zip(lon_lat(_normalised(rotate(parts(u), last))), ("lon", "lat"), strict=True)]))
-    return place["lon"], place["lat"]
+    first, last = np.array(turned(from_standard(source, a))), np.array(from_standard(target, b))
+    to_julian, to_besselian = source.endswith("B") and not target.endswith("B"), target.endswith("B") and not source.endswith("B")
+    moved, terms = np.array(B1950_TO_J2000), np.array(E_TERMS)[:, None]
+
+    def run(lon: pa.Array, lat: pa.Array) -> pa.Array:
+        blank = np.array(pc.or_(lon.is_null(), lat.is_null()).to_numpy(zero_copy_only=False), bool)
+        x, y = (np.radians(c.to_numpy(zero_copy_only=False).astype(float)) for c in (lon, lat))
+        v = first @ np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)])
+        if to_julian:  # the elliptic terms go, then one rotation
+            v = moved @ (v - terms + (v * terms).sum(axis=0) * v)
+        elif to_besselian:  # the terms depend on the position that has them, which three rounds settle
+            free = placed = moved.T @ v
+            for _ in range(3):
+                placed = free + terms - (placed * terms).sum(axis=0) * placed
+            v = placed
+        v = last @ v
+        v /= np.sqrt((v * v).sum(axis=0))
+        east = np.degrees(np.arctan2(v[1], v[0]))
+        columns = np.where(east < 0, east + 360, east), np.degrees(np.arcsin(np.clip(v[2], -1, 1)))
+        return pa.StructArray.from_arrays([pa.array(c, mask=blank) for c in columns], names=["lon", "lat"])
+
+    return F.arrow_udf(run, "lon double, lat double")(lon.cast("double"), lat.cast("double"))
 
 
 def hours(value: Column, digits: int = 2) -> Column:

@@ -316,15 +316,15 @@ _position("f05_besselian_to_julian", sql(f"SELECT cntr, {_lon('x', 'y')} AS lon,
 
 @query("f01_convert_and_back", sql("SELECT cntr, a || '-' || b AS pair, true AS back FROM stars, (SELECT unnest(['EQUJ', 'EQUB', 'ECLJ', 'ECLB', 'GAL', 'SGAL']) AS a), (SELECT unnest(['EQUJ', 'EQUB', 'ECLJ', 'ECLB', 'GAL', 'SGAL']) AS b) WHERE a < b AND abs(dec) < 85"))
 def _(spark, sf_dir):
-    s, out = view(spark, sf_dir, "stars").filter("abs(dec) < 85"), None
+    s, out = view(spark, sf_dir, "stars").filter("abs(dec) < 85").repartition(spark.sparkContext.defaultParallelism), None  # much work on few bytes
     for a in coords.SYSTEMS:
         for b in coords.SYSTEMS:
             if a < b:
-                lon, lat = coords.convert(F.col("ra"), F.col("dec"), a, b, 1980.0 if a.endswith("B") else None, 2010.0 if b.endswith("J") else None)
-                there = s.select("cntr", "ra", "dec", lon.alias("l"), lat.alias("b"))
-                lon, lat = coords.convert(F.col("l"), F.col("b"), b, a, 2010.0 if b.endswith("J") else None, 1980.0 if a.endswith("B") else None)
-                near = (F.abs(F.pmod(lon - F.col("ra") + 180, F.lit(360.0)) - 180) < 1e-6) & (F.abs(lat - F.col("dec")) < 1e-6)
-                one = there.select("cntr", F.lit(f"{a}-{b}").alias("pair"), near.alias("back"))
+                first, last = 1980.0 if a.endswith("B") else None, 2010.0 if b.endswith("J") else None
+                there = s.select("cntr", "ra", "dec", coords.place(F.col("ra"), F.col("dec"), a, b, first, last).alias("p"))
+                here = there.select("cntr", "ra", "dec", coords.place(F.col("p.lon"), F.col("p.lat"), b, a, last, first).alias("q"))
+                near = (F.abs(F.pmod(F.col("q.lon") - F.col("ra") + 180, F.lit(360.0)) - 180) < 1e-6) & (F.abs(F.col("q.lat") - F.col("dec")) < 1e-6)
+                one = here.select("cntr", F.lit(f"{a}-{b}").alias("pair"), near.alias("back"))
                 out = one if out is None else out.unionByName(one)
     return out
 
