@@ -239,11 +239,10 @@ class Pairs(SphereKernel):
         kept &= angle <= far_a + far_b + SLACK
         open_ = kept & ~(angle < in_a + in_b - SLACK) if self.steps == 0 else kept
         k = np.flatnonzero(open_)
-        p, q = self.shapes[a[k]], shapes[b[k]]
         if self.steps == 0:
-            kept[k] = overlapping(p, q, angle[k] / 2 + np.maximum(far_a[k], far_b[k]) < math.pi / 2)
+            kept[k] = overlapping(self.shapes[a[k]], shapes[b[k]], angle[k] / 2 + np.maximum(far_a[k], far_b[k]) < math.pi / 2)
         else:
-            kept[k] = boundaries_meet(p, q, self.steps)
+            kept[k] = boundaries_meet(self.shapes, a[k], shapes, b[k], self.steps)
         return kept
 
     def _batch(self, a, b, dist, part) -> pa.RecordBatch:

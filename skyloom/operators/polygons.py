@@ -132,15 +132,21 @@ def overlapping(p: Polygons, q: Polygons, one_half: np.ndarray) -> np.ndarray:
     return met
 
 
-def boundaries_meet(p: Polygons, q: Polygons, steps: int) -> np.ndarray:
-    """As :func:`inside_each_other` with ``steps`` on either side; corners first, as they decide most pairs."""
-    met = np.zeros(len(p), bool)
-    left = np.flatnonzero(~(gap(p, q) > NEAR))
-    found = inside_each_other(p[left], q[left], 1, 1)
-    met[left] = found
-    left = left[~found]
+def boundaries_meet(p: Polygons, a: np.ndarray, q: Polygons, b: np.ndarray, steps: int) -> np.ndarray:
+    """As :func:`inside_each_other` of ``p[a]`` and ``q[b]`` with ``steps`` on either side. Corners first, one at a time, as most
+    pairs are decided by one of them."""
+    met, left = np.zeros(len(a), bool), np.arange(len(a))
+    for one, i, other, j in ((p, a, q, b), (q, b, p, a)):
+        for corner in one.a:
+            point, k = corner[:, i[left]], j[left]
+            held = dots(other.total[:, k], point) > 0
+            for e in other.n:
+                held &= dots(e[:, k], point) <= EDGE
+            met[left[held]] = True
+            left = left[~held]
+    left = left[~(gap(p[a[left]], q[b[left]]) > NEAR)]
     if len(left) and steps > 1:
-        met[left] = inside_each_other(p[left], q[left], steps, steps)
+        met[left] = inside_each_other(p[a[left]], q[b[left]], steps, steps)
     return met
 
 

@@ -55,6 +55,21 @@ def test_overlapping_squares_equal_brute_force(spark):
         assert ((a, b) in got) == (not apart)
 
 
+def test_boundary_overlaps_equal_brute_force(spark):
+    df, v = sky(spark, 300, 2)
+    df = df.withColumn("corners", footprints.square(F.col("ra"), F.col("dec"), 5.0))
+    got = {tuple(r) for r in footprints.overlaps_by_boundary(df, 7.5, 6).collect()}
+    c = np.array([[[p["x"], p["y"], p["z"]] for p in r["corners"]] for r in df.sort("cntr").collect()])
+    b = np.roll(c, -1, 1)
+    points = np.concatenate([c + (b - c) * (k / 6) for k in range(6)], 1)
+    points /= np.linalg.norm(points, axis=2, keepdims=True)
+    n = np.cross(c, b)
+    n *= -np.sign(np.einsum("pec,pc->pe", n, c.sum(1)))[:, :, None]
+    held = lambda i, j: ((points[i] @ n[j].T).max(1) <= 1e-12).any()
+    angle = np.degrees(np.arccos(np.clip(v @ v.T, -1, 1)))
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if angle[i, j] <= 15 and (held(i, j) or held(j, i))}
+
+
 def test_best_and_number_of_squares_equal_brute_force(spark, small_blocks):
     """Points of one region in many blocks; two squares at one place tie, and the lesser id is taken."""
     images, v = sky(spark, 400, 3, 0.2)
